@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import lines, mixing
+from . import lines, mixing, neardup
 
 
 def queries() -> dict:
     return {
+        "op5_near_duplicates": neardup.op5_near_duplicates,
         "op9_line_dedup": lines.op9_line_dedup,
         "op10_mixing": mixing.op10_mixing,
     }
