@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, neardup
+from . import lines, mixing, neardup, packing, tokens
 
 
 def queries() -> dict:
     return {
+        "op1_token_files": tokens.op1_token_files,
         "op5_near_duplicates": neardup.op5_near_duplicates,
+        "op8_packing": packing.op8_packing,
         "op9_line_dedup": lines.op9_line_dedup,
         "op10_mixing": mixing.op10_mixing,
     }
