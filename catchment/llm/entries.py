@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, neardup, packing, tokens, toxicity
+from . import fingerprint, lines, mixing, neardup, packing, tokens, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_token_files": tokens.op1_token_files,
         "op3_toxicity": toxicity.op3_toxicity,
+        "op4_fingerprints": fingerprint.op4_fingerprints,
         "op5_near_duplicates": neardup.op5_near_duplicates,
         "op8_packing": packing.op8_packing,
         "op9_line_dedup": lines.op9_line_dedup,
