@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, lines, mixing, neardup, packing, tokens, toxicity
+from . import fingerprint, lines, media, mixing, neardup, packing, tokens, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_fingerprints": fingerprint.op4_fingerprints,
         "op5_near_duplicates": neardup.op5_near_duplicates,
+        "op6_media": media.op6_media,
         "op8_packing": packing.op8_packing,
         "op9_line_dedup": lines.op9_line_dedup,
         "op10_mixing": mixing.op10_mixing,
