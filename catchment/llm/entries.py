@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import fingerprint, lines, media, mixing, neardup, packing, tokens, toxicity
+from . import chat, fingerprint, lines, media, mixing, neardup, packing, secrets, tokens, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_token_files": tokens.op1_token_files,
+        "op2_preference_format": chat.op2_preference_format,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_fingerprints": fingerprint.op4_fingerprints,
         "op5_near_duplicates": neardup.op5_near_duplicates,
         "op6_media": media.op6_media,
+        "op7_secrets": secrets.op7_secrets,
         "op8_packing": packing.op8_packing,
         "op9_line_dedup": lines.op9_line_dedup,
         "op10_mixing": mixing.op10_mixing,
@@ -19,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": lines.OP9_SQL, "op10_mixing": mixing.OP10_SQL}
+    return {"op2_preference_format": chat.OP2_SQL, "op9_line_dedup": lines.OP9_SQL, "op10_mixing": mixing.OP10_SQL}

@@ -148,6 +148,15 @@ def dedup_lines(docs: DataFrame, threshold: int = 10, batches: int = 4, keep: li
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "kept", "n_lines", "n_dropped")
 
 
+def without_frequent_lines(docs: DataFrame, threshold: int = 10) -> DataFrame:
+    """docs with its frequent lines dropped from text, n_chars (where there is one) counted anew, and all other columns as they are."""
+    columns = docs.columns
+    flat = docs.select(*[F.col(f"`{c}`").alias(c if c in ("doc_id", "text") else f"o{i}") for i, c in enumerate(columns)])
+    out = dedup_lines(flat, threshold)
+    kept = {"text": F.col("kept"), "n_chars": F.length("kept").cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return out.select(*[kept[c].alias(c) if c in kept else F.col(c if c == "doc_id" else f"o{i}").alias(c) for i, c in enumerate(columns)])
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = dedup_lines(docs, threshold=10)

@@ -105,10 +105,11 @@ def _columns(finish) -> list:
 
 def mix_documents(docs: DataFrame, seed: str = "mix", passes: int = 3) -> DataFrame:
     """The mixed corpus itself: the rows of docs, each as often as the mix takes it, all columns kept."""
-    taken = mixed(docs, seed=seed, passes=passes).filter("times > 0").groupBy("k_doc", "k_text").agg(F.max("times").alias("m_times"))
-    keyed = docs.select("*", *[c.alias(f"__{n}") for c, n in zip(row_key(), ("k_doc", "k_text"))])
-    out = keyed.join(taken, F.col("__k_doc").eqNullSafe(F.col("k_doc")) & (F.col("__k_text") == F.col("k_text")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("m_times"))).alias("__pass")).drop("__pass")
+    taken = mixed(docs, seed=seed, passes=passes).filter("times > 0").groupBy("k_doc", "k_text").agg(F.max("times").alias("__times"))
+    taken = taken.withColumnsRenamed({"k_doc": "__doc", "k_text": "__text"})
+    keyed = docs.select("*", *[c.alias(n) for c, n in zip(row_key(), ("__own_doc", "__own_text"))])
+    out = keyed.join(taken, F.col("__own_doc").eqNullSafe(F.col("__doc")) & (F.col("__own_text") == F.col("__text")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__pass")).drop("__pass")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -185,7 +185,7 @@ def learn_weights(y1: np.ndarray, y0: np.ndarray, n1: int, n0: int, corpus: np.n
 
 
 def scored(docs: DataFrame, model: Model, extra: list[str]) -> DataFrame:
-    """The extra columns with tokens, hits (segment scores) and passages (code points [start, end) and score) for each text."""
+    """The extra columns, of which text can be one, with tokens and passages (code points [start, end) and score) for each text."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((model.hashes, model.weights, model.gap))
 
@@ -212,11 +212,12 @@ def scored(docs: DataFrame, model: Model, extra: list[str]) -> DataFrame:
                     point = lambda x: int(heads[x - offsets[r] - 1]) if x > offsets[r] else 0  # noqa: B023, E731
                     for i, j, s in segments((mine - first[r]).tolist(), best[mine].tolist(), gap):
                         found[r].append({"start": point(start[mine[i]]), "end": point(end[mine[j]]), "score": s})
-                names = [n for n in b.schema.names if n != "text"]
+                names = extra
                 yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + [pa.array(tokens.astype(np.int64)), pa.array(found, kind)], names=[*names, "tokens", "passages"])
 
-    flat = docs.select("text", *extra)
-    schema = ", ".join([f"`{n}` {t}" for n, t in flat.dtypes if n != "text"] + ["tokens long", "passages array<struct<start:long,end:long,score:double>>"])
+    flat = docs.select("text", *[c for c in extra if c != "text"])
+    kinds = dict(flat.dtypes)
+    schema = ", ".join([f"`{n}` {kinds[n]}" for n in extra] + ["tokens long", "passages array<struct<start:long,end:long,score:double>>"])
     return flat.mapInArrow(run, schema)
 
 
@@ -289,6 +290,13 @@ def score_toxicity(docs: DataFrame, model: Model | None, extra: list[str] | None
     return out.select(*extra, (1 / (1 + F.exp(-(F.least(evidence, F.lit(60.0)) * model.b + model.a)))).alias("score"), "passages")
 
 
+def drop_toxic(docs: DataFrame, model: Model | None, least: float = 0.7) -> DataFrame:
+    """The rows of docs(doc_id, text, ...) whose score is below least, with all columns whatever their names."""
+    flat = docs.select(*[F.col(f"`{c}`").alias("text" if c == "text" else f"c{i}") for i, c in enumerate(docs.columns)])
+    kept = score_toxicity(flat, model, flat.columns).filter(F.col("score") < least)
+    return kept.select(*[F.col("text" if c == "text" else f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def held_out(doc: str = "doc_id") -> Column:
     """Rows that no model of this library learns from: crc32 of the id as text, modulo 3, is 1."""
     return F.coalesce(F.crc32(F.col(doc).cast("string").cast("binary")) % 3 == 1, F.lit(False))
