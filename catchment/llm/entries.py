@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprint, lines, media, mixing, neardup, packing, secrets, tokens, toxicity
+from . import chat, fingerprint, lines, media, mixing, neardup, packing, secrets, store, tokens, toxicity
+
+
+def _tuned(f):
+    def run(spark, sf_dir):
+        store.small_batches(spark)
+        return f(spark, sf_dir)
+
+    return run
 
 
 def queries() -> dict:
-    return {
+    made = {
         "op1_token_files": tokens.op1_token_files,
         "op2_preference_format": chat.op2_preference_format,
         "op3_toxicity": toxicity.op3_toxicity,
@@ -18,6 +26,7 @@ def queries() -> dict:
         "op9_line_dedup": lines.op9_line_dedup,
         "op10_mixing": mixing.op10_mixing,
     }
+    return {name: _tuned(f) for name, f in made.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -154,7 +154,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # a trie is many small dicts without cycles
         waiting: list[tuple] = []  # (doc_id, n_chars, edited_sha256), in order
         sets: list[np.ndarray] = []  # phrase sets of each waiting row: the text's, the edited text's
         size, previous, ended = 0, None, False
@@ -183,9 +182,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 if ahead and waiting:
                     yield flush(phrases(text))
                     ended = True
-        gc.enable()
 
-    return with_next(docs).mapInArrow(run, schema)
+    def without_collector(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # a trie is many small dicts without cycles
+        try:
+            yield from run(batches)
+        finally:
+            gc.enable()
+
+    return with_next(docs).mapInArrow(without_collector, schema)
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ def powers(base: int, n: int) -> np.ndarray:
         while done < size:
             got[done : 2 * done] = got[:done] * U(step)
             done, step = 2 * done, step * step % (1 << 64)
-        if size <= 1 << 23:
+        if size <= 1 << 21:
             _powers[base] = got
     return got[:n]
 

@@ -38,6 +38,11 @@ def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold fewer rows than by default: whole documents are long rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+
+
 def parts(spark: SparkSession) -> int:
     """How many partitions the session deals a shuffle to."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -52,7 +57,7 @@ def table(data: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(data[f.name], type=f.type) if not isinstance(data[f.name], pa.Array) else data[f.name].cast(f.type) for f in schema], schema=schema)
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 21):
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20):
     """Cut a record batch into runs of rows whose strings hold about most_bytes together; a longer row stands alone."""
     import numpy as np
 

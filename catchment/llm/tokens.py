@@ -32,7 +32,7 @@ _CLASS[[0x09, 0x0A, 0x0D]] = _WHITE
 _CLASS[0x30:0x3A] = _DIGIT
 _CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0xC0), 0xC3, 0xC4, 0xC5]] = _LETTER
 #: Words that an encoder keeps.
-KEPT_WORDS = 6_000_000
+KEPT_WORDS = 1_000_000
 
 
 def plain_rows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
