@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels
-from .store import parts
+from .store import parts, tidied
 
 K = 64
 
@@ -124,7 +124,7 @@ def with_next(docs: DataFrame) -> DataFrame:
                 top[q] = max(top.get(q, -(1 << 63)), int(i[p == q].max()))
         yield pa.RecordBatch.from_arrays([pa.array(list(top), pa.int32()), pa.array(list(top.values()), pa.int64())], names=["p", "i"])
 
-    first = {r["p"]: r["i"] for r in ids.mapInArrow(firsts, "p int, i long").groupBy("p").agg(F.max("i").alias("i")).collect()}
+    first = {r["p"]: r["i"] for r in ids.mapInArrow(tidied(firsts), "p int, i long").groupBy("p").agg(F.max("i").alias("i")).collect()}
     order = sorted(first)
     leads = {first[q]: p for p, q in zip(order, order[1:] + order[:1])}
 
@@ -138,7 +138,7 @@ def with_next(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(where), pa.array(ahead)], names=[*rows.schema.names, "p", "ahead"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), key.alias("i"))
-    dealt = rows.mapInArrow(deal, "doc_id long, text string, i long, p int, ahead int").repartitionById(n, F.col("p"))
+    dealt = rows.mapInArrow(tidied(deal), "doc_id long, text string, i long, p int, ahead int").repartitionById(n, F.col("p"))
     return dealt.sortWithinPartitions("ahead", F.col("i").desc(), "text").select("doc_id", "text", "ahead")
 
 
@@ -190,7 +190,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         finally:
             gc.enable()
 
-    return with_next(docs).mapInArrow(without_collector, schema)
+    return with_next(docs).mapInArrow(tidied(without_collector), schema)
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels
-from .store import new_path, parts, row_key, slices, stored
+from .store import new_path, parts, row_key, slices, stored, tidied
 
 
 class LineRuns:
@@ -86,7 +86,7 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([doc.cast(pa.int64()), key, pa.array(h.view(np.int64))], schema=schema)
 
     keyed = docs.select("text", *row_key())
-    return keyed.withColumn("k_doc", F.col("k_doc").cast("long")).mapInArrow(run, "k_doc long, k_text long, line_hash long")
+    return keyed.withColumn("k_doc", F.col("k_doc").cast("long")).mapInArrow(tidied(run), "k_doc long, k_text long, line_hash long")
 
 
 def drop_lines(batches):
@@ -144,7 +144,7 @@ def dedup_lines(docs: DataFrame, threshold: int = 10, batches: int = 4, keep: li
     keep = [c for c in docs.columns if c != "text"] if keep is None else keep
     flat = joined.select("text", "hot", *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])
     schema = ", ".join([f"{n} {t}" for n, t in flat.dtypes if n not in ("text", "hot")] + ["kept string", "n_lines long", "n_dropped long"])
-    out = flat.mapInArrow(drop_lines, schema)
+    out = flat.mapInArrow(tidied(drop_lines), schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "kept", "n_lines", "n_dropped")
 
 

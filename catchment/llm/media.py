@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import new_path, slices
+from .store import new_path, slices, tidied
 
 #: Samples of one frame of the stored form, and the byte that fills the last frame.
 FRAME, FILL = 576, 255
@@ -267,7 +267,7 @@ def media_column(df: DataFrame, column: str, declared: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(types, pa.string()), pa.array(lengths, pa.int64()), pa.array(inner, kind)], names=[*b.schema.names, "true_type", "true_length", "embedded"])
 
     schema = ", ".join([f"`{n}` {t}" for n, t in df.dtypes] + ["true_type string", "true_length long", "embedded array<struct<start:long,length:long,type:string,content:binary>>"])
-    out = df.mapInArrow(run, schema)
+    out = df.mapInArrow(tidied(run), schema)
     return out.withColumn("type_corrected", ~F.col("true_type").eqNullSafe(F.col(declared)))
 
 
@@ -300,7 +300,7 @@ def store_texts(docs: DataFrame, path: str) -> DataFrame:
                 sizes = pa.array([len(t.encode()) for t in texts], pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), sizes, pa.array(["text/plain"] * len(texts)), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "declared", "media"])
 
-    table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, declared string, media binary")
+    table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), "doc_id long, n_bytes long, declared string, media binary")
     table.write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(table.schema).parquet(path)
 
@@ -328,7 +328,7 @@ def decoded(media: DataFrame) -> DataFrame:
                 features = [sample_features(p) if p else None for p in payloads]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(payloads, pa.binary()), pa.array(features, pa.string())], names=[*b.schema.names, "payload", "sample_feature"])
 
-    return media.mapInArrow(run, ", ".join([f"`{n}` {t}" for n, t in media.dtypes] + ["payload binary", "sample_feature string"]))
+    return media.mapInArrow(tidied(run), ", ".join([f"`{n}` {t}" for n, t in media.dtypes] + ["payload binary", "sample_feature string"]))
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import kernels
 from .graph import connected_components
-from .store import slices, stored
+from .store import slices, stored, tidied
 
 K, BITS, CHUNKS = 64, 16, 13
 #: Members and shingles of one block when components of a family are compared.
@@ -76,7 +76,7 @@ def signatures(docs: DataFrame, width: int = 5, k: int = K) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * k), pa.array(sig.ravel()), mask=pa.array(n == 0))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), lists], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sig array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), "doc_id long, n_shingles long, d1 long, d2 long, sig array<int>")
 
 
 def bucket_keys(classes: DataFrame, threshold: int, chunks: int = CHUNKS) -> DataFrame:
@@ -92,7 +92,7 @@ def bucket_keys(classes: DataFrame, threshold: int, chunks: int = CHUNKS) -> Dat
                 reps = np.repeat(b.column("rep").to_numpy(zero_copy_only=False), keys.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(reps)], schema=schema)
 
-    return classes.select("rep", "sig").mapInArrow(run, "key long, rep long")
+    return classes.select("rep", "sig").mapInArrow(tidied(run), "key long, rep long")
 
 
 def shingle_sets(docs: DataFrame, reps: DataFrame, width: int = 5) -> DataFrame:
@@ -107,7 +107,7 @@ def shingle_sets(docs: DataFrame, reps: DataFrame, width: int = 5) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("rep"), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], schema=schema)
 
     wanted = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(reps, "rep", "left_semi")
-    return wanted.mapInArrow(run, "rep long, items array<long>")
+    return wanted.mapInArrow(tidied(run), "rep long, items array<long>")
 
 
 def _blocks(members: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import slices
+from .store import slices, tidied
 from .tokens import default_tokenizer, encoder, with_end
 
 WINDOW = 2048
@@ -171,7 +171,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, window:
         yield from ready(1)
 
     schema = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), schema)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels
-from .store import row_key, slices, stored
+from .store import row_key, slices, stored, tidied
 
 #: Code points between complementary parts, at most, and the stretch by which the join is dealt.
 SCOPE, STRETCH = 256, 512
@@ -118,7 +118,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     spans = "array<struct<start:long,end:long,kind:string>>"
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *row_key()).withColumn("k_doc", F.coalesce(F.col("k_doc").cast("long"), F.lit(-1)))
-    return keyed.mapInArrow(run, f"doc_id long, k_doc long, k_text long, base {spans}, weak {spans}")
+    return keyed.mapInArrow(tidied(run), f"doc_id long, k_doc long, k_text long, base {spans}, weak {spans}")
 
 
 def linked(scanned: DataFrame, scope: int = SCOPE) -> DataFrame:

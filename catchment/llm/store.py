@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -57,6 +59,21 @@ def table(data: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(data[f.name], type=f.type) if not isinstance(data[f.name], pa.Array) else data[f.name].cast(f.type) for f in schema], schema=schema)
 
 
+def tidied(run):
+    """run(batches), after which the worker process gives freed memory back to the system. Workers are kept between tasks, and what
+    their allocators hold on to would count against the executor for as long."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not the GNU C library
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20):
     """Cut a record batch into runs of rows whose strings hold about most_bytes together; a longer row stands alone."""
     import numpy as np

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels
-from .store import new_path, parts, slices, stored
+from .store import new_path, parts, slices, stored, tidied
 
 #: Byte classes for cutting plain text into words: space, other white space, letter, digit, other; _ODD marks bytes that a plain text lacks. Plain are ASCII without
 #: control characters and the letters U+00C0-U+017F, which are letters under any Unicode version.
@@ -246,7 +246,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
                 binary = pa.Array.from_buffers(pa.large_binary(), b.num_rows, [None, pa.py_buffer((offsets * size).astype(np.int64)), pa.py_buffer(out)])
                 yield pa.RecordBatch.from_arrays([doc, pa.array(shard), binary.cast(pa.binary())], names=["doc_id", "shard", "ids"])
 
-    encoded = docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, shard int, ids binary")
+    encoded = docs.select("doc_id", "text").mapInArrow(tidied(encode), "doc_id long, shard int, ids binary")
     dealt = encoded.repartitionById(n, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +276,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
             index.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "file": [name], "documents": pa.array([documents], pa.int64()), "tokens": pa.array([total], pa.int64())})
 
-    shards = stored(dealt.mapInArrow(write, "shard int, file string, documents long, tokens long"), "shards")
+    shards = stored(dealt.mapInArrow(tidied(write), "shard int, file string, documents long, tokens long"), "shards")
     rows = sorted(shards.collect())  # one row a partition
     base, manifest = 0, []
     for r in rows:
@@ -322,7 +322,7 @@ def read_token_files(spark: SparkSession, folder: str, block: int = 1 << 20) ->
                     at = to
 
     shards = max(1, manifest.count())
-    return manifest.repartitionById(shards, F.pmod("shard", F.lit(shards))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return manifest.repartitionById(shards, F.pmod("shard", F.lit(shards))).mapInArrow(tidied(run), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels
-from .store import slices, stored
+from .store import slices, stored, tidied
 
 #: Labelled documents that a model is learnt from, at most. The smallest hashes of doc_id are taken, so the choice is stable.
 MAX_LABELLED = 50_000
@@ -218,7 +218,7 @@ def scored(docs: DataFrame, model: Model, extra: list[str]) -> DataFrame:
     flat = docs.select("text", *[c for c in extra if c != "text"])
     kinds = dict(flat.dtypes)
     schema = ", ".join([f"`{n}` {kinds[n]}" for n in extra] + ["tokens long", "passages array<struct<start:long,end:long,score:double>>"])
-    return flat.mapInArrow(run, schema)
+    return flat.mapInArrow(tidied(run), schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep: Column, most: int = MAX_LABELLED) -> Model | None:
@@ -230,11 +230,11 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, most: int = MAX_LABELL
         return None
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     few = F.broadcast(sample)  # at most `most` rows
-    toxic = plain.join(few.filter("toxic = 1"), "doc_id").select("text", "fold").mapInArrow(_toxic_features, "h long, n long")
+    toxic = plain.join(few.filter("toxic = 1"), "doc_id").select("text", "fold").mapInArrow(tidied(_toxic_features), "h long, n long")
     common = toxic.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_TOXIC).select("h")
     hashes = np.sort(np.array(common.toPandas()["h"], np.int64).view(np.uint64))
     group = plain.join(few.select("doc_id", (1 + F.col("toxic") + 2 * F.col("fold")).alias("grp")), "doc_id", "left").select("text", "grp")
-    sums = group.mapInArrow(_document_counts(hashes), "h long, n long, c1 long, c2 long, c3 long, c4 long")
+    sums = group.mapInArrow(tidied(_document_counts(hashes)), "h long, n long, c1 long, c2 long, c3 long, c4 long")
     sums = sums.groupBy("h").agg(*[F.sum(c).alias(c) for c in ("n", "c1", "c2", "c3", "c4")]).toPandas().sort_values("h")
     documents = docs.count()
     h = sums["h"].to_numpy(np.int64).view(np.uint64)
