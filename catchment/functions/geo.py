@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import _c
 
@@ -158,29 +160,26 @@ def degrees_of(east, north):
     return _shifted(np.degrees(lat), np.degrees(lon), AIRY, WGS84, 1)
 
 
-@F.pandas_udf("struct<east:double,north:double>")
-def _to_grid(lat, lon):
-    import pandas as pd
+_PAIR = lambda a, b: T.StructType([T.StructField(a, T.DoubleType()), T.StructField(b, T.DoubleType())])
 
+
+def _to_grid(lat: pd.Series, lon: pd.Series) -> pd.DataFrame:
     east, north = grid_of(lat.to_numpy(float), lon.to_numpy(float))
     return pd.DataFrame({"east": east, "north": north})
 
 
-@F.pandas_udf("struct<lat:double,lon:double>")
-def _from_grid(east, north):
-    import pandas as pd
-
+def _from_grid(east: pd.Series, north: pd.Series) -> pd.DataFrame:
     lat, lon = degrees_of(east.to_numpy(float), north.to_numpy(float))
     return pd.DataFrame({"lat": lat, "lon": lon})
 
 
 def to_grid(lat, lon) -> Column:
     """National grid (east, north) of WGS84 degrees."""
-    return _to_grid(_c(lat).cast("double"), _c(lon).cast("double"))
+    return F.pandas_udf(_to_grid, _PAIR("east", "north"))(_c(lat).cast("double"), _c(lon).cast("double"))
 
 
 def from_grid(east, north) -> Column:
-    return _from_grid(_c(east).cast("double"), _c(north).cast("double"))
+    return F.pandas_udf(_from_grid, _PAIR("lat", "lon"))(_c(east).cast("double"), _c(north).cast("double"))
 
 
 def cell(lat, lon, metres: float) -> tuple[Column, Column]:

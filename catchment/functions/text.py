@@ -5,8 +5,10 @@ The normalisers differ on purpose; each keeps the rule of the data that it serve
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word boundary that counts A-Z, a-z, 0-9 and _ alone as word characters.
 EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
@@ -35,12 +37,15 @@ def normal_ascii(c) -> Column:
     return F.trim(F.regexp_replace(F.lower(text(c)), "[^a-z0-9]+", " "))
 
 
-@F.pandas_udf("string")
-def nfkd(s):
-    """Compatibility decomposition."""
+def _decompose(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFKD")
 
 
+def nfkd(c) -> Column:
+    """Compatibility decomposition, which has no built-in function."""
+    return F.pandas_udf(_decompose, T.StringType())(_c(c))
+
+
 def normal_folded(c) -> Column:
     """As normal_ascii, after decomposition: accents split off, so a letter with one becomes the letter and a space."""
     return F.trim(F.regexp_replace(nfkd(F.lower(text(c))), "[^a-z0-9]+", " "))
@@ -187,7 +192,7 @@ def frequency_words(n) -> Column:
 
 def sentences(parts: Column) -> Column:
     """Distinct non-empty sentences with one full stop each."""
-    return F.array_join(F.array_distinct(F.transform(F.filter(parts, lambda x: x.isNotNull() & (x != "")), lambda x: F.regexp_replace(F.trim(x), r"\.?$", "."))), " ")
+    return F.array_join(F.array_distinct(F.transform(F.filter(parts, lambda x: x.isNotNull() & (x != "")), lambda x: F.when(F.trim(x).endswith("."), F.trim(x)).otherwise(F.concat(F.trim(x), F.lit("."))))), " ")
 
 
 NO_SERVICE = "(?i)" + words(r"no\s+(?:sunday\s+)?service")

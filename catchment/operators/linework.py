@@ -1,0 +1,103 @@
+"""Steps over lines that depend on order: chunks with overlap, stitching and greedy placement. Each works on one line or drawing at a time, in Arrow batches."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+
+def overlapping_chunks(lines: DataFrame, most: int, key: str = "route_id", order: str = "seq", original: str | None = None) -> DataFrame:
+    """(key, chunk, first, last, n): runs of at most `most` vertices, each starting at the vertex that the one before ends with. With original, a boolean column, a run ends at the last original vertex
+    that it holds, if it holds any after its first."""
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        seq = pdf[order].tolist()
+        own = pdf[original].tolist() if original else [True] * len(seq)
+        rows, at = [], 0
+        while at < len(seq) - 1:
+            to = min(at + most - 1, len(seq) - 1)
+            back = to
+            while back > at and to < len(seq) - 1 and not own[back]:
+                back -= 1
+            to = back if back > at else to
+            rows.append((pdf[key].iloc[0], len(rows), seq[at], seq[to], to - at + 1))
+            at = to
+        return pd.DataFrame(rows, columns=[key, "chunk", "first", "last", "n"])
+
+    return lines.groupBy(key).applyInPandas(cut, f"{key} long, chunk long, first long, last long, n long")
+
+
+def stitched(lines: DataFrame, piece: int = 10, key: str = "route_id", order: str = "seq", better: float = 0.5, tolerance: float = 15.0) -> DataFrame:
+    """(key, pieces, turned, gaps): runs of `piece` vertices joined end to end. A piece is turned if that brings its start nearer by more than `better` metres; a gap is a join over `tolerance` metres."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        pdf = pdf.sort_values(order)
+        xy = pdf[["lon", "lat"]].to_numpy() * [111320.0 * np.cos(np.radians(51.5)), 110540.0]
+        pieces = [xy[i : i + piece] for i in range(0, len(xy), piece)]
+        turned = gaps = 0
+        end = pieces[0][-1]
+        for p in pieces[1:]:
+            straight, back = np.hypot(*(p[0] - end)), np.hypot(*(p[-1] - end))
+            if back + better < straight:
+                turned, p, straight = turned + 1, p[::-1], back
+            gaps += straight > tolerance
+            end = p[-1]
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "pieces": [len(pieces)], "turned": [turned], "gaps": [int(gaps)]})
+
+    return lines.groupBy(key).applyInPandas(run, f"{key} long, pieces long, turned long, gaps long")
+
+
+def placed_labels(labels: DataFrame, drawing: str = "drawing", most: int = 32, per_key: int = 2) -> DataFrame:
+    """The labels (drawing, label, priority, x, y, w, h, seq) that fit: by priority, then width, label and seq, each is placed unless it overlaps a placed one, its key has per_key already, or the drawing
+    has `most`. One drawing at a time; a drawing holds few labels."""
+
+    def place(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["priority", "w", "label", "seq"], ascending=[False, False, True, True])
+        kept, used = [], {}
+        for r in pdf.itertuples():
+            if len(kept) >= most or used.get(r.label, 0) >= per_key:
+                continue
+            if any(abs(r.x - k.x) * 2 < r.w + k.w and abs(r.y - k.y) * 2 < r.h + k.h for k in kept):
+                continue
+            kept.append(r)
+            used[r.label] = used.get(r.label, 0) + 1
+        return pdf.loc[[k.Index for k in kept], [drawing, "label", "seq"]]
+
+    return labels.groupBy(drawing).applyInPandas(place, f"{drawing} long, label string, seq long")
+
+
+def resolved_stations(stations: DataFrame, site: str = "site_id", metres: float = 300.0) -> DataFrame:
+    """Greedy resolution of stations (site, seq, name, mode, code, lat, lon, richness, straight): in order of seq, one joins the first kept row with its code, or with its name and mode within `metres`; the richer
+    row's values win, its code and the smaller distance are kept. (site, seq, code, straight, members) for each kept row. Later rows are compared with what earlier ones became, so the order is part of the
+    result; sites are independent."""
+
+    def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        kept: list[dict] = []
+        for r in pdf.sort_values("seq").to_dict("records"):
+            for k in kept:
+                same = bool(r["code"]) and r["code"] == k["code"]
+                if not same and r["name"] and r["name"] == k["name"] and r["mode"] == k["mode"]:
+                    a, b = np.radians([r["lat"], k["lat"]])
+                    h = np.sin((b - a) / 2) ** 2 + np.cos(a) * np.cos(b) * np.sin(np.radians(k["lon"] - r["lon"]) / 2) ** 2
+                    same = 2 * 6371000.0 * np.arctan2(np.sqrt(h), np.sqrt(1 - h)) <= metres
+                if same:
+                    richer = r if r["richness"] > k["richness"] else k
+                    k.update({c: richer[c] for c in ("name", "mode", "lat", "lon", "richness")}, code=k["code"] or r["code"], straight=min(k["straight"], r["straight"]), members=k["members"] + 1)
+                    break
+            else:
+                kept.append({**r, "members": 1})
+        return pd.DataFrame(kept)[[site, "seq", "code", "straight", "members"]]
+
+    return stations.groupBy(site).applyInPandas(resolve, f"{site} long, seq long, code string, straight double, members long")
+
+
+def first_part_order(df: DataFrame, key: str, order: str) -> DataFrame:
+    """df with band, alternating over the rows of each key."""
+    return df.withColumn("band", (F.row_number().over(W.partitionBy(key).orderBy(order)) - 1) % 2)
