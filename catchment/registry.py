@@ -71,7 +71,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from .plans import evidence, exports, geometry, knowledge, matching, networks, planning, reporting, scalars, search  # noqa: F401
+    from .plans import details, evidence, exports, geometry, knowledge, matching, networks, planning, reporting, scalars, search  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
