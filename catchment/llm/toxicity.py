@@ -30,6 +30,8 @@ MAX_LABELLED = 50_000
 PREFIXES = (4, 5, 6, 7, 8)
 #: Toxic documents in which a feature must occur; prior documents; standard deviations to the lower bound; least weight kept; longest run of unremarkable tokens' cost.
 LEAST_TOXIC, PRIOR, DEVIATIONS, LEAST_WEIGHT = 3, 10.0, 2.5, 0.5
+#: By how much the corpus's share of the prior can raise a weight at most.
+PRIOR_SLACK = 0.5
 #: Expected chance segments up to which a segment is significant.
 SIGNIFICANT = 0.5
 
@@ -177,6 +179,12 @@ class Model:
         return sum(e for s in scores if (e := self.rate * s - base) >= least)
 
 
+def _summed(texts: DataFrame, hashes: np.ndarray, columns: tuple[str, ...]):
+    """Document frequencies of the features over texts(text, grp), as a local table: one row for each feature, whose number is bounded."""
+    sums = texts.mapInArrow(tidied(_document_counts(np.sort(hashes))), "h long, n long, c1 long, c2 long, c3 long, c4 long")
+    return sums.groupBy("h").agg(*[F.sum(k).alias(k) for k in columns]).toPandas().sort_values("h")
+
+
 def learn_weights(y1: np.ndarray, y0: np.ndarray, n1: int, n0: int, corpus: np.ndarray, documents: int) -> np.ndarray:
     prior = PRIOR * corpus / max(1, documents) + 0.5
     total = PRIOR + 1.0
@@ -233,22 +241,30 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, most: int = MAX_LABELL
     toxic = plain.join(few.filter("toxic = 1"), "doc_id").select("text", "fold").mapInArrow(tidied(_toxic_features), "h long, n long")
     common = toxic.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_TOXIC).select("h")
     hashes = np.sort(np.array(common.toPandas()["h"], np.int64).view(np.uint64))
-    group = plain.join(few.select("doc_id", (1 + F.col("toxic") + 2 * F.col("fold")).alias("grp")), "doc_id", "left").select("text", "grp")
-    sums = group.mapInArrow(tidied(_document_counts(hashes)), "h long, n long, c1 long, c2 long, c3 long, c4 long")
-    sums = sums.groupBy("h").agg(*[F.sum(c).alias(c) for c in ("n", "c1", "c2", "c3", "c4")]).toPandas().sort_values("h")
-    documents = docs.count()
+    n = lambda t, f: counts.get((t, f), 0)
+    halves = bool(n(1, 0) and n(0, 0) and n(1, 1) and n(0, 1))
+
+    # counts in the labelled sample; what can't become telling there needs no count in the corpus
+    group = plain.join(few.select("doc_id", (1 + F.col("toxic") + 2 * F.col("fold")).alias("grp")), "doc_id").select("text", "grp")
+    sums = _summed(group, hashes, ("c1", "c2", "c3", "c4"))
     h = sums["h"].to_numpy(np.int64).view(np.uint64)
-    c = {k: sums[k].to_numpy(float) for k in ("n", "c1", "c2", "c3", "c4")}  # c1: clean, fold 0; c2: toxic, fold 0; c3, c4: fold 1
+    c = {k: sums[k].to_numpy(float) for k in ("c1", "c2", "c3", "c4")}  # c1: clean, fold 0; c2: toxic, fold 0; c3, c4: fold 1
+    least = LEAST_WEIGHT - PRIOR_SLACK
+    may = learn_weights(c["c2"] + c["c4"], c["c1"] + c["c3"], size(1), size(0), 0.0, 1) >= least
+    if halves:
+        may |= learn_weights(c["c2"], c["c1"], n(1, 0), n(0, 0), 0.0, 1) >= least
+    h, c = h[may], {k: v[may] for k, v in c.items()}
+    documents = docs.count()
+    corpus = _summed(plain.select("text", F.lit(0).cast("int").alias("grp")), h, ("n",)).set_index("h")["n"].reindex(h.view(np.int64), fill_value=0).to_numpy(float)
 
     def model(y1, y0, n1, n0) -> Model:
-        w = learn_weights(y1, y0, n1, n0, c["n"], documents)
+        w = learn_weights(y1, y0, n1, n0, corpus, documents)
         telling = w >= LEAST_WEIGHT
         # tokens that tell nothing are likelier in clean text by the share of those that tell
         share = float(y1[telling].sum()) / max(1, n1) / 600
         return Model(h[telling], w[telling], max(0.01, min(0.5, share)))
 
-    n = lambda t, f: counts.get((t, f), 0)
-    half = model(c["c2"], c["c1"], n(1, 0), n(0, 0)) if n(1, 0) and n(0, 0) and n(1, 1) and n(0, 1) else None
+    half = model(c["c2"], c["c1"], n(1, 0), n(0, 0)) if halves else None
     full = model(c["c2"] + c["c4"], c["c1"] + c["c3"], size(1), size(0))
     tuned, on = (half, few.filter("fold = 1")) if half is not None else (full, few)
     rows = scored(plain.join(on.select("doc_id", "toxic"), "doc_id"), tuned, ["toxic"]).select("toxic", "tokens", F.transform("passages", lambda p: p["score"]).alias("s")).toPandas()
