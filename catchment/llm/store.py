@@ -41,8 +41,9 @@ def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Let Arrow batches hold fewer rows than by default: whole documents are long rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    """Let scans and Arrow batches hold fewer rows than by default: whole documents are long rows, and a batch is one array of their bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
 
 
 def parts(spark: SparkSession) -> int:
