@@ -29,11 +29,13 @@ class LineRuns:
         self.spark, self.threshold, self.fanout = spark, threshold, fanout
         self.buckets = buckets or parts(spark)
         self.levels: list[list[DataFrame]] = []
+        self.names: list[str] = []
 
     def _written(self, counts: DataFrame) -> DataFrame:
         name = f"line_run_{uuid.uuid4().hex}"
         path = new_path(self.spark, name)
         counts.write.bucketBy(self.buckets, "line_hash").sortBy("line_hash").option("path", path).option("compression", "zstd").saveAsTable(name)
+        self.names.append(name)
         return self.spark.table(name)
 
     def add(self, lines: DataFrame) -> None:
@@ -54,6 +56,11 @@ class LineRuns:
             self.levels[level] = []
             level += 1
 
+    def forget(self) -> None:
+        """Drop the runs' catalog entries; their files stay in the shared folder."""
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
     def runs(self) -> list[DataFrame]:
         return [r for level in self.levels for r in level]
 
@@ -137,6 +144,7 @@ def dedup_lines(docs: DataFrame, threshold: int = 10, batches: int = 4, keep: li
     for i in range(batches):
         runs.add(lines.filter(F.col("batch") == i))
     frequent = stored(runs.frequent(), "frequent-lines")
+    runs.forget()
     hot = lines.select("k_doc", "k_text", "line_hash").join(frequent, "line_hash", "left_semi")
     hot = hot.groupBy("k_doc", "k_text").agg(F.collect_set("line_hash").alias("hot"))
     keyed = docs.select("*", *[c.alias(f"__{n}") for c, n in zip(row_key(), ("doc", "text"))])
