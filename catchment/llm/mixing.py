@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .store import row_key, stored
 
 #: Rows in one range of a prefix sum.
-RANGE_ROWS = 4096
+RANGE_ROWS = 1024
 WORD = r"[^\x20\x09-\x0D]+"
 
 
