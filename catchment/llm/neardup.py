@@ -218,7 +218,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of docs whose document stays: one doc_id of each group, and all rows without doc_id."""
     gone = near_duplicates(docs.select("doc_id", "text"), percent).filter("not kept").select("doc_id").distinct()
     return docs.join(stored(gone, "near-duplicates"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

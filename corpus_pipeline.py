@@ -26,9 +26,9 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (likeness 0.85) stays, the one with the smallest doc_id."""
+    """One document of each group of near duplicates (likeness 0.8) stays, the one with the smallest doc_id."""
     small_batches(spark)
-    return neardup.drop_near_duplicates(docs, percent=85)
+    return neardup.drop_near_duplicates(docs, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from catchment.llm import chat, fingerprint, graph, kernels, lines, media, mixing, neardup, packing, secrets, tokens, toxicity
 
 LONG = " ".join(f"w{i * 7919 % 10007}" for i in range(30_000))
@@ -165,6 +166,24 @@ def test_near_duplicates_equal_brute_force_in_families(spark, seed, monkeypatch)
     assert got == brute_components(rows)
 
 
+def test_stage_drops_near_copies_from_four_fifths(spark):
+    """Likeness 46/56 (0.82) goes, 42/56 (0.75) stays; the groups are those of brute force at 80."""
+    words = lambda f, n: " ".join(f"{f}{i}" for i in range(n))
+    rows = [(1, words("a", 60)), (2, words("a", 50)), (3, words("b", 60)), (4, words("b", 46))]
+    rng = random.Random(7)
+    for f in range(3):
+        for _ in range(30):
+            w = words(f"f{f}w", 100).split()
+            for _ in range(rng.randint(0, 4)):
+                w[rng.randrange(len(w))] = f"e{rng.randint(0, 10**6)}"
+            rows.append((10 + len(rows), " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i for i, (_, c) in brute_components(rows, 80).items() if i == c}
+    assert {1, 3, 4} <= want and 2 not in want
+    for kept in (corpus_pipeline.drop_near_duplicates(spark, docs, ""), neardup.drop_near_duplicates(docs)):
+        assert {r["doc_id"] for r in kept.collect()} == want
+
+
 def test_chunk_keys_miss_no_pair_under_the_threshold():
     rng = np.random.default_rng(4)
     t = neardup.distance_threshold(85)
