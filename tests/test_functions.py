@@ -142,3 +142,51 @@ def test_chunks_share_a_vertex(spark):
     rows = spark.createDataFrame([(1, i, i % 3 == 0) for i in range(100)], "route_id long, seq long, own boolean")
     got = sorted(tuple(r) for r in linework.overlapping_chunks(rows, 40, original="own").collect())
     assert [g[2] for g in got][1:] == [g[3] for g in got][:-1] and got[0][2] == 0 and got[-1][3] == 99 and all(g[4] <= 40 for g in got)
+
+
+def corridor_brute(lines, metres=28.0):
+    """{(a, b): (forth, back)} by all sampled vertices against all segments."""
+    def near(p, a, b):
+        k = 111320 * math.cos(math.radians(p[1]))
+        (ax, ay), (bx, by) = (((q[0] - p[0]) * k, (q[1] - p[1]) * 110540) for q in (a, b))
+        dx, dy = bx - ax, by - ay
+        r = max(0.0, min(1.0, -(ax * dx + ay * dy) / (dx * dx + dy * dy))) if dx or dy else 0.0
+        return math.hypot(ax + r * dx, ay + r * dy) <= metres
+
+    def samples(v):
+        return v if len(v) <= 36 else [v[math.floor(i * (len(v) - 1) / 35 + 0.5)] for i in range(36)]
+
+    def share(a, b):
+        s = samples(a)
+        return sum(any(near(p, x, y) for x, y in zip(b, b[1:])) for p in s) / len(s)
+
+    ids = sorted(i for i, v in lines.items() if len(v) > 1)
+    out = {(i, j): (share(lines[i], lines[j]), share(lines[j], lines[i])) for n, i in enumerate(ids) for j in ids[n + 1 :]}
+    return {k: v for k, v in out.items() if max(v) > 0}
+
+
+@pytest.mark.parametrize("pieces", [4096, 3])
+def test_corridor_shares_equal_brute_force(spark, pieces, monkeypatch):
+    """Ids beyond 40, lines a few metres apart across a border of 1/400 degree, long segments, lines of more than 36 vertices and of one."""
+    monkeypatch.setattr(spatial, "CELL_PIECES", pieces)
+    rng = random.Random(3)
+    lines = {100: [(0.001 * i, 51.49999) for i in range(6)], 101: [(0.001 * i, 51.50001) for i in range(6)], 102: [(0.0, 51.502), (0.005, 51.502)], 103: [(0.002, 51.5)]}
+    for i in range(12):
+        lines[7 + 13 * i] = [(rng.random() * 0.006, 51.5 + rng.random() * 0.003) for _ in range(rng.choice([2, 5, 36, 37, 50, 90]))]
+    rows = [(i, n, *p) for i, v in lines.items() for n, p in enumerate(v)]
+    rng.shuffle(rows)
+    got = spatial.corridor_shares(spark.createDataFrame(rows, "route_id long, seq long, lon double, lat double"), "route_id", "seq").collect()
+    want = corridor_brute(lines)
+    assert want[100, 101] == (1.0, 1.0) and (100, 102) not in want
+    flat = lambda pairs: {(*k, i): x for k, v in pairs.items() for i, x in enumerate(v)}
+    assert flat({(r["a"], r["b"]): (r["forth"], r["back"]) for r in got}) == pytest.approx(flat(want))
+
+
+def test_corridor_groups_reach_all_traces(spark):
+    from types import SimpleNamespace
+
+    from catchment.plans import networks
+
+    rows = [(i, n, 0.001 * n, 51.49999 + i % 2 * 2e-5) for i in (100, 101) for n in range(6)]
+    traces = spark.createDataFrame(rows, "route_id long, seq long, lon double, lat double")
+    assert sorted(map(tuple, networks.gr2(SimpleNamespace(traces=traces)).collect())) == [(100, 100), (101, 100)]
