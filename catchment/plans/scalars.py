@@ -211,15 +211,20 @@ def f07(t):
 _PHRASE = "CASE doc_id % 12 WHEN 0 THEN 'See the official operator website. ' WHEN 1 THEN 'Refer to timetable. ' WHEN 2 THEN 'Please consult the operator! ' WHEN 3 THEN 'Check TfL; ' WHEN 4 THEN 'Research required. ' WHEN 5 THEN 'Details are not found. ' WHEN 6 THEN 'Facilities require confirmation. ' WHEN 7 THEN 'No published information was found. ' ELSE 'All fine. ' END"
 
 
+def _planted():
+    """The phrase and the whole text; a null text is empty."""
+    return F.concat(F.expr(_PHRASE), F.coalesce("text", F.lit("")))
+
+
 @query("f08_placeholder", "SELECT doc_id FROM documents WHERE doc_id % 12 < 8")
 def f08(t):
-    """Each phrase is recognised before the first 40 characters of a document."""
-    return t.documents.filter(evidence.is_placeholder(F.concat(F.expr(_PHRASE), F.substring("lang", 1, 40)))).select("doc_id")
+    """Placeholder wording anywhere in a document's whole text, with a phrase planted before it."""
+    return t.documents.filter(evidence.is_placeholder(_planted())).select("doc_id")
 
 
 @query("f09_not_importable", "SELECT doc_id FROM documents WHERE doc_id % 12 IN (1, 3)")
 def f09(t):
-    return t.documents.filter(evidence.is_lazy(F.concat(F.expr(_PHRASE), F.col("lang")))).select("doc_id")
+    return t.documents.filter(evidence.is_lazy(_planted())).select("doc_id")
 
 
 _SPECIFIC = lambda c: f"({_is_url(c)} AND regexp_matches({c}, '(?i)^https?:') AND regexp_matches({_path(c)}, '[^/]'))"

@@ -190,3 +190,17 @@ def test_corridor_groups_reach_all_traces(spark):
     rows = [(i, n, 0.001 * n, 51.49999 + i % 2 * 2e-5) for i in (100, 101) for n in range(6)]
     traces = spark.createDataFrame(rows, "route_id long, seq long, lon double, lat double")
     assert sorted(map(tuple, networks.gr2(SimpleNamespace(traces=traces)).collect())) == [(100, 100), (101, 100)]
+
+
+def test_placeholders_are_found_in_whole_texts(spark):
+    """doc_id 8 to 11 have no phrase planted: only the text can tell."""
+    from types import SimpleNamespace
+
+    from catchment.plans import scalars
+
+    far = "All is well here. " * 5000
+    rows = [(8, far + "Refer to\n the TIMETABLE"), (9, far), (10, None), (11, far + "Not  researched."), (20, "Details - unknown"), (21, far + "verify manually " + far), (22, ""), (1, None), (0, far), (3, far)]
+    t = SimpleNamespace(documents=spark.createDataFrame([(i, x, "en") for i, x in rows], "doc_id long, text string, lang string"))
+    ids = lambda df: sorted(r["doc_id"] for r in df.collect())
+    assert ids(scalars.f08(t)) == [0, 1, 3, 8, 11, 20]
+    assert ids(scalars.f09(t)) == [1, 3, 21]
