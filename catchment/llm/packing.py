@@ -3,7 +3,7 @@
 Documents longer than a window give full windows of their own; what remains of each document waits in a bounded pool. A window takes the
 longest waiting length and then the multiset of waiting lengths that brings it closest to its capacity: a subset-sum dynamic programme over
 big-integer bitsets, one bitset for each step, backtracked to counts. The pattern is used as often as the pool allows. While documents arrive only
-full windows leave the pool. When they end, what is missing in a window is cut from the longest waiting piece, and the last tokens fill windows whose lengths
+full windows leave the pool; where the waiting lengths don't add up to enough of them, and also when documents end, what is missing in a window is cut from the longest waiting piece, and the last tokens fill windows whose lengths
 are powers of two, which need no padding.
 
 Each task packs its own partition: nothing is shuffled, and a lost task is repeated alone with the same result.
@@ -116,6 +116,26 @@ class _Packer:
                 self._emit(pieces)
         for p in skipped:
             self._wait(p)
+        if not final and down_to < len(skipped):
+            self._cut(down_to)
+
+    def _cut(self, down_to: int) -> None:
+        """Full windows until no more than down_to pieces wait: what is missing next to the longest piece is cut from the longest of the others. A pool too small for a window stays."""
+        while self.n > max(down_to, 1):
+            longest = max(i for i, c in enumerate(self.counts) if c)
+            first = self._pull(longest)
+            pattern = closest_fill(self.counts, self.window - longest)
+            pieces = [first, *(self._pull(k) for k, v in pattern.items() for _ in range(v))]
+            missing = self.window - longest - sum(k * v for k, v in pattern.items())
+            if missing and not self.n:
+                for p in pieces:
+                    self._wait(p)
+                return
+            if missing:
+                doc, start, ids, total = self._pull(max(i for i, c in enumerate(self.counts) if c))
+                pieces.append((doc, start, ids[:missing], total))
+                self._wait((doc, start + missing, ids[missing:], total))
+            self._emit(pieces)
 
     def _tail(self, pieces) -> None:
         """The last tokens: windows of powers of two, longest first."""

@@ -113,6 +113,24 @@ def test_packing_keeps_every_id_once(docs, empty, encode, pool):
     assert packing.pack(empty).count() == 0
 
 
+@pytest.mark.parametrize("length", [1500, 1000, 700])
+def test_pool_is_bounded_for_equal_lengths(length):
+    packer = packing._Packer(2048, 0)
+    for doc in range(300):
+        packer.add(doc, np.arange(length))
+        if packer.n >= 64:
+            packer.fill(16)
+            assert packer.n <= 16
+    packer.fill(0, final=True)
+    got, sequences = defaultdict(list), Counter()
+    for doc, start, ids, total, sequence, _ in packer.rows:
+        got[doc] += list(ids)
+        assert list(ids) == list(range(start, start + len(ids))) and total == length
+        sequences[sequence] += len(ids)
+    assert len(got) == 300 and all(sorted(v) == list(range(length)) for v in got.values())
+    assert sum(n != 2048 for n in sequences.values()) <= 11
+
+
 def shingle_set(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
