@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+
 
 def _keys(keys) -> list:
     return [keys] if isinstance(keys, (str, Column)) else list(keys)
@@ -32,11 +34,22 @@ def two_level(df: DataFrame, exact, similar, seq: str = "seq") -> DataFrame:
 
 
 def chunked(df: DataFrame, size: int, order, keys=()) -> DataFrame:
-    """df with chunk, the number of its run of size rows within keys. Without keys all rows are numbered in one task: for plans of bounded size."""
-    w = W.partitionBy(*_keys(keys)).orderBy(*_keys(order)) if _keys(keys) else W.orderBy(*_keys(order))
+    """df with chunk, the number of its run of size rows within keys, or of the whole table without keys."""
+    if not _keys(keys):
+        return numbered(df, order, "_place").withColumn("chunk", F.floor((F.col("_place") - 1) / size)).drop("_place")
+    w = W.partitionBy(*_keys(keys)).orderBy(*_keys(order))
     return df.withColumn("chunk", F.floor((F.row_number().over(w) - 1) / size))
 
 
+def numbered(df: DataFrame, order, name: str) -> DataFrame:
+    """df with name, the place from 1 of each row of the whole table in an order: places within ranges of the order, after the rows of the ranges before. Only the counts of ranges meet in one task."""
+    dealt = stored(df.repartitionByRange(*_keys(order)).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = counts.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(W.partitionBy("_range").orderBy(*_keys(order)))
+    return dealt.withColumn(name, place).join(F.broadcast(before), "_range").withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")
+
+
 def duplicates(df: DataFrame, keys, seq: str = "seq") -> DataFrame:
     """Later rows of a key with the seq of its first row, as first_seq."""
     w = W.partitionBy(*_keys(keys))

@@ -199,9 +199,8 @@ def w18(t):
 @query("o03_natural_order", "SELECT route_id, CAST(row_number() OVER (ORDER BY regexp_extract(lower(route_number), '^(\\D*)', 1), CAST(regexp_extract(route_number, '(\\d+)', 1) AS INTEGER), lower(route_number), route_number, route_id) AS INTEGER) AS shown FROM routes")
 def o03(t):
     """Numbers in names sort by value. One list for display."""
-    from pyspark.sql import Window as W
-
-    return t.routes.select("route_id", F.row_number().over(W.orderBy(*select.natural_order("route_number"), "route_id")).alias("shown"))
+    routes = t.routes.select("route_id", "route_number")
+    return select.numbered(routes, [*select.natural_order("route_number"), F.col("route_id")], "shown").select("route_id", F.col("shown").cast("int").alias("shown"))
 
 
 @query("u02_union_distinct", "SELECT route_id FROM routes WHERE route_id % 2 = 0 UNION SELECT route_id FROM stop_routes")

@@ -2,13 +2,14 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from catchment.functions import evidence, geo, text
-from catchment.operators import classify, graph, linework, merge, planning, spatial
+from catchment.operators import classify, graph, linework, merge, planning, select, spatial
 
 
 def one(spark, column):
@@ -204,3 +205,25 @@ def test_placeholders_are_found_in_whole_texts(spark):
     ids = lambda df: sorted(r["doc_id"] for r in df.collect())
     assert ids(scalars.f08(t)) == [0, 1, 3, 8, 11, 20]
     assert ids(scalars.f09(t)) == [1, 3, 21]
+
+
+def test_whole_lists_are_numbered_in_ranges(spark):
+    rows = [(i * 7919 % 1000, None if i % 50 == 0 else f"n{i % 9}") for i in range(1000)]
+    df = spark.createDataFrame(rows, "id long, name string").repartition(7)
+    got = select.numbered(df, ["name", F.col("id").desc()], "place")
+    want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or "", -r[0]))
+    assert [(r["id"], r["name"]) for r in sorted(got.collect(), key=lambda r: r["place"])] == want
+    assert sorted(r["place"] for r in got.collect()) == list(range(1, 1001))
+    assert select.numbered(df.limit(0), ["id"], "place").count() == 0
+    plan = select.chunked(df, 5, [F.col("id")])._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_range" in plan and plan.count("SinglePartition") == 1  # the counts of ranges
+
+
+def test_service_packs_are_planned_by_stop(spark):
+    from types import SimpleNamespace
+
+    from catchment.plans import planning as plans
+
+    links = spark.createDataFrame([(s, r) for s in (3, 13, 23) for r in range(8)], "stop_id long, route_id long")
+    got = Counter((r["plan"], r["pack"]) for r in plans.m09(SimpleNamespace(stop_routes=links)).collect())
+    assert got == {(s, k): n for s in (3, 13, 23) for k, n in ((0, 6), (1, 2))}
