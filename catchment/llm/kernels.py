@@ -1,7 +1,7 @@
 """Vectorised text kernels on Arrow string buffers: words, shingles and lines as 64-bit hashes.
 
-All of them take whole texts; a null counts as an empty text. Hashes are polynomial prefix sums modulo 2**64 that a
-multiply-and-shift mixer finishes, so that any span of bytes is hashed in constant time.
+All of them take whole texts; a null counts as an empty text. Hashes are polynomial prefix sums modulo two primes, 62 bits together, that a
+multiply-and-shift mixer finishes, so that any span of bytes is hashed in constant time. (Modulo a power of two, texts like Thue-Morse words would collide.)
 """
 
 from __future__ import annotations
@@ -10,8 +10,10 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Moduli and bases of the two polynomials. Primes below 2**31 keep every product within 64 bits.
+_PRIMES = (2147483647, 2147483629)
+_BASES = (1640531527, 1181783497)
+_INVERSES = tuple(pow(b, -1, p) for b, p in zip(_BASES, _PRIMES))
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -19,16 +21,16 @@ _LOWER[65:91] += 32
 _powers = {}
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept between calls and doubled as texts get longer."""
+def powers(base: int, prime: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo prime, kept between calls and doubled as texts get longer."""
     got = _powers.get(base)
     if got is None or len(got) < n:
         size = max(1 << 16, 1 << (n - 1).bit_length())
         got = np.empty(size, U)
         got[0], done, step = 1, 1, base
         while done < size:
-            got[done : 2 * done] = got[:done] * U(step)
-            done, step = 2 * done, step * step % (1 << 64)
+            got[done : 2 * done] = got[:done] * U(step) % U(prime)
+            done, step = 2 * done, step * step % prime
         if size <= 1 << 21:
             _powers[base] = got
     return got[:n]
@@ -54,15 +56,24 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix(codes: np.ndarray) -> np.ndarray:
-    """Prefix sums P with P[i] = sum of (codes[j] + 1) * base**j over j < i."""
-    out = np.zeros(len(codes) + 1, U)
-    np.cumsum((codes.astype(U) + U(1)) * powers(_BASE, len(codes)), out=out[1:])
+    """Two rows of prefix sums P with P[i] = sum of (codes[j] + 1) * base**j over j < i, for each prime; sums aren't reduced, their differences are."""
+    n = len(codes)
+    out = np.zeros((len(_PRIMES), n + 1), U)
+    plus = codes.astype(U) + U(1)
+    small = codes.itemsize == 1 and n <= 1 << 23  # else the sum of n products could pass 64 bits
+    for row, base, prime in zip(out, _BASES, _PRIMES):
+        terms = plus * powers(base, prime, n)
+        np.cumsum(terms if small else terms % U(prime), out=row[1:])
     return out
 
 
 def spans(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Unmixed hash of each span [start, end) under prefix sums p; depends on the span's content alone."""
-    return (p[end] - p[start]) * powers(_INVERSE, len(p))[start]
+    """Unmixed 62-bit hash of each span [start, end) under prefix sums p; depends on the span's content alone."""
+    out = np.zeros(len(start), U)
+    for row, inverse, prime in zip(p, _INVERSES, _PRIMES):
+        part = (row[end] - row[start]) % U(prime)
+        out = out << U(31) | part * powers(inverse, prime, p.shape[1])[start] % U(prime)
+    return out
 
 
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -113,7 +124,7 @@ def shingles(texts: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     first = np.concatenate(([0], np.cumsum(counts)[:-1]))
     salt = [U((0xD6E8FEB86659FD93 * (2 * t + 3)) % (1 << 64) | 1) for t in range(width)]
     full = np.zeros(n, U)
-    for t in range(width):
+    for t in range(min(width, n)):
         full[: n - t] += h[t:] * salt[t]
     at = np.arange(n)
     left = (first + counts)[owner] - at
@@ -138,8 +149,6 @@ def line_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     data, offsets = buffers(texts)
     rows, n = len(offsets) - 1, len(data)
     breaks = np.flatnonzero(data == 10)
-    start = np.sort(np.concatenate((offsets[:-1], breaks + 1)), kind="stable")
-    end = np.sort(np.concatenate((offsets[1:], breaks)), kind="stable")
     counts = np.diff(np.searchsorted(breaks, offsets)) + 1
     owner = np.repeat(np.arange(rows), counts)
     # offsets and breaks interleave: a line starts at its text's start or after a break of the same text

@@ -14,6 +14,7 @@ on full sets. So every link between components is found, and nothing is capped.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
 
@@ -21,7 +22,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import kernels
@@ -31,6 +31,8 @@ from .store import slices, stored, tidied
 K, BITS, CHUNKS = 64, 16, 13
 #: Members and shingles of one block when components of a family are compared.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 1 << 20
+#: Tasks to which the rows of one bucket or family are dealt where they meet its centre or its size.
+SPREAD = 8
 
 
 def distance_threshold(percent: int, k: int = K) -> int:
@@ -58,7 +60,7 @@ def chunk_keys(sig: np.ndarray, threshold: int, chunks: int = CHUNKS) -> np.ndar
 
 
 def signatures(docs: DataFrame, width: int = 5, k: int = K) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, sig) for each row: size and 128-bit digest of the shingle set, and the signature (null for an empty set)."""
+    """(doc_id, n_shingles, d1, d2, sig) for each row: size and 128-bit cryptographic digest of the sorted shingle set, and the signature (null for an empty set)."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sig", pa.list_(pa.int32()))])
 
     def run(batches):
@@ -67,14 +69,11 @@ def signatures(docs: DataFrame, width: int = 5, k: int = K) -> DataFrame:
                 rows = b.num_rows
                 owner, h = kernels.shingles(b.column("text"), width)
                 n = np.bincount(owner, minlength=rows)
-                d1, d2 = np.zeros(rows, np.uint64), np.zeros(rows, np.uint64)
-                if len(h):
-                    cut = np.concatenate(([0], np.flatnonzero(np.diff(owner)) + 1))
-                    d1[owner[cut]] = np.add.reduceat(kernels.mix(h), cut)
-                    d2[owner[cut]] = np.add.reduceat(kernels.mix(h ^ np.uint64(0xA0761D6478BD642F)), cut)
+                ends = np.concatenate(([0], np.cumsum(n))).tolist()
+                digests = np.frombuffer(b"".join(hashlib.blake2b(h[a:z], digest_size=16).digest() for a, z in zip(ends, ends[1:])), "<i8").reshape(rows, 2)
                 sig = (kernels.minhash(owner, h, rows, k) & np.uint32((1 << BITS) - 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * k), pa.array(sig.ravel()), mask=pa.array(n == 0))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), lists], schema=schema)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(digests[:, 0]), pa.array(digests[:, 1]), lists], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), "doc_id long, n_shingles long, d1 long, d2 long, sig array<int>")
 
@@ -110,11 +109,17 @@ def shingle_sets(docs: DataFrame, reps: DataFrame, width: int = 5) -> DataFrame:
     return wanted.mapInArrow(tidied(run), "rep long, items array<long>")
 
 
+def spread_join(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
+    """many(key, rep, ...) joined with one(key, ...), which has a row for each key. A key's rows are dealt to SPREAD tasks by rep, each with a copy of the key's row."""
+    copies = one.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+    return many.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SPREAD))).join(copies, [key, "salt"]).drop("salt")
+
+
 def _blocks(members: DataFrame) -> DataFrame:
     """members(family, rep, label, n_shingles, ...) dealt to pairs of blocks (lo, hi) of bounded size; side is the member's own block."""
     size = members.groupBy("family").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("s"))
     size = size.select("family", F.greatest(F.ceil(F.col("m") / BLOCK_MEMBERS), F.ceil(F.col("s") / BLOCK_SHINGLES), F.lit(1)).alias("blocks"))
-    dealt = members.join(size, "family").withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    dealt = spread_join(members, size, "family").withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     return dealt.withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other")).drop("other", "blocks")
 
@@ -181,30 +186,36 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     nodes = classes.select("rep", "n_shingles", "sig")
 
     keys = bucket_keys(classes, threshold)
-    shared = keys.withColumn("m", F.count("*").over(W.partitionBy("key"))).filter("m > 1")
-    shared = stored(shared, "buckets")
+    shared = stored(spread_join(keys, keys.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "key"), "buckets")
     company = shared.groupBy("rep").agg(F.sum("m").alias("company"))
     central = shared.join(company, "rep").groupBy("key").agg(F.max(F.struct("company", (-F.col("rep")).alias("minus"))).alias("c")).select("key", (-F.col("c.minus")).alias("family"))
-    families = stored(shared.join(central, "key").select("family", "rep").distinct(), "families")
+    families = stored(spread_join(shared, central, "key").select("family", "rep").distinct(), "families")
 
     # each member against its centre: sizes, signature distance, then full sets
     pairs = families.filter("family <> rep").join(nodes, "rep")
-    centre = nodes.select(F.col("rep").alias("family"), F.col("n_shingles").alias("c_n"), F.col("sig").alias("c_sig"))
-    pairs = pairs.join(centre, "family").filter(F.least("n_shingles", "c_n") * 100 >= F.greatest("n_shingles", "c_n") * percent)
+    centre = nodes.select(F.col("rep").alias("family"), F.col("n_shingles").alias("c_n"), F.col("sig").alias("c_sig")).join(families.select("family").distinct(), "family", "left_semi")
+    pairs = spread_join(pairs, centre, "family").filter(F.least("n_shingles", "c_n") * 100 >= F.greatest("n_shingles", "c_n") * percent)
     apart = F.size(F.filter(F.zip_with("sig", "c_sig", lambda x, y: x != y), lambda x: x))
-    pairs = stored(pairs.filter(apart <= threshold).select("family", "rep"), "pairs")
+    pairs = stored(pairs.filter(apart <= threshold).select("family", "rep").distinct(), "pairs")
     wanted = stored(pairs.select("rep").union(pairs.select("family")).distinct(), "wanted")
     sets = stored(shingle_sets(docs, wanted, width), "sets")
-    held = pairs.join(sets, "rep").join(sets.select(F.col("rep").alias("family"), F.col("items").alias("c_items")), "family")
+    c_sets = sets.select(F.col("rep").alias("family"), F.col("items").alias("c_items")).join(pairs.select("family").distinct(), "family", "left_semi")
+    held = spread_join(pairs.join(sets, "rep"), c_sets, "family")
     common = F.size(F.array_intersect("items", "c_items"))
-    links = stored(held.filter(common * 100 >= (F.size("items") + F.size("c_items") - common) * percent).select(F.col("family").alias("a"), F.col("rep").alias("b")), "links")
+    links = held.filter(common * 100 >= (F.size("items") + F.size("c_items") - common) * percent).select(F.col("family").alias("a"), F.col("rep").alias("b"))
+
+    # different texts of one doc_id are one node
+    twice = solid.groupBy("doc_id").agg(F.count("*").alias("m")).filter("m > 1")
+    twins = solid.join(twice, "doc_id", "left_semi").join(classes.drop("sig"), ["d1", "d2", "n_shingles"]).select("doc_id", "rep").distinct()
+    same = twins.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    links = stored(links.union(twins.join(same, "doc_id").filter("a <> rep").select("a", F.col("rep").alias("b"))), "links")
     labels = connected_components(links)
 
     # families that hold several components: compare across components
     known = families.union(families.select("family", F.col("family").alias("rep"))).distinct().join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     known = known.withColumn("label", F.coalesce("label", "rep"))
     open_ = known.groupBy("family").agg(F.count("*").alias("m"), (F.min("label") != F.max("label")).alias("several")).filter("several and m > 2").select("family")
-    members = stored(known.join(open_, "family").join(nodes, "rep").select("family", "rep", "label", "n_shingles", "sig"), "open-members")
+    members = stored(spread_join(known, open_, "family").join(nodes, "rep").select("family", "rep", "label", "n_shingles", "sig"), "open-members")
     near = _blocks(members).groupBy("family", "lo", "hi").applyInPandas(_near_signatures(threshold), "family long, rep long, label long, n_shingles long")
     near = stored(near.distinct(), "near-members")
     more = stored(shingle_sets(docs, near.select("rep").distinct(), width), "more-sets")
