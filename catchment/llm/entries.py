@@ -5,10 +5,10 @@ from __future__ import annotations
 from . import chat, fingerprint, lines, media, mixing, neardup, packing, secrets, store, tokens, toxicity
 
 
-def _tuned(f):
+def _stored(name, query):
     def run(spark, sf_dir):
-        store.small_batches(spark)
-        return f(spark, sf_dir)
+        with store.small_batches(spark):
+            return store.stored(query(spark, sf_dir), name)
 
     return run
 
@@ -26,7 +26,7 @@ def queries() -> dict:
         "op9_line_dedup": lines.op9_line_dedup,
         "op10_mixing": mixing.op10_mixing,
     }
-    return {name: _tuned(f) for name, f in made.items()}
+    return {name: _stored(name, f) for name, f in made.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels
-from .store import parts, tidied
+from .store import parts, quantiles, tidied
 
 K = 64
 
@@ -106,11 +106,10 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     The ranges are quantiles of doc_id; only one id for each partition reaches the driver. Texts are shuffled once.
     """
-    n = parts(docs.sparkSession)
+    n = parts(docs)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     ids = docs.select(key.alias("i"))
-    bounds = ids.agg(F.percentile_approx("i", [j / n for j in range(1, n)] or [0.5], 10000).alias("b")).first()["b"] or []
-    bounds = np.unique(np.array(bounds, np.int64))[: n - 1]
+    bounds = np.array(quantiles(ids, "i", n), np.int64)
 
     def part(i: np.ndarray) -> np.ndarray:
         """0 for the largest ids."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import math
 import tempfile
 import uuid
 
@@ -15,15 +16,19 @@ from pyspark.sql import functions as F
 #: A-Z and a-z, for ASCII-only case folding.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Bytes of text in one partition, about.
+PART_BYTES = 512 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share: spark.checkpoint.dir. A local session without one (as in tests) gets a folder of its own; on a cluster its lack is an error."""
+    conf = spark.sparkContext.getConf()
+    got = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
     if not got:
-        got = spark.conf.get("spark.catchment.scratch", None)
-        if not got:
-            got = tempfile.mkdtemp(prefix="spark-catchment-")
-            spark.conf.set("spark.catchment.scratch", got)
+        if not (conf.get("spark.master") or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        got = tempfile.mkdtemp(prefix="spark-catchment-")
+        spark.conf.set("spark.checkpoint.dir", got)
     if "://" not in got and not got.startswith("file:"):
         got = "file://" + got
     return got
@@ -40,15 +45,32 @@ def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Let scans and Arrow batches hold fewer rows than by default: whole documents are long rows, and a batch is one array of their bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
-
-
-def parts(spark: SparkSession) -> int:
-    """How many partitions the session deals a shuffle to."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Within it, scans and Arrow batches hold fewer rows than by default: whole documents are long rows, and a batch is one array of their bytes.
+    The session's own settings return afterwards, so results must be stored within."""
+    own = {"spark.sql.execution.arrow.maxRecordsPerBatch": "512", "spark.sql.parquet.columnarReaderBatchSize": "512"}
+    before = {name: spark.conf.get(name) for name in own}
+    try:
+        for name, value in own.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def parts(docs: DataFrame, column: str = "text") -> int:
+    """How many partitions to deal whole texts to: as many as the session deals a shuffle to, and enough for PART_BYTES each."""
+    size = docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / PART_BYTES))
+
+
+def quantiles(docs: DataFrame, column: str, n: int) -> list[int]:
+    """At most n - 1 distinct ascending bounds that cut a long column (nulls left out) into n parts of about equal rows."""
+    at = [i / n for i in range(1, n)]
+    got = docs.filter(F.col(column).isNotNull()).agg(F.percentile_approx(column, at or [0.5], max(10_000, 10 * n)).alias("b")).first()["b"] or []
+    return sorted(set(got))[: n - 1]
 
 
 def row_key(text: str = "text", doc: str = "doc_id") -> list:
