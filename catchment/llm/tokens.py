@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels
-from .store import new_path, parts, slices, stored, tidied
+from .store import new_path, parts, quantiles, slices, stored, tidied
 
 #: Byte classes for cutting plain text into words: space, other white space, letter, digit, other; _ODD marks bytes that a plain text lacks. Plain are ASCII without
 #: control characters and the letters U+00C0-U+017F, which are letters under any Unicode version.
@@ -94,7 +94,8 @@ class Encoder:
     """Ids of whole texts by a tokenizers file of the byte-level kind.
 
     Such a tokenizer never merges across the words it first cuts a text into, so each distinct word is encoded once by the tokenizers library and
-    looked up by a 64-bit hash and its length after that. Texts that aren't plain go to the library whole. Special tokens' strings are ordinary text.
+    looked up by a hash after that; the bytes of what was found are compared with the word's own. Texts that aren't plain, that hold the string of an added token, or of which a word
+    was taken for another one go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -102,7 +103,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self._reset()
 
@@ -111,6 +112,8 @@ class Encoder:
         self.hashes, self.starts, self.lengths = np.empty(1 << 16, np.uint64), np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int32)
         self.slots = np.full(1 << 18, -1, np.int32)  # open addressing: a word's number at the first free slot from its hash
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
+        self.letters, self.written = np.empty(1 << 16, np.uint8), 0  # the words' bytes, end to end
+        self.places, self.sizes = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int32)
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """The words' numbers, -1 where unknown."""
@@ -134,9 +137,9 @@ class Encoder:
             numbers = numbers[self.slots[at] != numbers]
             step += np.uint64(1)
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
         """Add distinct unknown words."""
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         total, first, end = int(lengths.sum()), self.known, self.known + len(words)
         if self.used + total > len(self.flat):
@@ -144,6 +147,13 @@ class Encoder:
         if end > len(self.hashes):
             size = max(2 * len(self.hashes), end)
             self.hashes, self.starts, self.lengths = np.resize(self.hashes, size), np.resize(self.starts, size), np.resize(self.lengths, size)
+            self.places, self.sizes = np.resize(self.places, size), np.resize(self.sizes, size)
+        raw, sizes = np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words))
+        if self.written + len(raw) > len(self.letters):
+            self.letters = np.resize(self.letters, max(2 * len(self.letters), self.written + len(raw)))
+        self.letters[self.written : self.written + len(raw)] = raw
+        self.places[first:end], self.sizes[first:end] = self.written + np.cumsum(sizes) - sizes, sizes
+        self.written += len(raw)
         self.flat[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, total)
         self.hashes[first:end], self.starts[first:end], self.lengths[first:end] = hashes, self.used + np.cumsum(lengths) - lengths, lengths
         self.used, self.known = self.used + total, end
@@ -152,7 +162,16 @@ class Encoder:
             first = 0
         self._place(np.arange(first, end, dtype=np.int32))
 
-    def _plain(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _taken_for_another(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Numbers of the words whose bytes aren't those of the known word at."""
+        size = (end - start).astype(np.int64)
+        wrong = self.sizes[at] != size
+        place = np.where(wrong, 0, self.places[at])  # a word of another size is compared with anything
+        differs = self.letters[np.minimum(np.repeat(place - start, size) + np.arange(len(data)), self.written - 1)] != data
+        return np.flatnonzero(wrong | np.bitwise_or.reduceat(differs, start)) if len(start) else start
+
+    def _plain(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids and their numbers, and which texts must go to the library."""
         start = cut_words(data, offsets)
         end = np.append(start[1:], len(data))
         h = kernels.mix(kernels.spans(kernels.prefix(data), start, end) + (end - start).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
@@ -165,25 +184,30 @@ class Encoder:
             raw = data.tobytes()
             where = unknown[where]
             at[unknown] = self.known + back
-            self._learn(fresh, [raw[a:z].decode() for a, z in zip(start[where].tolist(), end[where].tolist())])
+            self._learn(fresh, [raw[a:z] for a, z in zip(start[where].tolist(), end[where].tolist())])
         n = self.lengths[at].astype(np.int64)
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.flat[np.repeat(self.starts[at] - ends + n, n) + np.arange(total)]
         before = np.concatenate(([0], ends))[np.searchsorted(start, offsets)]
-        return ids, np.diff(before)
+        wrong = np.zeros(len(offsets) - 1, bool)
+        wrong[np.searchsorted(offsets, start[self._taken_for_another(data, start, end, at)], side="right") - 1] = True
+        return ids, np.diff(before), wrong
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and each text's number of ids. A null is an empty text."""
         data, offsets = kernels.buffers(texts)
         plain = plain_rows(data, offsets)
-        if plain.all():
-            return self._plain(data, offsets)
-        ids, counts = self._plain(*kernels.buffers(texts.filter(pa.array(plain))))
+        for token in self.added:
+            plain &= ~pc.match_substring(texts, token).fill_null(False).to_numpy(zero_copy_only=False)
+        ids, counts, wrong = self._plain(data, offsets) if plain.all() else self._plain(*kernels.buffers(texts.filter(pa.array(plain))))
+        if plain.all() and not wrong.any():
+            return ids, counts
         bounds = np.concatenate(([0], np.cumsum(counts)))
-        library = iter(self.tokenizer.encode_batch_fast(texts.filter(pa.array(~plain)).to_pylist(), add_special_tokens=False))
-        own = iter(range(len(counts)))
-        pieces = [ids[bounds[k := next(own)] : bounds[k + 1]] if p else np.array(next(library).ids, np.uint32) for p in plain.tolist()]
+        own = np.full(len(plain), -1)
+        own[plain] = np.where(wrong, -1, np.arange(len(counts)))
+        library = iter(self.tokenizer.encode_batch_fast(texts.filter(pa.array(own < 0)).fill_null("").to_pylist(), add_special_tokens=False))
+        pieces = [ids[bounds[k] : bounds[k + 1]] if k >= 0 else np.array(next(library).ids, np.uint32) for k in own.tolist()]
         return np.concatenate(pieces), np.fromiter(map(len, pieces), np.int64, len(pieces))
 
 
@@ -228,9 +252,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     """
     spark, path = docs.sparkSession, tokenizer or default_tokenizer()
     wide = encoder(path).wide
-    n = parts(spark)
-    bounds = docs.filter("doc_id is not null").agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10000).alias("b")).first()["b"] or []
-    bounds = np.unique(np.array(bounds, np.int64))
+    n = parts(docs)
+    bounds = np.array(quantiles(docs, "doc_id", n), np.int64)
     dtype = "<u4" if wide else "<u2"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
