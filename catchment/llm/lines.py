@@ -5,12 +5,14 @@ distinct line hashes with document counts, merge-anti-joined with the hashes tha
 level 0. When a level holds fanout runs they are merged into one run of the next level, so each hash is rewritten a
 logarithmic number of times. Buckets line up between runs: merging and anti-joining them needs no shuffle of a run.
 
-Lines are told apart by 64-bit hashes of their keys.
+Runs tell lines apart by hashes. What they find frequent is confirmed by text: the keys behind those hashes are counted anew, and a key that shares a frequent one's hash
+without being frequent itself is spared.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels
-from .store import new_path, parts, row_key, slices, stored, tidied
+from .store import LOWER, UPPER, new_path, parts, row_key, slices, stored, tidied
+
+
+#: Buckets that a table may have (Spark's own default limit).
+MOST_BUCKETS = 100_000
+#: Colliding hashes that are expected at most. By chance there are none: a frequent line's hash would have to be another line's too.
+DOUBTFUL = 10_000
 
 
 class LineRuns:
@@ -27,7 +35,7 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, threshold: int = 10, fanout: int = 2, buckets: int | None = None):
         self.spark, self.threshold, self.fanout = spark, threshold, fanout
-        self.buckets = buckets or parts(spark)
+        self.buckets = min(buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_BUCKETS)
         self.levels: list[list[DataFrame]] = []
         self.names: list[str] = []
 
@@ -96,35 +104,74 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
     return keyed.withColumn("k_doc", F.col("k_doc").cast("long")).mapInArrow(tidied(run), "k_doc long, k_text long, line_hash long")
 
 
+def _marked(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Owner, start, end and hash of every line of a batch with text and hot (line hashes), and whether the hash is among its own text's hot ones."""
+    owner, start, end, h = kernels.line_keys(b.column("text"))
+    hot, among = b.column("hot"), np.zeros(len(owner), bool)
+    rows = np.flatnonzero(pc.is_valid(hot).to_numpy(zero_copy_only=False))
+    if len(rows):
+        values = hot.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        whose = np.repeat(np.arange(b.num_rows), pc.list_value_length(hot).fill_null(0).to_numpy(zero_copy_only=False))
+        of_row = lambda x, row: kernels.mix(x ^ kernels.mix(row.astype(np.uint64) + np.uint64(1)))
+        mine = np.isin(owner, rows) & (h != 0)
+        among[mine] = np.isin(of_row(h[mine], owner[mine]), of_row(values, whose))
+    return owner, start, end, h, among
+
+
+def key_of(line: str) -> str:
+    return line.strip(" \t\n\v\f\r").translate(_LOWER)
+
+
+_LOWER = str.maketrans(UPPER, LOWER)
+
+
+def _hot_keys(batches):
+    """(line_hash, key, n): the keys of marked lines with the rows of a slice that hold them."""
+    for whole in batches:
+        for b in slices(whole, "text"):
+            owner, start, end, h, among = _marked(b)
+            raw, held = kernels.buffers(b.column("text"))[0].tobytes(), set()
+            for i in np.flatnonzero(among).tolist():
+                held.add((int(owner[i]), int(h[i].view(np.int64)), key_of(raw[start[i] : end[i]].decode())))
+            n = Counter((x, k) for _, x, k in held)
+            yield pa.RecordBatch.from_pydict({"line_hash": pa.array([x for x, _ in n], pa.int64()), "key": pa.array([k for _, k in n], pa.string()), "n": pa.array(list(n.values()), pa.int64())})
+
+
+def _spared(doubtful: list[int]):
+    def run(batches):
+        """(k_doc, k_text, key): the marked lines' keys whose hash is one of doubtful."""
+        for whole in batches:
+            for b in slices(whole, "text"):
+                owner, start, end, h, among = _marked(b)
+                raw = kernels.buffers(b.column("text"))[0].tobytes()
+                at = np.flatnonzero(among & np.isin(h.view(np.int64), doubtful)).tolist()
+                where = pa.array(owner[at].astype(np.int64))
+                keys = pa.array([key_of(raw[start[i] : end[i]].decode()) for i in at], pa.string())
+                yield pa.RecordBatch.from_arrays([b.column("k_doc").take(where), b.column("k_text").take(where), keys], names=["k_doc", "k_text", "key"])
+
+    return run
+
+
 def drop_lines(batches):
-    """Arrow batches with text and hot (line hashes to drop) to kept text, n_lines and n_dropped."""
+    """Arrow batches with text, hot (line hashes to drop) and spared (keys that stay nevertheless) to kept text, n_lines and n_dropped."""
     for whole in batches:
         for b in slices(whole, "text"):
             texts = b.column("text")
-            owner, start, end, h = kernels.line_keys(texts)
+            owner, _, _, _, dropped = _marked(b)
             n_lines = np.bincount(owner, minlength=b.num_rows)
-            hot = b.column("hot")
-            dropped = np.zeros(len(owner), bool)
-            rows = np.flatnonzero(pc.is_valid(hot).to_numpy(zero_copy_only=False))
-            if len(rows):
-                values = hot.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                lengths = pc.list_value_length(hot).fill_null(0).to_numpy(zero_copy_only=False)
-                whose = np.repeat(np.arange(b.num_rows), lengths)
-                mine = np.isin(owner, rows) & (h != 0)
-                # a line goes if its hash is among its own text's hashes
-                mark = kernels.mix(values ^ kernels.mix(whose.astype(np.uint64) + np.uint64(1)))
-                dropped[mine] = np.isin(kernels.mix(h[mine] ^ kernels.mix(owner[mine].astype(np.uint64) + np.uint64(1))), mark)
-            n_dropped = np.bincount(owner[dropped], minlength=b.num_rows)
+            first = np.concatenate(([0], np.cumsum(n_lines)))
             out = texts.fill_null("").to_pylist()
-            touched = np.flatnonzero(n_dropped)
-            if len(touched):
-                first = np.concatenate(([0], np.cumsum(n_lines)))
-                for r in touched.tolist():
-                    keep = ~dropped[first[r] : first[r + 1]]
-                    out[r] = "\n".join(x for x, k in zip(out[r].split("\n"), keep.tolist()) if k)
-            columns = {"kept": pa.array(out, pa.string()), "n_lines": pa.array(n_lines.astype(np.int64)), "n_dropped": pa.array(n_dropped.astype(np.int64))}
-            names = [n for n in b.schema.names if n not in ("text", "hot")]
-            yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + list(columns.values()), names=names + list(columns))
+            spared = b.column("spared")
+            for r in np.flatnonzero(pc.is_valid(spared).to_numpy(zero_copy_only=False)).tolist():
+                stay = set(spared[r].as_py())
+                dropped[first[r] : first[r + 1]] &= [key_of(x) not in stay for x in out[r].split("\n")]
+            n_dropped = np.bincount(owner[dropped], minlength=b.num_rows)
+            for r in np.flatnonzero(n_dropped).tolist():
+                keep = ~dropped[first[r] : first[r + 1]]
+                out[r] = "\n".join(x for x, k in zip(out[r].split("\n"), keep.tolist()) if k)
+            columns = [pa.array(out, pa.string()), pa.array(n_lines.astype(np.int64)), pa.array(n_dropped.astype(np.int64))]
+            names = [n for n in b.schema.names if n[0] == "c"]
+            yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + columns, names=[*names, "kept", "n_lines", "n_dropped"])
 
 
 def dedup_lines(docs: DataFrame, threshold: int = 10, batches: int = 4, keep: list[str] | None = None) -> DataFrame:
@@ -132,37 +179,56 @@ def dedup_lines(docs: DataFrame, threshold: int = 10, batches: int = 4, keep: li
 
     Lines whose key occurs in at least threshold rows of docs are dropped from every text. Keys of no characters are never dropped. A null
     or empty text is one empty line and stays an empty text. Equal rows count as documents of their own.
-    The corpus is taken in batches by a hash of doc_id and text; the result doesn't depend on their number.
+    The corpus is taken in batches by a hash of doc_id and text; the result doesn't depend on their number. Docs may have any other columns.
     """
     spark = docs.sparkSession
-    lines = distinct_lines(docs)
+    plain = docs.select("doc_id", "text")
+    lines = distinct_lines(plain)
     path = new_path(spark, "doc-lines")
     batch = F.pmod(F.xxhash64("k_doc", "k_text"), F.lit(batches)).cast("int")
     lines.withColumn("batch", batch).write.partitionBy("batch").option("compression", "zstd").parquet(path)
     lines = spark.read.schema("k_doc long, k_text long, line_hash long, batch int").parquet(path)
-    runs = LineRuns(spark, threshold)
+    runs = LineRuns(spark, threshold, buckets=parts(plain))
     for i in range(batches):
         runs.add(lines.filter(F.col("batch") == i))
     frequent = stored(runs.frequent(), "frequent-lines")
     runs.forget()
     hot = lines.select("k_doc", "k_text", "line_hash").join(frequent, "line_hash", "left_semi")
     hot = hot.groupBy("k_doc", "k_text").agg(F.collect_set("line_hash").alias("hot"))
-    keyed = docs.select("*", *[c.alias(f"__{n}") for c, n in zip(row_key(), ("doc", "text"))])
-    joined = keyed.join(hot, F.col("__doc").cast("long").eqNullSafe(F.col("k_doc")) & (F.col("__text") == F.col("k_text")), "left")
+
+    # from here on docs have names of our own: c0, c1, ... for what is kept
     keep = [c for c in docs.columns if c != "text"] if keep is None else keep
-    flat = joined.select("text", "hot", *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])
-    schema = ", ".join([f"{n} {t}" for n, t in flat.dtypes if n not in ("text", "hot")] + ["kept string", "n_lines long", "n_dropped long"])
-    out = flat.mapInArrow(tidied(drop_lines), schema)
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "kept", "n_lines", "n_dropped")
+    flat = docs.select(F.col("text"), *[c.alias(n) for c, n in zip(row_key(), ("o_doc", "o_text"))], *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])
+    flat = flat.withColumn("o_doc", F.col("o_doc").cast("long"))
+    own = lambda d: d.withColumnsRenamed({"k_doc": "r_doc", "k_text": "r_text"})
+    joined = flat.join(own(hot), F.col("o_doc").eqNullSafe(F.col("r_doc")) & (F.col("o_text") == F.col("r_text")), "left").drop("r_doc", "r_text")
+    joined = stored(joined.withColumnsRenamed({"o_doc": "k_doc", "o_text": "k_text"}), "marked-lines")
+    keys = joined.filter("hot is not null").select("text", "hot").mapInArrow(tidied(_hot_keys), "line_hash long, key string, n long")
+    rare = keys.groupBy("line_hash", "key").agg(F.sum("n").alias("n")).filter(F.col("n") < threshold)
+    rare = stored(rare.select("line_hash", "key"), "rare-keys")  # only keys whose hash is a frequent line's too
+    joined = joined.withColumn("spared", F.lit(None).cast("array<string>"))
+    doubtful = [r["line_hash"] for r in rare.select("line_hash").distinct().limit(DOUBTFUL + 1).collect()]
+    if doubtful:
+        if len(doubtful) > DOUBTFUL:
+            raise ValueError("line hashes collide too often to be hashes")
+        held = joined.filter("hot is not null").mapInArrow(tidied(_spared(doubtful)), "k_doc long, k_text long, key string")
+        held = held.join(rare.select("key").distinct(), "key", "left_semi").groupBy("k_doc", "k_text").agg(F.collect_set("key").alias("s"))
+        same = F.col("k_doc").eqNullSafe(F.col("r_doc")) & (F.col("k_text") == F.col("r_text"))
+        joined = joined.drop("spared").join(own(held), same, "left").drop("r_doc", "r_text").withColumnRenamed("s", "spared")
+    joined = joined.drop("k_doc", "k_text")
+    schema = ", ".join([f"{n} {t}" for n, t in joined.dtypes if n[0] == "c"] + ["kept string", "n_lines long", "n_dropped long"])
+    out = joined.mapInArrow(tidied(drop_lines), schema)
+    return out.toDF(*keep, "kept", "n_lines", "n_dropped")
 
 
 def without_frequent_lines(docs: DataFrame, threshold: int = 10) -> DataFrame:
     """docs with its frequent lines dropped from text, n_chars (where there is one) counted anew, and all other columns as they are."""
     columns = docs.columns
-    flat = docs.select(*[F.col(f"`{c}`").alias(c if c in ("doc_id", "text") else f"o{i}") for i, c in enumerate(columns)])
-    out = dedup_lines(flat, threshold)
-    kept = {"text": F.col("kept"), "n_chars": F.length("kept").cast(dict(docs.dtypes).get("n_chars", "long"))}
-    return out.select(*[kept[c].alias(c) if c in kept else F.col(c if c == "doc_id" else f"o{i}").alias(c) for i, c in enumerate(columns)])
+    kinds = dict(docs.dtypes)
+    flat = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(columns)])
+    out = dedup_lines(flat, threshold, keep=[f"o{i}" for i, c in enumerate(columns) if c not in ("text", "n_chars")])
+    kept = {"text": F.col("kept"), "n_chars": F.length("kept").cast(kinds.get("n_chars", "long"))}
+    return out.select(*[kept[c] if c in kept else F.col(f"o{i}") for i, c in enumerate(columns)]).toDF(*columns)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
