@@ -53,63 +53,97 @@ def ranges_bits(rows: int) -> int:
     return max(0, math.ceil(math.log2(max(rows, 1) / RANGE_ROWS)))
 
 
-def mixed(docs: DataFrame, size: Column | None = None, seed: str = "mix", passes: int = 3) -> DataFrame:
-    """One row for each row of docs(doc_id, text, source): k_doc, k_text, source, size, source_size, target, times, taken, first_finish.
+def starts_of_ranges(sums: DataFrame, bits: int) -> DataFrame:
+    """(b_source, b_r, range_start) for sums(source, r, range_size): the total of the source's ranges before each. Groups of ranges are summed first, then the
+    ranges within a group, so that no task holds more than about the square root of their number."""
+    grouped = sums.withColumn("g", F.shiftright("r", bits // 2))
+    before = lambda value, *by: F.sum(value).over(W.partitionBy("source", *by[:-1]).orderBy(by[-1])) - F.col(value)
+    groups = grouped.groupBy("source", "g").agg(F.sum("range_size").alias("s"))
+    groups = groups.select(F.col("source").alias("g_source"), F.col("g").alias("g_g"), before("s", "g").alias("group_start"))
+    inner = grouped.select("source", "g", "r", before("range_size", "g", "r").alias("inner_start"))
+    both = inner.join(groups, F.col("source").eqNullSafe(F.col("g_source")) & (F.col("g") == F.col("g_g")))
+    return both.select(F.col("source").alias("b_source"), F.col("r").alias("b_r"), (F.col("group_start") + F.col("inner_start")).alias("range_start"))
+
+
+def end_of_budget(by_range: DataFrame, budget: int, bits: int) -> tuple[int, int] | None:
+    """(f, sum before f) of the first range by f, of by_range(f, s), in which the running sum passes budget: first its group of ranges, then the range. None: it never does."""
+    first = lambda d, key, start: d.select(key, (F.sum("s").over(W.orderBy(key)) + start).alias("c"), "s").filter(F.col("c") > budget).orderBy(key).limit(1).first()
+    grouped = by_range.withColumn("g", F.shiftright("f", bits // 2))
+    over = first(grouped.groupBy("g").agg(F.sum("s").alias("s")), "g", 0)
+    if over is None:
+        return None
+    over = first(grouped.filter(F.col("g") == over["g"]), "f", over["c"] - over["s"])
+    return over["f"], over["c"] - over["s"]
 
-    times is how often the mix takes the row (0 to passes). A null text has size 0; rows of size 0 are never taken. Null
-    sources are a source of their own. Equal rows count separately. The same rows and seed give the same mix,
-    however the input is partitioned.
-    """
-    size = words_in(F.col("text")) if size is None else size
-    shuffle = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
-    rows = stored(docs.select(*row_key(), "source", size.alias("size"), shuffle.alias("u")), "mix-rows")
-    per_source = stored(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), ), passes), "mix-targets")
+
+def _mixed(rows: DataFrame, passes: int, ties: list[str]) -> DataFrame:
+    """rows(source, size, u, *ties) with source_size, target, times and first_finish. u is the shuffle key; rows with one u follow ties, by which all rows but equal ones differ."""
+    per_source = stored(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), passes), "mix-targets")
     counted = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("total")).first()
     bits, budget = ranges_bits(counted["n"]), int(counted["total"])
 
     # the words of a source before each range of the shuffle key, then before each row within its range
     ranged = rows.withColumn("r", F.shiftright("u", 60 - bits) if bits else F.lit(0).cast("long"))
-    before = ranged.groupBy("source", "r").agg(F.sum("size").alias("range_size"))
-    before = before.select("source", "r", (F.sum("range_size").over(W.partitionBy("source").orderBy("r")) - F.col("range_size")).alias("range_start"))
-    before = before.withColumnsRenamed({"source": "b_source", "r": "b_r"})
-    inner = W.partitionBy("source", "r").orderBy("u", "k_doc", "k_text").rowsBetween(W.unboundedPreceding, 0)
+    before = starts_of_ranges(ranged.groupBy("source", "r").agg(F.sum("size").alias("range_size")), bits)
+    inner = W.partitionBy("source", "r").orderBy("u", *ties).rowsBetween(W.unboundedPreceding, 0)
     queued = ranged.withColumn("upto", F.sum("size").over(inner))
     queued = queued.join(before, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("r") == F.col("b_r")))
     per = per_source.withColumnRenamed("source", "p_source")
     queued = queued.join(per, F.col("source").eqNullSafe(F.col("p_source"))).withColumn("upto", F.col("upto") + F.col("range_start"))
-    queued = stored(queued.select("k_doc", "k_text", "source", "size", "source_size", "target", "upto"), "mix-queue")
+    queued = stored(queued.select(*ties, "source", "size", "source_size", "target", "upto"), "mix-queue")
 
     # where the budget ends in the order of finish times: first the range, then the row
     finish = lambda e: F.try_divide((F.col("source_size") * e + F.col("upto")).cast("double"), F.col("target"))
+    queued = queued.withColumn("first_finish", finish(F.lit(0)))
     copies = queued.filter("size > 0 and target > 0").withColumn("pass", F.explode(F.array(*[F.lit(e) for e in range(passes)])))
     copies = copies.withColumn("finish", finish(F.col("pass"))).withColumn("f", F.floor(F.col("finish") * (1 << bits)))
-    by_range = copies.groupBy("f").agg(F.sum("size").alias("s"))
-    over = by_range.select("f", "s", F.sum("s").over(W.orderBy("f")).alias("c")).filter(F.col("c") > budget).orderBy("f").limit(1).first()
-    if over is None:
-        return queued.select("*", F.when(F.col("size") > 0, F.lit(passes)).otherwise(0).alias("times")).select(*_columns(finish))
-    order = ["finish", "k_doc", "k_text", "pass"]
-    edge = copies.filter(F.col("f") == over["f"]).withColumn("c", F.sum("size").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)) + (over["c"] - over["s"]))
+    end = end_of_budget(copies.groupBy("f").agg(F.sum("size").alias("s")), budget, bits)
+    if end is None:
+        return queued.withColumn("times", F.when(F.col("size") > 0, F.lit(passes)).otherwise(0))
+    order = ["finish", *ties, "pass"]
+    edge = copies.filter(F.col("f") == end[0]).withColumn("c", F.sum("size").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)) + end[1])
     last = edge.filter(F.col("c") <= budget).orderBy(*[F.col(c).desc_nulls_last() for c in order]).limit(1).first()
     if last is None:
-        goes = lambda e: finish(F.lit(e)) < F.lit(over["f"] / (1 << bits))
+        goes = lambda e: F.floor(finish(F.lit(e)) * (1 << bits)) < F.lit(end[0])
     else:
-        at = F.struct(*[F.lit(last[c]).cast(t) for c, t in zip(order, ("double", queued.schema["k_doc"].dataType, "long", "int"))])
-        goes = lambda e: F.struct(finish(F.lit(e)), F.col("k_doc"), F.col("k_text"), F.lit(e).cast("int")) <= at
+        kinds = ["double", *[queued.schema[c].dataType for c in ties], "int"]
+        at = F.struct(*[F.lit(last[c]).cast(t) for c, t in zip(order, kinds)])
+        goes = lambda e: F.struct(finish(F.lit(e)), *ties, F.lit(e).cast("int")) <= at
     times = sum((F.when(goes(e), 1).otherwise(0) for e in range(1, passes)), F.when(goes(0), 1).otherwise(0))
-    return queued.withColumn("times", F.when((F.col("size") > 0) & (F.col("target") > 0), times).otherwise(0)).select(*_columns(finish))
+    return queued.withColumn("times", F.when((F.col("size") > 0) & (F.col("target") > 0), times).otherwise(0))
+
 
+def shuffle_key(seed: str) -> Column:
+    """60 bits of a hash of seed and doc_id."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
 
-def _columns(finish) -> list:
-    return [F.col("k_doc"), F.col("k_text"), F.col("source"), F.col("size"), F.col("source_size"), F.col("target"), F.col("times").cast("int").alias("times"), (F.col("size") * F.col("times")).cast("long").alias("taken"), finish(F.lit(0)).alias("first_finish")]
+
+def mixed(docs: DataFrame, size: Column | None = None, seed: str = "mix", passes: int = 3) -> DataFrame:
+    """One row for each row of docs(doc_id, text, source): k_doc, k_text, source, size, source_size, target, times, taken, first_finish.
+
+    times is how often the mix takes the row (0 to passes). A null text has size 0; rows of size 0 are never taken. Null
+    sources are a source of their own. Equal rows count separately. The same rows and seed give the same mix,
+    however the input is partitioned.
+    """
+    size = words_in(F.col("text")) if size is None else size
+    rows = stored(docs.select(*row_key(), "source", size.alias("size"), shuffle_key(seed).alias("u")), "mix-rows")
+    out = _mixed(rows, passes, ["k_doc", "k_text"])
+    return out.select("k_doc", "k_text", "source", "size", "source_size", "target", F.col("times").cast("int").alias("times"), (F.col("size") * F.col("times")).cast("long").alias("taken"), "first_finish")
 
 
 def mix_documents(docs: DataFrame, seed: str = "mix", passes: int = 3) -> DataFrame:
-    """The mixed corpus itself: the rows of docs, each as often as the mix takes it, all columns kept."""
-    taken = mixed(docs, seed=seed, passes=passes).filter("times > 0").groupBy("k_doc", "k_text").agg(F.max("times").alias("__times"))
-    taken = taken.withColumnsRenamed({"k_doc": "__doc", "k_text": "__text"})
-    keyed = docs.select("*", *[c.alias(n) for c, n in zip(row_key(), ("__own_doc", "__own_text"))])
-    out = keyed.join(taken, F.col("__own_doc").eqNullSafe(F.col("__doc")) & (F.col("__own_text") == F.col("__text")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__pass")).drop("__pass")
+    """The mixed corpus itself: the rows of docs, each as often as the mix takes it (as `mixed` says), all columns kept whatever their names.
+
+    Each row is numbered once, in a stored table, and its copies follow that number, so equal rows are told apart; which of them the mix repeats isn't defined.
+    """
+    columns = docs.columns
+    c = {name: f"c{columns.index(name)}" for name in ("doc_id", "text", "source")}
+    numbered = stored(docs.toDF(*[f"c{i}" for i in range(len(columns))]).withColumn("row", F.monotonically_increasing_id()), "mix-numbered")
+    named = numbered.select("row", *[F.col(own).alias(name) for name, own in c.items()])
+    rows = stored(named.select("row", *row_key(), "source", words_in(F.col("text")).alias("size"), shuffle_key(seed).alias("u")), "mix-rows")
+    taken = _mixed(rows, passes, ["k_doc", "k_text", "row"]).filter("times > 0").select("row", "times")
+    out = numbered.join(taken, "row").withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    return out.select(*[f"c{i}" for i in range(len(columns))]).toDF(*columns)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
