@@ -91,9 +91,12 @@ class Table:
 def segments(at: list[int], weight: list[float], gap: float) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (first hit, last hit, score) of a text whose tokens at positions at score weight and all others -gap.
 
-    Linear in the hits: candidates are kept on a stack with the running totals at their ends and merge when a later one raises the total (Ruzzo and Tompa's scan).
+    Linear in the hits (Ruzzo and Tompa's scan). Candidates are kept on a stack with the running totals at their ends; a later one that raises the total takes in all from the
+    nearest one that began lower. Each candidate points to that one, so the search skips what lies between; once a candidate begins no higher than all
+    before it, those can't grow any more and are retired.
     """
-    stack: list[list] = []  # [first, last, total before, total after, position below with a smaller start]
+    out: list[tuple[int, int, float]] = []
+    stack: list[tuple[int, int, float, float, int]] = []  # first, last, total before, total after, place on the stack of the nearest that begins lower
     total, before = 0.0, -1
     for i, (p, w) in enumerate(zip(at, weight)):
         total -= gap * (p - before - 1)
@@ -101,18 +104,21 @@ def segments(at: list[int], weight: list[float], gap: float) -> list[tuple[int,
         if w <= 0:
             total += w
             continue
-        new = [i, i, total, total + w]
+        first, left = i, total
         total += w
-        while True:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or stack[j][3] >= new[3]:
-                stack.append(new)
-                break
-            new = [stack[j][0], new[1], stack[j][2], new[3]]
+        j = len(stack) - 1
+        while j >= 0 and stack[j][2] >= left:
+            j = stack[j][4]
+        while j >= 0 and stack[j][3] < total:
+            first, left = stack[j][0], stack[j][2]
+            below = stack[j][4]
             del stack[j:]
-    return [(a, z, right - left) for a, z, left, right in stack]
+            j = below
+        if j < 0 and stack:
+            out += [(a, z, after - start) for a, z, start, after, _ in stack]
+            stack.clear()
+        stack.append((first, i, left, total, j))
+    return out + [(a, z, after - start) for a, z, start, after, _ in stack]
 
 
 def training_sample(labels: DataFrame, keep: Column, most: int = MAX_LABELLED) -> DataFrame:
