@@ -34,7 +34,7 @@ def pairs_by_opening(turns: DataFrame) -> DataFrame:
     """(pair_id, chosen, rejected): every conversation is chosen once, against the next one of its block by conv_id (the last against the first).
 
     Conversations with the same first turn form a group; those with a first turn of their own are grouped by one digit of its hash. Groups are cut into blocks of about
-    BLOCK conversations by a hash of conv_id. A conversation alone in its block has no pair.
+    BLOCK conversations by a hash of conv_id. A conversation alone in its block has a null rejected side.
     """
     first = turns.groupBy("conv_id").agg(F.min(F.struct("turn", "k", "role", "text")).alias("f"))
     first = first.select("conv_id", F.md5(F.concat_ws(":", "f.role", "f.text").cast("binary")).alias("opening"))
@@ -44,14 +44,15 @@ def pairs_by_opening(turns: DataFrame) -> DataFrame:
     dealt = grouped.join(total, "grp").select("conv_id", "grp", (_number("conv_id", 8) % F.col("blocks")).alias("block"))
     w = W.partitionBy("grp", "block")
     rejected = F.coalesce(F.lead("conv_id").over(w.orderBy("conv_id")), F.min("conv_id").over(w))
-    return dealt.select(F.col("conv_id").alias("pair_id"), F.col("conv_id").alias("chosen"), rejected.alias("rejected")).filter("chosen <> rejected")
+    return dealt.select(F.col("conv_id").alias("pair_id"), F.col("conv_id").alias("chosen"), F.nullif(rejected, F.col("conv_id")).alias("rejected"))
 
 
 def format_pairs(turns: DataFrame, pairs: DataFrame) -> DataFrame:
     """(pair_id, part, turn, k, role, segment, learn) for turns(conv_id, turn, k, role, text) and pairs(pair_id, chosen, rejected).
 
     part is prompt, chosen or rejected. segment is the turn in chat markup; learn is 1 for assistant turns of a completion, else 0. Turns agree if number, role and text do; the
-    prompt ends before the first that don't. A conversation that is the other's beginning has no completion; pairs of unknown conversations have no rows.
+    prompt ends before the first that don't. A conversation that is the other's beginning has no completion. Against a null or unknown conversation all turns of the other one
+    are its completion; pairs of two such have no rows.
     """
     side = lambda which, p: pairs.select("pair_id", F.col(which).alias("conv_id")).join(turns, "conv_id").select("pair_id", "turn", "k", F.struct("role", "text").alias(p))
     both = stored(side("chosen", "c").join(side("rejected", "r"), ["pair_id", "turn", "k"], "full_outer"), "turn-pairs")
@@ -69,15 +70,7 @@ def format_pairs(turns: DataFrame, pairs: DataFrame) -> DataFrame:
 def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = stored(turns_of(spark.read.parquet(f"{sf_dir}/conversations.parquet")), "turns")
     pairs = stored(pairs_by_opening(turns), "pairs")
-    segments = format_pairs(turns, pairs)
-    of = lambda part, value: F.coalesce(F.sum(F.when(F.col("part") == part, value)), F.lit(0)).cast("long")
-    chars, crc = F.length("segment"), F.conv(F.substring(F.md5(F.col("segment").cast("binary")), 1, 8), 16, 10).cast("long")
-    made = segments.groupBy("pair_id").agg(
-        of("prompt", F.lit(1)).alias("n_prompt"), of("chosen", F.lit(1)).alias("n_chosen"), of("rejected", F.lit(1)).alias("n_rejected"),
-        of("prompt", chars).alias("prompt_chars"), of("chosen", chars * F.col("learn")).alias("chosen_learnt_chars"), of("rejected", chars * F.col("learn")).alias("rejected_learnt_chars"),
-        of("prompt", crc).alias("prompt_sum"), of("chosen", crc).alias("chosen_sum"), of("rejected", crc).alias("rejected_sum"),
-    )
-    return pairs.select("pair_id", "rejected").join(made, "pair_id")
+    return pairs.select("pair_id", "rejected").join(format_pairs(turns, pairs), "pair_id")
 
 
 OP2_SQL = r"""
@@ -87,22 +80,16 @@ WITH t AS (
 f AS (SELECT conv_id, md5(role || ':' || text) AS opening FROM t QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) = 1),
 g AS (SELECT conv_id, CASE WHEN count(*) OVER (PARTITION BY opening) > 1 THEN opening ELSE substr(opening, 1, 1) END AS grp FROM f),
 b AS (SELECT conv_id, grp, CAST('0x' || substr(md5(CAST(conv_id AS VARCHAR)), 1, 8) AS BIGINT) % CAST(ceil(count(*) OVER (PARTITION BY grp) / 1024.0) AS BIGINT) AS block FROM g),
-p AS (SELECT conv_id AS pair_id, coalesce(lead(conv_id) OVER (PARTITION BY grp, block ORDER BY conv_id), min(conv_id) OVER (PARTITION BY grp, block)) AS rejected FROM b),
-pairs AS (SELECT * FROM p WHERE pair_id <> rejected),
+pairs AS (SELECT conv_id AS pair_id, nullif(coalesce(lead(conv_id) OVER (PARTITION BY grp, block ORDER BY conv_id), min(conv_id) OVER (PARTITION BY grp, block)), conv_id) AS rejected FROM b),
 c AS (SELECT pair_id, turn, k, role, text FROM pairs JOIN t ON t.conv_id = pair_id),
 r AS (SELECT pair_id, turn, k, role, text FROM pairs JOIN t ON t.conv_id = rejected),
 m AS (SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, coalesce(c.turn, r.turn) AS turn, coalesce(c.k, r.k) AS k, c.role AS c_role, c.text AS c_text, r.role AS r_role, r.text AS r_text
       FROM c FULL JOIN r ON c.pair_id = r.pair_id AND c.turn = r.turn AND c.k = r.k),
 e AS (SELECT *, max(CASE WHEN c_role IS NOT DISTINCT FROM r_role AND c_text IS NOT DISTINCT FROM r_text THEN 0 ELSE 1 END)
         OVER (PARTITION BY pair_id ORDER BY turn, k ROWS UNBOUNDED PRECEDING) = 0 AS common FROM m),
-s AS (SELECT pair_id, CASE WHEN common THEN 'prompt' ELSE 'chosen' END AS part, c_role AS role, c_text AS text FROM e WHERE c_role IS NOT NULL
-      UNION ALL SELECT pair_id, 'rejected', r_role, r_text FROM e WHERE NOT common AND r_role IS NOT NULL),
-x AS (SELECT pair_id, part, CASE WHEN part <> 'prompt' AND role = 'assistant' THEN 1 ELSE 0 END AS learn, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS segment FROM s),
-y AS (SELECT *, length(segment) AS chars, CAST('0x' || substr(md5(segment), 1, 8) AS BIGINT) AS crc FROM x)
-SELECT pairs.pair_id, pairs.rejected,
-  count(*) FILTER (part = 'prompt') AS n_prompt, count(*) FILTER (part = 'chosen') AS n_chosen, count(*) FILTER (part = 'rejected') AS n_rejected,
-  CAST(coalesce(sum(chars) FILTER (part = 'prompt'), 0) AS BIGINT) AS prompt_chars,
-  CAST(coalesce(sum(chars * learn) FILTER (part = 'chosen'), 0) AS BIGINT) AS chosen_learnt_chars, CAST(coalesce(sum(chars * learn) FILTER (part = 'rejected'), 0) AS BIGINT) AS rejected_learnt_chars,
-  CAST(coalesce(sum(crc) FILTER (part = 'prompt'), 0) AS BIGINT) AS prompt_sum, CAST(coalesce(sum(crc) FILTER (part = 'chosen'), 0) AS BIGINT) AS chosen_sum, CAST(coalesce(sum(crc) FILTER (part = 'rejected'), 0) AS BIGINT) AS rejected_sum
-FROM pairs JOIN y ON y.pair_id = pairs.pair_id GROUP BY pairs.pair_id, pairs.rejected
+s AS (SELECT pair_id, CASE WHEN common THEN 'prompt' ELSE 'chosen' END AS part, turn, k, c_role AS role, c_text AS text FROM e WHERE c_role IS NOT NULL
+      UNION ALL SELECT pair_id, 'rejected', turn, k, r_role, r_text FROM e WHERE NOT common AND r_role IS NOT NULL)
+SELECT s.pair_id, pairs.rejected, part, turn, k, role, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS segment,
+  CASE WHEN part <> 'prompt' AND role = 'assistant' THEN 1 ELSE 0 END AS learn
+FROM s JOIN pairs USING (pair_id)
 """
