@@ -6,6 +6,8 @@ structure itself states, or rejects the hit. A valid format at byte 0 is the col
 
 from __future__ import annotations
 
+import bisect
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -49,7 +51,7 @@ def samples_of(wav: bytes) -> bytes:
     return wav[at : at + n]
 
 
-def _riff(data: bytes, at: int) -> tuple[str, int] | None:
+def _riff(data: bytes, at: int, places: Places) -> tuple[str, int] | None:
     if at + 12 > len(data):
         return None
     n = 8 + struct.unpack_from("<I", data, at + 4)[0]
@@ -62,7 +64,7 @@ def _riff(data: bytes, at: int) -> tuple[str, int] | None:
     return {b"WAVE": "audio/wav", b"WEBP": "image/webp", b"AVI ": "video/x-msvideo"}[form], n
 
 
-def _png(data: bytes, at: int) -> tuple[str, int] | None:
+def _png(data: bytes, at: int, places: Places) -> tuple[str, int] | None:
     p, first = at + 8, True
     while p + 12 <= len(data):
         n, name = struct.unpack_from(">I", data, p)[0], data[p + 4 : p + 8]
@@ -76,7 +78,7 @@ def _png(data: bytes, at: int) -> tuple[str, int] | None:
     return None
 
 
-def _jpeg(data: bytes, at: int) -> tuple[str, int] | None:
+def _jpeg(data: bytes, at: int, places: Places) -> tuple[str, int] | None:
     p, frame = at + 2, False
     while p + 4 <= len(data) and data[p] == 0xFF:
         mark = data[p + 1]
@@ -102,7 +104,7 @@ def _jpeg(data: bytes, at: int) -> tuple[str, int] | None:
     return None
 
 
-def _gif(data: bytes, at: int) -> tuple[str, int] | None:
+def _gif(data: bytes, at: int, places: Places) -> tuple[str, int] | None:
     if at + 13 > len(data) or data[at + 3 : at + 6] not in (b"87a", b"89a"):
         return None
     flags = data[at + 10]
@@ -130,7 +132,7 @@ def _gif(data: bytes, at: int) -> tuple[str, int] | None:
     return None
 
 
-def _bmp(data: bytes, at: int) -> tuple[str, int] | None:
+def _bmp(data: bytes, at: int, places: Places) -> tuple[str, int] | None:
     if at + 54 > len(data):
         return None
     size, zero, offset, head = struct.unpack_from("<IIII", data, at + 2)
@@ -139,7 +141,7 @@ def _bmp(data: bytes, at: int) -> tuple[str, int] | None:
     return ("image/bmp", size) if ok else None
 
 
-def _gzip(data: bytes, at: int) -> tuple[str, int] | None:
+def _gzip(data: bytes, at: int, places: Places) -> tuple[str, int] | None:
     try:
         d = zlib.decompressobj(31)
         view = memoryview(data)[at:]
@@ -151,8 +153,23 @@ def _gzip(data: bytes, at: int) -> tuple[str, int] | None:
         return None
 
 
-def _zip(data: bytes, at: int) -> tuple[str, int] | None:
-    end = data.find(b"PK\5\6", at)
+class Places:
+    """Where markers lie in data, found once each."""
+
+    def __init__(self, data: bytes):
+        self.data, self.found = data, {}
+
+    def next(self, marker: bytes, at: int) -> int:
+        """The first place from at on, or -1."""
+        if marker not in self.found:
+            self.found[marker] = [m.start() for m in re.finditer(re.escape(marker), self.data)]
+        places = self.found[marker]
+        i = bisect.bisect_left(places, at)
+        return places[i] if i < len(places) else -1
+
+
+def _zip(data: bytes, at: int, places: Places) -> tuple[str, int] | None:
+    end = places.next(b"PK\5\6", at)
     if end < 0 or end + 22 > len(data):
         return None
     size, start, comment = struct.unpack_from("<IIH", data, end + 12)
@@ -162,15 +179,17 @@ def _zip(data: bytes, at: int) -> tuple[str, int] | None:
     return "application/zip", stop - at
 
 
-def _pdf(data: bytes, at: int) -> tuple[str, int] | None:
-    end = data.find(b"%%EOF", at)
-    if end < 0 or data.find(b"startxref", at, end) < 0:
+def _pdf(data: bytes, at: int, places: Places) -> tuple[str, int] | None:
+    end = places.next(b"%%EOF", at)
+    if end < 0 or not at <= places.next(b"startxref", at) < end:
         return None
     return "application/pdf", end + 5 - at
 
 
-def _flac(data: bytes, at: int) -> tuple[str, int] | None:
-    """To the end of the data: frames state no length."""
+def _flac(data: bytes, at: int, places: Places) -> tuple[str, int] | None:
+    """Only as the whole value: frames state no length, so none could be carved."""
+    if at:
+        return None
     p, last, first = at + 4, False, True
     while not last:
         if p + 4 > len(data):
@@ -179,10 +198,10 @@ def _flac(data: bytes, at: int) -> tuple[str, int] | None:
         if first and (kind != 0 or n != 34) or kind == 127 or p + 4 + n > len(data):
             return None
         p, first = p + 4 + n, False
-    return "audio/flac", len(data) - at
+    return "audio/flac", len(data)
 
 
-def _ogg(data: bytes, at: int) -> tuple[str, int] | None:
+def _ogg(data: bytes, at: int, places: Places) -> tuple[str, int] | None:
     p = at
     while p + 27 <= len(data) and data[p : p + 5] == b"OggS\0":
         n = data[p + 26]
@@ -199,7 +218,7 @@ def _ogg(data: bytes, at: int) -> tuple[str, int] | None:
 
 
 #: Magic bytes and validators. Fixed values of the formats.
-FORMATS: list[tuple[bytes, Callable[[bytes, int], tuple[str, int] | None]]] = [
+FORMATS: list[tuple[bytes, Callable[[bytes, int, Places], tuple[str, int] | None]]] = [
     (b"\x89PNG\r\n\x1a\n", _png),
     (b"\xff\xd8\xff", _jpeg),
     (b"GIF8", _gif),
@@ -234,11 +253,11 @@ def sniff(data: bytes) -> list[tuple[int, int, str]]:
 
     The one at 0, if any, is first; media embedded in it are listed after it. Among embedded ones, the earliest start wins and what lies within it isn't listed.
     """
-    out, end = [], 0
+    out, end, places = [], 0, Places(data)
     for at, i in magic_hits(data):
         if at and at < end:
             continue
-        if found := FORMATS[i][1](data, at):
+        if found := FORMATS[i][1](data, at, places):
             out.append((at, found[1], found[0]))
             if at:
                 end = at + found[1]
@@ -250,25 +269,29 @@ def media_column(df: DataFrame, column: str, declared: str) -> DataFrame:
 
     true_type is the type that the bytes at 0 prove, else text/plain for valid UTF-8 without control characters other than white space, else application/octet-stream;
     true_length is the length its structure states (all bytes for the last two). type_corrected says that the declared type differs (a null one always does). embedded lists
-    start, length, type and content of carved media. A null value is an empty one and of type application/x-empty.
+    start, length, type and content of carved media. A null value is an empty one and of type application/x-empty. The four columns follow those of df, which may have
+    any names.
     """
     kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("type", pa.string()), ("content", pa.binary())]))
+    columns = df.columns
+    flat = df.toDF(*[f"c{i}" for i in range(len(columns))])
+    value, told = f"c{columns.index(column)}", f"c{columns.index(declared)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, column):
+            for b in slices(whole, value):
                 types, lengths, inner = [], [], []
-                for value in b.column(column):
-                    data = value.as_py() or b""
+                for held in b.column(value):
+                    data = held.as_py() or b""
                     found = sniff(data)
                     types.append(found[0][2] if found and not found[0][0] else _plain_type(data))
                     lengths.append(found[0][1] if found and not found[0][0] else len(data))
                     inner.append([{"start": a, "length": n, "type": t, "content": data[a : a + n]} for a, n, t in found if a])
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(types, pa.string()), pa.array(lengths, pa.int64()), pa.array(inner, kind)], names=[*b.schema.names, "true_type", "true_length", "embedded"])
 
-    schema = ", ".join([f"`{n}` {t}" for n, t in df.dtypes] + ["true_type string", "true_length long", "embedded array<struct<start:long,length:long,type:string,content:binary>>"])
-    out = df.mapInArrow(tidied(run), schema)
-    return out.withColumn("type_corrected", ~F.col("true_type").eqNullSafe(F.col(declared)))
+    schema = ", ".join([f"{n} {t}" for n, t in flat.dtypes] + ["true_type string", "true_length long", "embedded array<struct<start:long,length:long,type:string,content:binary>>"])
+    out = flat.mapInArrow(tidied(run), schema).withColumn("type_corrected", ~F.col("true_type").eqNullSafe(F.col(told)))
+    return out.toDF(*columns, "true_type", "true_length", "embedded", "type_corrected")
 
 
 def _plain_type(data: bytes) -> str:
