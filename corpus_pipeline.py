@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from catchment.llm import lines, mixing, neardup, packing, toxicity
@@ -13,7 +15,6 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.7 or more go. The model is learnt from the labels of sf_dir that aren't held out."""
-    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.fit(docs.select("doc_id", "text"), labels, ~toxicity.held_out())
     return toxicity.drop_toxic(docs, model, 0.7)
@@ -21,40 +22,47 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of 10 or more documents leave every text. No document goes, even if its text is empty now."""
-    small_batches(spark)
     return lines.without_frequent_lines(docs, threshold=10)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (likeness 0.8) stays, the one with the smallest doc_id."""
-    small_batches(spark)
     return neardup.drop_near_duplicates(docs, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: 0 to 3 rows each."""
-    small_batches(spark)
     return mixing.mix_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens in their sequences; a document that the mix repeats is packed as often."""
-    small_batches(spark)
     return packing.pack(docs.select("doc_id", "text"))
 
 
+def _stage(name, function):
+    """(name, function) with shorter batches of rows while function's result is computed and stored; the session's own settings return after that."""
+
+    @functools.wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with small_batches(spark):
+            return stored(function(spark, docs, sf_dir), f"pipeline-{name}")
+
+    return name, run_stage
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("line_dedup", drop_lines),
-    ("near_dedup", drop_near_duplicates),
-    ("mixing", mix_sources),
-    ("packing", pack_sequences),
+    _stage("toxicity", drop_toxic),
+    _stage("line_dedup", drop_lines),
+    _stage("near_dedup", drop_near_duplicates),
+    _stage("mixing", mix_sources),
+    _stage("packing", pack_sequences),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; the last one's rows."""
+    """All stages over the documents of sf_dir; the last one's rows. Each stage writes its result as Parquet and the next one reads that."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for _, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
     return docs
