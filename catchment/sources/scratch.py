@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where that is unset (tests), a temporary folder that the session remembers."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.catchment.scratch", None)
+    """spark.checkpoint.dir of the session. A local session without one (as in tests) gets a temporary folder; on a cluster its lack is an error."""
+    conf = spark.sparkContext.getConf()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
     if not folder:
+        if not (conf.get("spark.master") or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-catchment-")
-        spark.conf.set("spark.catchment.scratch", folder)
+        spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
