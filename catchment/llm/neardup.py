@@ -30,7 +30,7 @@ from .store import slices, stored, tidied
 
 K, BITS, CHUNKS = 64, 16, 13
 #: Members and shingles of one block when components of a family are compared.
-BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 1 << 20
+BLOCK_MEMBERS, BLOCK_SHINGLES = 256, 1 << 20
 #: Tasks to which the rows of one bucket or family are dealt where they meet its centre or its size.
 SPREAD = 8
 
