@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 
 from catchment.llm import lines, mixing, neardup, packing, toxicity
@@ -40,29 +38,19 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs.select("doc_id", "text"))
 
 
-def _stage(name, function):
-    """(name, function) with shorter batches of rows while function's result is computed and stored; the session's own settings return after that."""
-
-    @functools.wraps(function)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        with small_batches(spark):
-            return stored(function(spark, docs, sf_dir), f"pipeline-{name}")
-
-    return name, run_stage
-
-
 STAGES = [
-    _stage("toxicity", drop_toxic),
-    _stage("line_dedup", drop_lines),
-    _stage("near_dedup", drop_near_duplicates),
-    _stage("mixing", mix_sources),
-    _stage("packing", pack_sequences),
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; the last one's rows. Each stage writes its result as Parquet and the next one reads that."""
+    """All stages over the documents of sf_dir, each written as Parquet and reread; the last one's rows. Batches are shorter meanwhile; the session's own settings return afterwards."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    with small_batches(spark):
+        for name, stage in STAGES:
+            docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
