@@ -186,10 +186,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     nodes = classes.select("rep", "n_shingles", "sig")
 
     keys = bucket_keys(classes, threshold)
-    shared = stored(spread_join(keys, keys.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "key"), "buckets")
+    shared = stored(keys.join(keys.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "key"), "buckets")
     company = shared.groupBy("rep").agg(F.sum("m").alias("company"))
     central = shared.join(company, "rep").groupBy("key").agg(F.max(F.struct("company", (-F.col("rep")).alias("minus"))).alias("c")).select("key", (-F.col("c.minus")).alias("family"))
-    families = stored(spread_join(shared, central, "key").select("family", "rep").distinct(), "families")
+    families = stored(shared.join(central, "key").select("family", "rep").distinct(), "families")
 
     # each member against its centre: sizes, signature distance, then full sets
     pairs = families.filter("family <> rep").join(nodes, "rep")
