@@ -21,8 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels
-from .store import LOWER, UPPER, new_path, parts, row_key, slices, stored, tidied
-
+from .store import LOWER, UPPER, parts, row_key, scratch, scratch_path, slices, stored, tidied
 
 #: Buckets that a table may have (Spark's own default limit).
 MOST_BUCKETS = 100_000
@@ -41,7 +40,7 @@ class LineRuns:
 
     def _written(self, counts: DataFrame) -> DataFrame:
         name = f"line_run_{uuid.uuid4().hex}"
-        path = new_path(self.spark, name)
+        path = scratch_path(self.spark, name)
         counts.write.bucketBy(self.buckets, "line_hash").sortBy("line_hash").option("path", path).option("compression", "zstd").saveAsTable(name)
         self.names.append(name)
         return self.spark.table(name)
@@ -181,44 +180,59 @@ def dedup_lines(docs: DataFrame, threshold: int = 10, batches: int = 4, keep: li
     or empty text is one empty line and stays an empty text. Equal rows count as documents of their own.
     The corpus is taken in batches by a hash of doc_id and text; the result doesn't depend on their number. Docs may have any other columns.
     """
+    keep = [c for c in docs.columns if c != "text"] if keep is None else keep
+    # docs have names of our own: c0, c1, ... for what is kept
+    flat = docs.select(F.col("text"), *[c.alias(n) for c, n in zip(row_key(), ("o_doc", "o_text"))], *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])
+    flat = flat.withColumn("o_doc", F.col("o_doc").cast("long"))
+    with scratch():
+        hot = _hot_lines(docs.select("doc_id", "text"), threshold, batches)
+        joined = stored(_with_key(flat, hot).withColumnsRenamed({"o_doc": "k_doc", "o_text": "k_text"}), "marked-lines", keep=True)
+    with scratch():
+        spared = _spared_keys(joined, threshold)
+        if spared is not None:
+            joined = stored(_with_key(joined.withColumnsRenamed({"k_doc": "o_doc", "k_text": "o_text"}), spared), "spared-lines", keep=True).drop("o_doc", "o_text")
+        else:
+            joined = joined.drop("k_doc", "k_text").withColumn("spared", F.lit(None).cast("array<string>"))
+    schema = ", ".join([f"{n} {t}" for n, t in joined.dtypes if n[0] == "c"] + ["kept string", "n_lines long", "n_dropped long"])
+    out = joined.mapInArrow(tidied(drop_lines), schema)
+    return out.toDF(*keep, "kept", "n_lines", "n_dropped")
+
+
+def _with_key(flat: DataFrame, more: DataFrame) -> DataFrame:
+    """flat(o_doc, o_text, ...) with the other column of more(k_doc, k_text, other), where it has a row."""
+    same = F.col("o_doc").eqNullSafe(F.col("k_doc")) & (F.col("o_text") == F.col("k_text"))
+    return flat.join(more, same, "left").drop("k_doc", "k_text")
+
+
+def _hot_lines(docs: DataFrame, threshold: int, batches: int) -> DataFrame:
+    """(k_doc, k_text, hot): the hashes of each row's frequent lines, by the levelled runs."""
     spark = docs.sparkSession
-    plain = docs.select("doc_id", "text")
-    lines = distinct_lines(plain)
-    path = new_path(spark, "doc-lines")
+    path = scratch_path(spark, "doc-lines")
     batch = F.pmod(F.xxhash64("k_doc", "k_text"), F.lit(batches)).cast("int")
-    lines.withColumn("batch", batch).write.partitionBy("batch").option("compression", "zstd").parquet(path)
+    distinct_lines(docs).withColumn("batch", batch).write.partitionBy("batch").option("compression", "zstd").parquet(path)
     lines = spark.read.schema("k_doc long, k_text long, line_hash long, batch int").parquet(path)
-    runs = LineRuns(spark, threshold, buckets=parts(plain))
+    runs = LineRuns(spark, threshold, buckets=parts(docs))
     for i in range(batches):
         runs.add(lines.filter(F.col("batch") == i))
     frequent = stored(runs.frequent(), "frequent-lines")
     runs.forget()
     hot = lines.select("k_doc", "k_text", "line_hash").join(frequent, "line_hash", "left_semi")
-    hot = hot.groupBy("k_doc", "k_text").agg(F.collect_set("line_hash").alias("hot"))
+    return hot.groupBy("k_doc", "k_text").agg(F.collect_set("line_hash").alias("hot"))
 
-    # from here on docs have names of our own: c0, c1, ... for what is kept
-    keep = [c for c in docs.columns if c != "text"] if keep is None else keep
-    flat = docs.select(F.col("text"), *[c.alias(n) for c, n in zip(row_key(), ("o_doc", "o_text"))], *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])
-    flat = flat.withColumn("o_doc", F.col("o_doc").cast("long"))
-    own = lambda d: d.withColumnsRenamed({"k_doc": "r_doc", "k_text": "r_text"})
-    joined = flat.join(own(hot), F.col("o_doc").eqNullSafe(F.col("r_doc")) & (F.col("o_text") == F.col("r_text")), "left").drop("r_doc", "r_text")
-    joined = stored(joined.withColumnsRenamed({"o_doc": "k_doc", "o_text": "k_text"}), "marked-lines")
-    keys = joined.filter("hot is not null").select("text", "hot").mapInArrow(tidied(_hot_keys), "line_hash long, key string, n long")
+
+def _spared_keys(marked: DataFrame, threshold: int) -> DataFrame | None:
+    """(k_doc, k_text, spared): keys that share a frequent line's hash and aren't frequent by text; None if there are none."""
+    held = marked.filter("hot is not null")
+    keys = held.select("text", "hot").mapInArrow(tidied(_hot_keys), "line_hash long, key string, n long")
     rare = keys.groupBy("line_hash", "key").agg(F.sum("n").alias("n")).filter(F.col("n") < threshold)
-    rare = stored(rare.select("line_hash", "key"), "rare-keys")  # only keys whose hash is a frequent line's too
-    joined = joined.withColumn("spared", F.lit(None).cast("array<string>"))
+    rare = stored(rare.select("line_hash", "key"), "rare-keys")
     doubtful = [r["line_hash"] for r in rare.select("line_hash").distinct().limit(DOUBTFUL + 1).collect()]
-    if doubtful:
-        if len(doubtful) > DOUBTFUL:
-            raise ValueError("line hashes collide too often to be hashes")
-        held = joined.filter("hot is not null").mapInArrow(tidied(_spared(doubtful)), "k_doc long, k_text long, key string")
-        held = held.join(rare.select("key").distinct(), "key", "left_semi").groupBy("k_doc", "k_text").agg(F.collect_set("key").alias("s"))
-        same = F.col("k_doc").eqNullSafe(F.col("r_doc")) & (F.col("k_text") == F.col("r_text"))
-        joined = joined.drop("spared").join(own(held), same, "left").drop("r_doc", "r_text").withColumnRenamed("s", "spared")
-    joined = joined.drop("k_doc", "k_text")
-    schema = ", ".join([f"{n} {t}" for n, t in joined.dtypes if n[0] == "c"] + ["kept string", "n_lines long", "n_dropped long"])
-    out = joined.mapInArrow(tidied(drop_lines), schema)
-    return out.toDF(*keep, "kept", "n_lines", "n_dropped")
+    if len(doubtful) > DOUBTFUL:
+        raise ValueError("line hashes collide too often to be hashes")
+    if not doubtful:
+        return None
+    found = held.mapInArrow(tidied(_spared(doubtful)), "k_doc long, k_text long, key string").join(rare.select("key").distinct(), "key", "left_semi")
+    return found.groupBy("k_doc", "k_text").agg(F.collect_set("key").alias("spared"))
 
 
 def without_frequent_lines(docs: DataFrame, threshold: int = 10) -> DataFrame:

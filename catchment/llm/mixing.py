@@ -16,10 +16,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .store import row_key, stored
+from .store import row_key, scratch, stored
 
 #: Rows in one range of a prefix sum.
 RANGE_ROWS = 1024
+#: Parts in which the rows of one key are numbered.
+SALTS = 1024
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -76,8 +78,9 @@ def end_of_budget(by_range: DataFrame, budget: int, bits: int) -> tuple[int, int
     return over["f"], over["c"] - over["s"]
 
 
-def _mixed(rows: DataFrame, passes: int, ties: list[str]) -> DataFrame:
-    """rows(source, size, u, *ties) with source_size, target, times and first_finish. u is the shuffle key; rows with one u follow ties, by which all rows but equal ones differ."""
+def _mixed(rows: DataFrame, passes: int) -> DataFrame:
+    """rows(k_doc, k_text, source, size, u) with source_size, target, times and first_finish. u is the shuffle key."""
+    ties = ["k_doc", "k_text"]
     per_source = stored(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), passes), "mix-targets")
     counted = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("total")).first()
     bits, budget = ranges_bits(counted["n"]), int(counted["total"])
@@ -127,23 +130,42 @@ def mixed(docs: DataFrame, size: Column | None = None, seed: str = "mix", passes
     """
     size = words_in(F.col("text")) if size is None else size
     rows = stored(docs.select(*row_key(), "source", size.alias("size"), shuffle_key(seed).alias("u")), "mix-rows")
-    out = _mixed(rows, passes, ["k_doc", "k_text"])
+    out = _mixed(rows, passes)
     return out.select("k_doc", "k_text", "source", "size", "source_size", "target", F.col("times").cast("int").alias("times"), (F.col("size") * F.col("times")).cast("long").alias("taken"), "first_finish")
 
 
 def mix_documents(docs: DataFrame, seed: str = "mix", passes: int = 3) -> DataFrame:
     """The mixed corpus itself: the rows of docs, each as often as the mix takes it (as `mixed` says), all columns kept whatever their names.
 
-    Each row is numbered once, in a stored table, and its copies follow that number, so equal rows are told apart; which of them the mix repeats isn't defined.
+    Rows with equal doc_id, text and source share what the mix takes of them evenly; which of them is taken once more than others isn't defined.
     """
     columns = docs.columns
-    c = {name: f"c{columns.index(name)}" for name in ("doc_id", "text", "source")}
-    numbered = stored(docs.toDF(*[f"c{i}" for i in range(len(columns))]).withColumn("row", F.monotonically_increasing_id()), "mix-numbered")
-    named = numbered.select("row", *[F.col(own).alias(name) for name, own in c.items()])
-    rows = stored(named.select("row", *row_key(), "source", words_in(F.col("text")).alias("size"), shuffle_key(seed).alias("u")), "mix-rows")
-    taken = _mixed(rows, passes, ["k_doc", "k_text", "row"]).filter("times > 0").select("row", "times")
-    out = numbered.join(taken, "row").withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    return out.select(*[f"c{i}" for i in range(len(columns))]).toDF(*columns)
+    own = {name: F.col(f"c{columns.index(name)}") for name in ("doc_id", "text", "source")}
+    flat = docs.toDF(*[f"c{i}" for i in range(len(columns))])
+    with scratch():
+        taken = mixed(docs.select("doc_id", "text", "source"), seed=seed, passes=passes)
+        taken = taken.groupBy("k_doc", "k_text", F.col("source").alias("k_source")).agg(F.count("*").alias("n"), F.sum("times").cast("int").alias("times"))
+        taken = stored(taken.filter("times > 0"), "mix-taken", keep=True)
+    key = [own["doc_id"].alias("o_doc"), F.xxhash64(F.coalesce(own["text"], F.lit("")), own["text"].isNull()).alias("o_text"), own["source"].alias("o_source")]
+    same = F.col("o_doc").eqNullSafe(F.col("k_doc")) & (F.col("o_text") == F.col("k_text")) & F.col("o_source").eqNullSafe(F.col("k_source"))
+    held = flat.select("*", *key).join(taken, same).drop("o_doc", "o_text", "o_source")
+    single = held.filter("n = 1").select(*flat.columns, "times")
+    out = single
+    if not taken.filter("n > 1").isEmpty():
+        out = single.union(_shared(stored(held.filter("n > 1").withColumn("row", F.monotonically_increasing_id()), "mix-equal")).select(*flat.columns, "times"))
+    return out.withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*flat.columns).toDF(*columns)
+
+
+def _shared(equal: DataFrame) -> DataFrame:
+    """equal(k_doc, k_text, k_source, n, times, row, ...), n rows a key, with the key's times dealt to its rows. Rows are numbered in two levels: no task holds a whole key."""
+    key = ["k_doc", "k_text", "k_source"]
+    rows = equal.select(*key, "row", F.pmod("row", F.lit(SALTS)).alias("salt"))
+    before = rows.groupBy(*key, "salt").agg(F.count("*").alias("m")).withColumn("start", F.sum("m").over(W.partitionBy(*key).orderBy("salt")) - F.col("m"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*key, "salt")]
+    numbered = rows.withColumn("i", F.row_number().over(W.partitionBy(*key, "salt").orderBy("row"))).alias("a").join(before.alias("b"), same)
+    numbered = numbered.select("a.row", (F.col("i") + F.col("start")).alias("i"))
+    share = F.expr("times div n") + F.when(F.col("i") <= F.col("times") % F.col("n"), 1).otherwise(0)
+    return equal.join(numbered, "row").withColumn("times", share.cast("int")).filter("times > 0")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 
 from . import kernels
 from .graph import connected_components
-from .store import slices, stored, tidied
+from .store import scratch, slices, stored, tidied
 
 K, BITS, CHUNKS = 64, 16, 13
 #: Members and shingles of one block when components of a family are compared.
-BLOCK_MEMBERS, BLOCK_SHINGLES = 256, 1 << 20
+BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 1 << 20
 #: Tasks to which the rows of one bucket or family are dealt where they meet its centre or its size.
 SPREAD = 8
 
@@ -194,13 +194,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     # each member against its centre: sizes, signature distance, then full sets
     pairs = families.filter("family <> rep").join(nodes, "rep")
     centre = nodes.select(F.col("rep").alias("family"), F.col("n_shingles").alias("c_n"), F.col("sig").alias("c_sig")).join(families.select("family").distinct(), "family", "left_semi")
-    pairs = spread_join(pairs, centre, "family").filter(F.least("n_shingles", "c_n") * 100 >= F.greatest("n_shingles", "c_n") * percent)
+    pairs = pairs.join(centre, "family").filter(F.least("n_shingles", "c_n") * 100 >= F.greatest("n_shingles", "c_n") * percent)
     apart = F.size(F.filter(F.zip_with("sig", "c_sig", lambda x, y: x != y), lambda x: x))
     pairs = stored(pairs.filter(apart <= threshold).select("family", "rep").distinct(), "pairs")
     wanted = stored(pairs.select("rep").union(pairs.select("family")).distinct(), "wanted")
     sets = stored(shingle_sets(docs, wanted, width), "sets")
     c_sets = sets.select(F.col("rep").alias("family"), F.col("items").alias("c_items")).join(pairs.select("family").distinct(), "family", "left_semi")
-    held = spread_join(pairs.join(sets, "rep"), c_sets, "family")
+    held = pairs.join(sets, "rep").join(c_sets, "family")
     common = F.size(F.array_intersect("items", "c_items"))
     links = held.filter(common * 100 >= (F.size("items") + F.size("c_items") - common) * percent).select(F.col("family").alias("a"), F.col("rep").alias("b"))
 
@@ -231,8 +231,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of docs whose document stays: one doc_id of each group, and all rows without doc_id."""
-    gone = near_duplicates(docs.select("doc_id", "text"), percent).filter("not kept").select("doc_id").distinct()
-    return docs.join(stored(gone, "near-duplicates"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    with scratch():
+        gone = near_duplicates(docs.select("doc_id", "text"), percent).filter("not kept").select("doc_id").distinct()
+        gone = stored(gone, "near-duplicates", keep=True)
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import uuid
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,10 +39,35 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch():
+    """Tables written within are deleted at its end, but for those that `stored` is told to keep. Nothing that is still to be computed may read the deleted ones."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            fs, folder = pyarrow.fs.FileSystem.from_uri(path)
+            if fs.get_file_info(folder).type == pyarrow.fs.FileType.Directory:
+                fs.delete_dir(folder)
+
+
+def scratch_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new path, deleted at the end of the innermost scratch scope, or with keep of the one around it."""
+    path = new_path(spark, name)
+    at = len(_scopes) - 1 - keep
+    if at >= 0:
+        _scopes[at].append(path)
+    return path
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: a short lineage that survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
+    path = scratch_path(df.sparkSession, name, keep)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
