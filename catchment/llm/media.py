@@ -354,12 +354,16 @@ def decoded(media: DataFrame) -> DataFrame:
     return media.mapInArrow(tidied(run), ", ".join([f"`{n}` {t}" for n, t in media.dtypes] + ["payload binary", "sample_feature string"]))
 
 
-def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    media = media_column(store_texts(docs, new_path(spark, "media")), "media", "declared").drop("type_corrected")
+def op6_digest(docs: DataFrame, path: str) -> DataFrame:
+    """Digests and features of docs(doc_id, text), stored at path as a media table and read back."""
+    media = media_column(store_texts(docs, path), "media", "declared").drop("type_corrected")
     out = decoded(media.withColumn("n_embedded", F.size("embedded")).drop("embedded", "declared"))
     return out.select(
         "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.expr("substring(payload, length(payload) - 31, 32)")).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
         F.concat_ws(";", "true_type", F.concat(F.lit("embedded="), F.col("n_embedded")), "sample_feature").alias("feature"),
     )
+
+
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_digest(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), new_path(spark, "media"))

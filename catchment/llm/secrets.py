@@ -155,10 +155,14 @@ def spans_text(spans):
     return F.array_join(F.transform(F.array_sort(keyed), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+def op7_digest(found: DataFrame) -> DataFrame:
+    """Counts, digest and listing of what find_secrets gives."""
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     return found.select(
         "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.size("linked").cast("long").alias("n_linked"),
         F.sha2(spans_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), spans_text(F.concat("base", "linked")).alias("spans"),
     )
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_digest(find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
