@@ -93,3 +93,20 @@ def status_summary(fields: DataFrame, key: str = "key") -> DataFrame:
     kind = status_class("status")
     out = fields.groupBy(key).agg(F.max(kind.isin("review", "missing")).alias("open"), F.min(kind == "verified").alias("all"))
     return out.select(key, F.when(F.col("open"), "needs_review").when(F.col("all"), "verified").otherwise("mixed").alias("summary"))
+
+
+def assessment_state(selected: Column, stops_found: Column, researched: Column, whole: Column, complete: Column, published: Column, ready: Column) -> Column:
+    """The state of an assessment: the first condition that fails, in order, then how far it is published. Wording is fixed."""
+    return (
+        F.when(~selected, "Research not started").when(~stops_found, "Stop discovery required").when(~researched, "Route/service research required").when(~whole, "Research incomplete").when(~complete, "Import requires review")
+        .when(published, "Published and confirmed").when(ready, "Ready for Shared Library publication").otherwise("Research complete and ready for output")
+    )
+
+
+def print_gate(scale: Column, basemap: Column, site: Column, routes: Column, confirmed: Column, layers: Column) -> tuple[Column, Column]:
+    """(reason, blocked) of a drawing: its first open point in order, '' if none. basemap is failed, none, loading or success; all but success block."""
+    reason = (
+        F.when(~scale, "scale").when(basemap == "failed", "basemap incomplete").when(basemap == "none", "not generated").when(basemap == "loading", "basemap loading").when(~site, "no site boundary")
+        .when(~routes, "routes under review").when(~confirmed, "review not confirmed").when(~layers, "layers missing").otherwise("")
+    )
+    return reason, ~scale | (basemap != "success") | ~routes | ~confirmed

@@ -73,6 +73,36 @@ def nearest_segment(points: DataFrame, segs: DataFrame, key: str, metres: float,
     return joined.groupBy(key).agg(F.min(segment_distance(_c(point[0]), _c(point[1]))).alias("nearest")).filter(F.col("nearest") <= metres)
 
 
+def matched_measures(points: DataFrame, lines: DataFrame, key: str, order: str, metres: float, place: str = "place") -> DataFrame:
+    """points(key, place, lat, lon) with distance to the line of the same key and measure along it, at the nearest place (the first of several) at most metres away; null without one.
+
+    Points meet segments of their own line in cells of that width, so a long line is dealt to many tasks and no two ends of it are compared.
+    """
+    step = metres / geo.DEGREE_LAT
+    measured = measures(lines, key, order).select(key, order, "lon", "lat", "measure")
+    w = W.partitionBy(key).orderBy(order)
+    s = measured.withColumn("lon2", F.lead("lon").over(w)).withColumn("lat2", F.lead("lat").over(w)).withColumn("step", F.lead("measure").over(w) - F.col("measure")).filter("lon2 is not null")
+    s = s.withColumn("_row", F.explode(F.sequence(F.floor(F.least("lat", "lat2") / step), F.floor(F.greatest("lat", "lat2") / step))))
+    width = geo._cell_width(F.col("_row"), step)
+    s = s.withColumn("_col", F.explode(F.sequence(F.floor(F.least("lon", "lon2") / width), F.floor(F.greatest("lon", "lon2") / width))))
+    p = points.select(key, place, F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
+    row, _ = geo.cell("p_lat", "p_lon", metres)
+    around = p.withColumn("_cell", F.explode(F.array_distinct(_neighbours(row, F.col("p_lat"), F.col("p_lon"), metres))))
+    around = around.select("*", F.col("_cell.row").alias("_row"), F.col("_cell.col").alias("_col"))
+    near = around.join(s, [key, "_row", "_col"])
+    ax, ay = geo.local_xy("lat", "lon", F.col("p_lat"), F.col("p_lon"))
+    bx, by = geo.local_xy("lat2", "lon2", F.col("p_lat"), F.col("p_lon"))
+    near = near.select(key, place, order, "measure", "step", ax.alias("_ax"), ay.alias("_ay"), bx.alias("_bx"), by.alias("_by"))
+    near = near.withColumns({"_dx": F.col("_bx") - F.col("_ax"), "_dy": F.col("_by") - F.col("_ay")}).withColumn("_square", F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy"))
+    ratio = F.when(F.col("_square") > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (-F.col("_ax") * F.col("_dx") - F.col("_ay") * F.col("_dy")) / F.col("_square")))).otherwise(0.0)
+    near = near.withColumn("_ratio", ratio)
+    away = lambda c: F.pow(F.col(f"_a{c}") + F.col("_ratio") * F.col(f"_d{c}"), F.lit(2.0))
+    near = near.withColumn("distance", F.sqrt(away("x") + away("y")))
+    best = near.groupBy(key, place).agg(F.min(F.struct("distance", order, (F.col("measure") + F.col("_ratio") * F.col("step")).alias("measure"))).alias("m"))
+    best = best.filter(F.col("m.distance") <= metres)  # not before: a filter that is pushed below the steps above repeats them all in itself
+    return points.join(best, [key, place], "left").select(points["*"], F.col("m.distance").alias("distance"), F.col("m.measure").alias("measure"))
+
+
 #: Pieces of segments in one share of a crowded cell.
 CELL_PIECES = 4096
 

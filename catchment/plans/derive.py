@@ -69,6 +69,8 @@ SELECT c_custkey AS record_id, 'crs:' || CAST(c_custkey AS STRING) AS key, f AS
 FROM customer CROSS JOIN (SELECT r_regionkey * 3 + 1 AS f FROM region UNION ALL SELECT r_regionkey * 3 + 2 FROM region UNION ALL SELECT r_regionkey * 3 + 3 FROM region) AS dims""",
     "traces": """
 SELECT user_id AS route_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, -0.1e0 + (user_id % 50) / 1e3 + (event_id * 7919 % 1000) / 1e5 AS lon, 51.5e0 + (event_id * 104729 % 1000) / 1e5 AS lat FROM events""",
+    "snapped": """
+SELECT route_id, seq, lon, lat + 2e-4 AS lat FROM traces WHERE route_id % 3 <> 1 OR seq % 2 = 1""",
     "squares": """
 SELECT CAST(n_nationkey AS BIGINT) AS polygon_id, 51.35e0 + (n_nationkey * 11 % 25) / 6e1 AS south, -0.35e0 + (n_nationkey * 7 % 25) / 4e1 AS west, 0.03e0 + (n_nationkey % 4) / 1e2 AS height, 0.04e0 + (n_nationkey % 3) / 1e2 AS width FROM nation""",
     "results": """

@@ -15,7 +15,7 @@ from ..registry import query
 from ..sources import masters
 from ..sources.scratch import shared_folder
 from ..sources.sinks import publish
-from .geometry import _hav, rings
+from .geometry import _RING_METRES, _hav, rings
 from .matching import _MISSING
 from .scalars import _generic, _is_url, _norm, _path
 from .search import within_sql
@@ -83,18 +83,13 @@ def k02(t):
     return t.elements.select("osm_id", keys.element("osm_type", "osm_id").alias("key"))
 
 
-@query("j10_end_to_ring", "SELECT polygon_id, round(least(abs(west - -0.1e0), abs(west + width - -0.1e0)) * 111320e0 * cos(radians(51.5e0)), 1) AS metres FROM squares WHERE south <= 51.5e0 AND south + height >= 51.5e0 AND (least(abs(west - -0.1e0), abs(west + width - -0.1e0)) * 111320e0 * cos(radians(51.5e0))) <= least(abs(south - 51.5e0), abs(south + height - 51.5e0)) * 110540e0")
+@query("j10_end_to_ring", f"SELECT polygon_id, round({_RING_METRES('51.5e0', '-0.1e0')}, 1) AS metres FROM squares")
 def j10(t):
-    """How far a fixed point is from the nearest side of each ring, where that is a side to the east or west."""
+    """How far a fixed point is from the nearest side of each ring."""
     lat, lon = F.lit(51.5), F.lit(-0.1)
-    r = rings(t.squares)
-    sides = r.select("polygon_id", "south", "west", "height", "width", F.explode(F.arrays_zip(F.slice("ring", 1, 4).alias("a"), F.slice("ring", 2, 4).alias("b"))).alias("s"))
-    s = sides.select("polygon_id", "south", "west", "height", "width", F.col("s.a.lon").alias("lon"), F.col("s.a.lat").alias("lat"), F.col("s.b.lon").alias("lon2"), F.col("s.b.lat").alias("lat2"))
-    near = s.groupBy("polygon_id", "south", "west", "height", "width").agg(F.min(spatial.segment_distance(lat, lon)).alias("m"))
-    across = F.least(F.abs(F.col("west") + 0.1), F.abs(F.col("west") + F.col("width") + 0.1)) * geo.DEGREE_LON * F.cos(F.radians(lat))
-    up = F.least(F.abs(F.col("south") - 51.5), F.abs(F.col("south") + F.col("height") - 51.5)) * geo.DEGREE_LAT
-    within = (F.col("south") <= 51.5) & (F.col("south") + F.col("height") >= 51.5)
-    return near.filter(within & (across <= up)).select("polygon_id", F.round("m", 1).alias("metres"))
+    sides = rings(t.squares).select("polygon_id", F.explode(F.arrays_zip(F.slice("ring", 1, 4).alias("a"), F.slice("ring", 2, 4).alias("b"))).alias("s"))
+    s = sides.select("polygon_id", F.col("s.a.lon").alias("lon"), F.col("s.a.lat").alias("lat"), F.col("s.b.lon").alias("lon2"), F.col("s.b.lat").alias("lat2"))
+    return s.groupBy("polygon_id").agg(F.round(F.min(spatial.segment_distance(lat, lon)), 1).alias("metres"))
 
 
 _SCORE = f"(CASE WHEN {_is_url('url')} AND regexp_matches({_path('url')}, '[^/]') AND NOT {_generic('url', 'false')} THEN 8 WHEN url <> '' THEN 2 ELSE 0 END - {_MISSING})"
@@ -164,14 +159,6 @@ def g10(t):
     return inside.filter(~spatial.inside_ring(F.col("lat"), F.col("lon"), F.col("hole"))).select("osm_id", "polygon_id")
 
 
-@query("g14_snap_verdict", "SELECT route_id, array_to_string(list_filter([CASE WHEN route_id % 11 = 0 THEN 'no geometry' END, CASE WHEN route_id % 5 = 0 THEN 'order not preserved' END, CASE WHEN route_id % 160 > 80 THEN 'guidance deviation' END, CASE WHEN route_id % 40 > 15 THEN 'gap between chunks' END], lambda x: x IS NOT NULL), ', ') AS reasons FROM routes")
-def g14(t):
-    """What blocks a guided line: no geometry, lost order, deviation over its tolerance, gaps over 15 m."""
-    i = F.col("route_id")
-    reasons = quality.array_of((i % 11 == 0, "no geometry"), (i % 5 == 0, "order not preserved"), (i % 160 > 80, "guidance deviation"), (i % 40 > 15, "gap between chunks"))
-    return t.routes.select("route_id", F.array_join(reasons, ", ").alias("reasons"))
-
-
 @query("r01_speeds", "SELECT osm_id, round(osm_id / (4.8e0 * 1000 / 3600), 6) AS walk, round(osm_id / (15.5e0 * 1000 / 3600), 6) AS cycle FROM elements")
 def r01(t):
     m = F.col("osm_id").cast("double")

@@ -73,12 +73,19 @@ def c13(t):
     return t.routes.withColumn("all", missing).select("route_id", F.concat(head, stale).alias("missing"))
 
 
-@query("c14_assessment_status", "SELECT site_id, CASE WHEN n = 0 THEN 'Research not started' WHEN pending > 0 THEN 'Stop discovery required' WHEN bad > 0 THEN 'Research incomplete' ELSE 'Research complete and ready for output' END AS state FROM (SELECT s.site_id, count(p.stop_id) AS n, count(*) FILTER (p.status = 'missing') AS pending, count(*) FILTER (p.status = '') AS bad FROM sites AS s LEFT JOIN stops AS p ON p.site_id = s.site_id GROUP BY s.site_id) AS q")
+@query("c14_assessment_status", """SELECT route_id, CASE WHEN coalesce(n, 0) = 0 THEN 'Research not started' WHEN open > 0 THEN 'Stop discovery required' WHEN url = '' OR status = 'missing' THEN 'Route/service research required' WHEN origin = '' THEN 'Research incomplete'
+ WHEN weekday IN ('', 'research required') OR sunday = '' THEN 'Import requires review' WHEN title <> '' AND publisher <> '' THEN 'Published and confirmed' WHEN publisher <> '' THEN 'Ready for Shared Library publication' ELSE 'Research complete and ready for output' END AS state
+FROM routes LEFT JOIN (SELECT l.route_id, count(*) AS n, count(*) FILTER (s.status = 'missing') AS open FROM stop_routes AS l JOIN stops AS s ON s.stop_id = l.stop_id WHERE s.naptan <> '' AND s.site_id = l.route_id % 25 GROUP BY l.route_id) AS p USING (route_id)""")
 def c14(t):
-    rows = t.sites.select("site_id").join(t.stops.select(F.col("site_id").cast("long").alias("site_id"), "stop_id", "status"), "site_id", "left")
-    g = rows.groupBy("site_id").agg(F.count("stop_id").alias("n"), F.count_if(F.col("status") == "missing").alias("pending"), F.count_if(F.col("status") == "").alias("bad"))
-    state = F.when(F.col("n") == 0, "Research not started").when(F.col("pending") > 0, "Stop discovery required").when(F.col("bad") > 0, "Research incomplete").otherwise("Research complete and ready for output")
-    return g.select("site_id", state.alias("state"))
+    """The state of each route's assessment, by eight outcomes in order: stops selected, found, route researched, record whole, fields complete, published, ready."""
+    stops = t.stops.filter("naptan <> ''").select("stop_id", "site_id", F.col("status").alias("stop_status"))
+    chosen = t.stop_routes.join(stops, "stop_id").filter(F.col("site_id") == F.col("route_id") % 25).groupBy("route_id").agg(F.count("*").alias("n"), F.count_if(F.col("stop_status") == "missing").alias("open"))
+    r = t.routes.join(chosen, "route_id", "left")
+    state = q.assessment_state(
+        selected=F.coalesce("n", F.lit(0)) > 0, stops_found=F.coalesce("open", F.lit(0)) == 0, researched=(F.col("url") != "") & (F.col("status") != "missing"), whole=F.col("origin") != "",
+        complete=ev.useful("weekday") & ev.useful("sunday"), published=(F.col("title") != "") & (F.col("publisher") != ""), ready=F.col("publisher") != "",
+    )
+    return r.select("route_id", state.alias("state"))
 
 
 @query("c15_publish_prediction", f"SELECT r.route_id, CASE WHEN r.route_id % 5 = 4 THEN 'not selected' WHEN r.origin = '' THEN 'blocked' WHEN m.route_id IS NULL THEN 'add' WHEN m.status = 'verified' AND r.status <> 'verified' THEN 'preserved' ELSE 'update' END AS prediction FROM routes AS r LEFT JOIN (SELECT route_id + 1 AS route_id, status FROM routes WHERE route_id % 2 = 0) AS m ON m.route_id = r.route_id")
@@ -140,11 +147,16 @@ def n05(t):
     return t.rail_fields.filter((F.col("value") == "") | ~ev.is_verified("status")).select("key").distinct()
 
 
-@query("n25_print_gate", "SELECT site_id, CASE WHEN n = 0 THEN 'no stops' WHEN open > 0 THEN 'stops under review' ELSE '' END AS reason FROM (SELECT s.site_id, count(p.stop_id) AS n, count(*) FILTER (p.status IN ('needs review', 'missing')) AS open FROM sites AS s LEFT JOIN stops AS p ON p.site_id = s.site_id GROUP BY s.site_id) AS q")
+@query("n25_print_gate", """SELECT route_id, CASE WHEN weekday = '' THEN 'scale' WHEN status = 'missing' THEN 'basemap incomplete' WHEN sunday = '' THEN 'not generated' WHEN weekday = 'No service' THEN 'basemap loading' WHEN origin = '' THEN 'no site boundary'
+ WHEN url = 'not a url' THEN 'routes under review' WHEN context = 'Herts' AND title = '' THEN 'review not confirmed' WHEN variant = '' THEN 'layers missing' ELSE '' END AS reason,
+ weekday = '' OR status = 'missing' OR sunday = '' OR weekday = 'No service' OR url = 'not a url' OR (context = 'Herts' AND title = '') AS blocked FROM routes""")
 def n25(t):
-    rows = t.sites.select("site_id").join(t.stops.select(F.col("site_id").cast("long").alias("site_id"), "stop_id", "status"), "site_id", "left")
-    g = rows.groupBy("site_id").agg(F.count("stop_id").alias("n"), F.count_if(F.col("status").isin("needs review", "missing")).alias("open"))
-    return g.select("site_id", F.when(F.col("n") == 0, "no stops").when(F.col("open") > 0, "stops under review").otherwise("").alias("reason"))
+    """The first reason, in order, why a drawing isn't ready, and whether it blocks printing (a lack of boundary or layers only warns)."""
+    reason, blocked = q.print_gate(
+        scale=F.col("weekday") != "", basemap=F.when(F.col("status") == "missing", "failed").when(F.col("sunday") == "", "none").when(F.col("weekday") == "No service", "loading").otherwise("success"),
+        site=F.col("origin") != "", routes=F.col("url") != "not a url", confirmed=(F.col("context") != "Herts") | (F.col("title") != ""), layers=F.col("variant") != "",
+    )
+    return t.routes.select("route_id", reason.alias("reason"), blocked.alias("blocked"))
 
 
 @query("n24_approval_transitions", "SELECT stop_id, CASE WHEN lower(status) LIKE 'verified%' THEN 'approved' WHEN status = 'needs review' THEN 'retry' WHEN status = 'manual' THEN 'manual-fallback' ELSE 'review' END AS next FROM stops")

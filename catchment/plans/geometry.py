@@ -175,13 +175,13 @@ def w13(t):
 
 _LOCAL = "SELECT *, (a.lon - p_lon) * 111320e0 * cos(radians(p_lat)) AS ax, (a.lat - p_lat) * 110540e0 AS ay, (a.lon2 - p_lon) * 111320e0 * cos(radians(p_lat)) AS bx2, (a.lat2 - p_lat) * 110540e0 AS by2"
 _NEAREST = f"""SELECT osm_id, round(min(sqrt(pow(ax + k * (bx2 - ax), 2e0) + pow(ay + k * (by2 - ay), 2e0))), 3) AS nearest FROM (SELECT *, CASE WHEN pow(bx2 - ax, 2e0) + pow(by2 - ay, 2e0) > 0 THEN least(1e0, greatest(0e0, (-ax * (bx2 - ax) - ay * (by2 - ay)) / (pow(bx2 - ax, 2e0) + pow(by2 - ay, 2e0)))) ELSE 0e0 END AS k
- FROM ({_LOCAL} FROM (SELECT * FROM {_SEGMENTS} AS s WHERE lon2 IS NOT NULL AND route_id < 20) AS a CROSS JOIN (SELECT osm_id, lat AS p_lat, lon AS p_lon FROM elements WHERE railway <> '') AS p) AS l) AS d GROUP BY osm_id HAVING min(sqrt(pow(ax + k * (bx2 - ax), 2e0) + pow(ay + k * (by2 - ay), 2e0))) <= 1500"""
+ FROM ({_LOCAL} FROM (SELECT * FROM {_SEGMENTS} AS s WHERE lon2 IS NOT NULL) AS a CROSS JOIN (SELECT osm_id, lat AS p_lat, lon AS p_lon FROM elements WHERE railway <> '') AS p) AS l) AS d GROUP BY osm_id HAVING min(sqrt(pow(ax + k * (bx2 - ax), 2e0) + pow(ay + k * (by2 - ay), 2e0))) <= 1500"""
 
 
 @query("j09_nearest_line", _NEAREST)
 def j09(t):
     """Stations with a line at most 1.5 km away, and how far it is."""
-    segs = spatial.segments(t.traces.filter("route_id < 20"), "route_id", "seq")
+    segs = spatial.segments(t.traces, "route_id", "seq")
     stations = t.elements.filter("railway <> ''").select("osm_id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
     return spatial.nearest_segment(stations, segs, "osm_id", 1500.0).select("osm_id", F.round("nearest", 3).alias("nearest"))
 
@@ -193,12 +193,40 @@ def c20(t):
     return stations.join(j09(t), "osm_id", "left").select("osm_id", F.coalesce(F.col("nearest") > 200, F.lit(True)).alias("review"))
 
 
-@query("g12_direction", "SELECT route_id, length, CASE WHEN abs(a - b) <= greatest(1e1, least(5e1, length / 1e2)) THEN 'ambiguous' WHEN a < b THEN 'from-site' ELSE 'to-site' END AS direction FROM (SELECT osm_id AS route_id, osm_id * 7e0 AS length, osm_id % 50 * 3e0 AS a, osm_id % 70 * 2e0 AS b FROM elements) AS q")
+def _seg(lat: str, lon: str, a: tuple[str, str], b: tuple[str, str]) -> tuple[str, str]:
+    """SQL of a point's distance to the segment a-b (lat, lon each) in its local plane, and the nearest place's share of the segment."""
+    x = lambda c: f"(({c}) - ({lon})) * 111320e0 * cos(radians({lat}))"
+    y = lambda c: f"(({c}) - ({lat})) * 110540e0"
+    ax, ay, dx, dy = x(a[1]), y(a[0]), f"({x(b[1])} - {x(a[1])})", f"({y(b[0])} - {y(a[0])})"
+    k = f"CASE WHEN {dx} * {dx} + {dy} * {dy} > 0 THEN least(1e0, greatest(0e0, (-{ax} * {dx} - {ay} * {dy}) / ({dx} * {dx} + {dy} * {dy}))) ELSE 0e0 END"
+    return f"sqrt(pow({ax} + ({k}) * {dx}, 2e0) + pow({ay} + ({k}) * {dy}, 2e0))", f"({k})"
+
+
+_CORNERS = [("south", "west"), ("south", "west + width"), ("south + height", "west + width"), ("south + height", "west")]
+_RING_METRES = lambda lat, lon: f"least({', '.join(_seg(lat, lon, a, b)[0] for a, b in zip(_CORNERS, _CORNERS[1:] + _CORNERS[:1]))})"
+
+
+@query("g12_direction", f"""SELECT route_id, class, CASE WHEN abs(a - b) <= greatest(1e1, least(5e1, length / 1e2)) THEN 'review-required' ELSE 'confirmed' END AS status,
+ abs(a - b) > greatest(1e1, least(5e1, length / 1e2)) AND (a < b) = (class = 'route-to-site') AS reversed, round(a, 2) AS start_metres, round(b, 2) AS end_metres
+FROM (SELECT route_id, length, CASE WHEN route_id % 2 = 0 THEN 'route-to-site' ELSE 'route-from-site' END AS class, {_RING_METRES('lat1', 'lon1')} AS a, {_RING_METRES('lat2', 'lon2')} AS b
+ FROM (SELECT route_id, sum(step) AS length, arg_min(lat, seq) AS lat1, arg_min(lon, seq) AS lon1, arg_max(lat, seq) AS lat2, arg_max(lon, seq) AS lon2 FROM {_STEPS} AS s GROUP BY route_id) AS e JOIN squares ON polygon_id = route_id % 25) AS q""")
 def g12(t):
-    """Which end of a line is at the site, with a band in which that is open."""
-    a, b, length = F.col("osm_id") % 50 * 3.0, F.col("osm_id") % 70 * 2.0, F.col("osm_id") * 7.0
-    band = F.greatest(F.lit(10.0), F.least(F.lit(50.0), length / 100.0))
-    return t.elements.select(F.col("osm_id").alias("route_id"), length.alias("length"), F.when(F.abs(a - b) <= band, "ambiguous").when(a < b, "from-site").otherwise("to-site").alias("direction"))
+    """Lines to and from a site's ring: the right end must be nearest to it, else the line is reversed; within a band of 1 % of the length (10 to 50 m) that is open."""
+    measured = spatial.measures(t.traces, "route_id", "seq")
+    ends = measured.groupBy("route_id").agg(F.sum("step").alias("length"), *[f(c, "seq").alias(f"{c}{i}") for i, f in ((1, F.min_by), (2, F.max_by)) for c in ("lat", "lon")])
+    sites = rings(t.squares).select(F.col("polygon_id").alias("site"), "ring")
+    d = ends.withColumn("site", F.col("route_id") % 25).join(sites, "site")
+    away = lambda i: F.array_min(F.transform(F.arrays_zip(F.slice("ring", 1, 4).alias("p"), F.slice("ring", 2, 4).alias("q")), lambda side: _to_side(F.col(f"lat{i}"), F.col(f"lon{i}"), side)))
+    a, b = away(1), away(2)
+    d = d.select("route_id", F.when(F.col("route_id") % 2 == 0, "route-to-site").otherwise("route-from-site").alias("class"), "length", a.alias("a"), b.alias("b"))
+    open_ = F.abs(F.col("a") - F.col("b")) <= F.greatest(F.lit(10.0), F.least(F.lit(50.0), F.col("length") / 100.0))
+    wrong = (F.col("a") < F.col("b")) == (F.col("class") == "route-to-site")
+    return d.select("route_id", "class", F.when(open_, "review-required").otherwise("confirmed").alias("status"), (~open_ & wrong).alias("reversed"), F.round("a", 2).alias("start_metres"), F.round("b", 2).alias("end_metres"))
+
+
+def _to_side(lat, lon, side):
+    zero = F.lit(0.0)
+    return geo.point_segment(zero, zero, *geo.local_xy(side["p"]["lat"], side["p"]["lon"], lat, lon), *geo.local_xy(side["q"]["lat"], side["q"]["lon"], lat, lon))
 
 
 @query("g13_guidance_profile", f"SELECT route_id, CASE WHEN length <= 2500 THEN 50 WHEN length <= 8000 THEN 80 ELSE 150 END AS tolerance FROM (SELECT route_id, round(sum(step), 2) AS length FROM {_STEPS} AS s GROUP BY route_id) AS q")
@@ -207,19 +235,66 @@ def g13(t):
     return a10(t).select("route_id", F.when(n <= 2500, 50).when(n <= 8000, 80).otherwise(150).alias("tolerance"))
 
 
-@query("a14_coverage", "SELECT route_id, round(avg(CASE WHEN abs(lat - 51.505e0) * 110540e0 <= 300e0 THEN 1e0 ELSE 0e0 END), 6) AS covered FROM traces GROUP BY route_id")
+#: How far a guidance point is looked for on its snapped line: the widest tolerance.
+REACH = 150.0
+
+
+def _matched_sql(points: str) -> str:
+    """points(route_id, place, lat, lon) with distance and measure on the snapped line, null beyond REACH."""
+    d, k = _seg("p.lat", "p.lon", ("g.lat", "g.lon"), ("g.lat2", "g.lon2"))
+    measured = f"(SELECT *, sum(step) OVER (PARTITION BY route_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS measure FROM {_STEPS.replace('FROM traces', 'FROM snapped')} AS s)"
+    segs = f"(SELECT * FROM (SELECT route_id, seq, lat, lon, measure, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2, lead(step) OVER w AS length FROM {measured} AS m WINDOW w AS (PARTITION BY route_id ORDER BY seq)) AS n WHERE lat2 IS NOT NULL)"
+    best = f"(SELECT route_id, place, distance, measure FROM (SELECT *, row_number() OVER (PARTITION BY route_id, place ORDER BY distance, seq) AS rn FROM (SELECT p.route_id, p.place, g.seq, {d} AS distance, g.measure + {k} * g.length AS measure FROM {points} AS p JOIN {segs} AS g ON g.route_id = p.route_id) AS x WHERE distance <= {REACH}) AS y WHERE rn = 1)"
+    return f"(SELECT p.route_id, p.place, b.distance, b.measure FROM {points} AS p LEFT JOIN {best} AS b ON b.route_id = p.route_id AND b.place = p.place)"
+
+
+_POINTS = "(SELECT route_id, seq AS place, lat, lon FROM traces)"
+_PREPARED = f"""(SELECT route_id, row_number() OVER (PARTITION BY route_id ORDER BY seq, part) AS place, CASE WHEN part = 0 THEN lat ELSE lat + (lat2 - lat) * (part / (extra + 1e0)) END AS lat, CASE WHEN part = 0 THEN lon ELSE lon + (lon2 - lon) * (part / (extra + 1e0)) END AS lon
+ FROM (SELECT *, unnest(range(0, extra + 1)) AS part FROM (SELECT *, coalesce(least(16, greatest(0, CAST(ceil({_hav('lat', 'lon', 'lat2', 'lon2')} / 60e0) AS BIGINT) - 1)), 0) AS extra FROM {_SEGMENTS} AS s) AS a) AS b)"""
+_ASSESSED = lambda points: f"(SELECT route_id, bool_and(coalesce(measure + 5 >= before, true)) AS kept, max(coalesce(distance, 1e9)) AS deviation, avg(CASE WHEN distance <= 50 THEN 1e0 ELSE 0e0 END) AS covered FROM (SELECT *, lag(measure IGNORE NULLS) OVER (PARTITION BY route_id ORDER BY place) AS before FROM {_matched_sql(points)} AS m) AS l GROUP BY route_id)"
+
+
+def _assessed(t, points):
+    """Of each line's guidance points against its snapped line: whether their order is kept (within 5 m, points beyond REACH left out), the largest deviation (1e9 beyond REACH), and the share within 50 m."""
+    m = spatial.matched_measures(points, t.snapped, "route_id", "seq", REACH)
+    before = F.last("measure", ignorenulls=True).over(W.partitionBy("route_id").orderBy("place").rowsBetween(W.unboundedPreceding, -1))
+    m = m.withColumn("ok", F.coalesce(F.col("measure") + 5 >= before, F.lit(True)))
+    return m.groupBy("route_id").agg(F.min("ok").alias("kept"), F.max(F.coalesce("distance", F.lit(1e9))).alias("deviation"), F.avg(F.coalesce((F.col("distance") <= 50).cast("double"), F.lit(0.0))).alias("covered"))
+
+
+def _guidance(t):
+    return t.traces.select("route_id", F.col("seq").alias("place"), "lat", "lon")
+
+
+@query("a14_coverage", f"SELECT route_id, round(covered, 6) AS covered FROM {_ASSESSED(_POINTS)} AS q")
 def a14(t):
-    """The share of a line's points within 300 m of a parallel."""
-    _, north = geo.local_xy("lat", "lon", F.lit(51.505), F.lit(0.0))
-    return t.traces.groupBy("route_id").agg(F.round(F.avg((F.abs(north) <= 300).cast("double")), 6).alias("covered"))
+    """The share of a line's points within 50 m of its snapped line."""
+    return _assessed(t, _guidance(t)).select("route_id", F.round("covered", 6).alias("covered"))
 
 
-@query("a13_order_kept", f"SELECT route_id, bool_and(coalesce(lon >= plon - 5e-3, true)) AS kept, round(max(abs(lat - 51.505e0)), 6) AS deviation FROM {_STEPS} AS s GROUP BY route_id")
+@query("a13_order_kept", f"SELECT route_id, kept, round(CASE WHEN deviation < 1e9 THEN deviation END, 3) AS deviation FROM {_ASSESSED(_POINTS)} AS q")
 def a13(t):
-    """Whether a line's points keep their order within a slack, and its largest deviation."""
-    before = F.lag("lon").over(W.partitionBy("route_id").orderBy("seq"))
-    d = t.traces.withColumn("ok", F.coalesce(F.col("lon") >= before - 5e-3, F.lit(True)))
-    return d.groupBy("route_id").agg(F.min("ok").alias("kept"), F.round(F.max(F.abs(F.col("lat") - 51.505)), 6).alias("deviation"))
+    """Whether a line's points keep their order on its snapped line, and how far they are from it (null: beyond reach)."""
+    return _assessed(t, _guidance(t)).select("route_id", "kept", F.round(F.when(F.col("deviation") < 1e9, F.col("deviation")), 3).alias("deviation"))
+
+
+_LENGTHS = lambda table: f"(SELECT route_id, sum(step) AS length FROM {_STEPS.replace('FROM traces', 'FROM ' + table)} AS s GROUP BY route_id)"
+
+
+@query("g14_snap_verdict", f"""SELECT route_id, concat_ws('; ', CASE WHEN NOT g_kept THEN 'point order' END, CASE WHEN g_dev > tolerance THEN 'point deviation' END, CASE WHEN NOT p_kept THEN 'prepared order' END, CASE WHEN p_dev > tolerance + 10 THEN 'prepared deviation' END) AS reasons,
+ NOT g_kept OR g_dev > tolerance OR NOT p_kept OR p_dev > tolerance + 10 AS review, round(snapped_length / rough_length, 6) AS length_ratio
+FROM (SELECT g.route_id, g.kept AS g_kept, g.deviation AS g_dev, p.kept AS p_kept, p.deviation AS p_dev, r.length AS rough_length, n.length AS snapped_length, CASE WHEN r.length <= 2500 THEN 50 WHEN r.length <= 8000 THEN 80 ELSE 150 END AS tolerance
+ FROM {_ASSESSED(_POINTS)} AS g JOIN {_ASSESSED(_PREPARED)} AS p ON p.route_id = g.route_id JOIN {_LENGTHS('traces')} AS r ON r.route_id = g.route_id JOIN {_LENGTHS('snapped')} AS n ON n.route_id = g.route_id) AS q""")
+def g14(t):
+    """The reasons for which a snapped line goes to review, of four, and its length against the rough line's (a diagnostic only)."""
+    prepared = spatial.densified(t.traces, "route_id", "seq", 60.0).withColumn("place", F.row_number().over(W.partitionBy("route_id").orderBy("seq", "part"))).select("route_id", "place", "lat", "lon")
+    side = lambda d, p: d.select("route_id", F.col("kept").alias(f"{p}_kept"), F.col("deviation").alias(f"{p}_dev"))
+    long = lambda d, name: spatial.line_lengths(d, "route_id", "seq").select("route_id", F.col("length").alias(name))
+    q = side(_assessed(t, _guidance(t)), "g").join(side(_assessed(t, prepared), "p"), "route_id").join(long(t.traces, "rough"), "route_id").join(long(t.snapped, "snapped"), "route_id")
+    limit = F.when(F.col("rough") <= 2500, 50).when(F.col("rough") <= 8000, 80).otherwise(150)
+    checks = {"point order": ~F.col("g_kept"), "point deviation": F.col("g_dev") > limit, "prepared order": ~F.col("p_kept"), "prepared deviation": F.col("p_dev") > limit + 10}
+    reasons = F.concat_ws("; ", *[F.when(c, name) for name, c in checks.items()])
+    return q.select("route_id", reasons.alias("reasons"), (reasons != "").alias("review"), F.round(F.col("snapped") / F.col("rough"), 6).alias("length_ratio"))
 
 
 @query("g16_sampled_vertices", "SELECT route_id, seq FROM (SELECT route_id, seq, count(*) OVER (PARTITION BY route_id) AS n FROM traces) AS q WHERE n <= 36 OR CAST(floor((seq - 1) * 35e0 / (n - 1) + 1e-9) AS BIGINT) <> CAST(floor((seq - 2) * 35e0 / (n - 1) + 1e-9) AS BIGINT)")

@@ -113,8 +113,16 @@ def m18(t):
     return g.select("route_number", "route_id", F.array_join("p", " / ").alias("periods"))
 
 
-@query("n03_partial_import", "SELECT state, count(*) AS records FROM (SELECT key, CASE WHEN bool_or(value = '') THEN 'correction-required' ELSE 'imported' END AS state FROM rail_fields WHERE field <= 3 GROUP BY key) AS q GROUP BY state")
+@query("n03_partial_import", """SELECT key, array_to_string(list(field ORDER BY field) FILTER (fault <> ''), ',') AS failing, CASE WHEN bool_or(fault = 'metadata') THEN 'rejected' WHEN bool_or(fault <> '') THEN 'correction-required' ELSE 'imported' END AS state, count(*) FILTER (fault = '') AS merged
+FROM (SELECT key, field, CASE WHEN record_id % 19 = 0 AND field = 1 THEN 'metadata' WHEN value = '' THEN 'value' WHEN status = 'verified' AND (source = '' OR retrieval_date = '') THEN 'evidence' ELSE '' END AS fault FROM rail_fields) AS q GROUP BY key""")
 def n03(t):
-    """Passing records are imported, the others go back."""
-    g = t.rail_fields.filter("field <= 3").groupBy("key").agg(F.max(F.col("value") == "").alias("bad"))
-    return g.groupBy(F.when(F.col("bad"), "correction-required").otherwise("imported").alias("state")).agg(F.count("*").alias("records"))
+    """Partial import of a batch: a record whose batch metadata differs is rejected; of others the passing fields are merged and the failing ones go back for correction."""
+    planned = F.when((F.col("record_id") % 19 == 0) & (F.col("field") == 1), "another batch").otherwise("batch")
+    bare = (F.col("status") == "verified") & ((F.col("source") == "") | (F.col("retrieval_date") == ""))
+    fault = F.when(planned != "batch", "metadata").when(F.col("value") == "", "value").when(bare, "evidence").otherwise("")
+    g = t.rail_fields.withColumn("fault", fault).groupBy("key").agg(
+        F.array_sort(F.collect_list(F.when(F.col("fault") != "", F.col("field")))).alias("f"), F.max(F.col("fault") == "metadata").alias("other"), F.count_if(F.col("fault") == "").alias("merged")
+    )
+    state = F.when(F.col("other"), "rejected").when(F.size("f") > 0, "correction-required").otherwise("imported")
+    failing = F.when(F.size("f") > 0, F.array_join(F.transform("f", lambda x: x.cast("string")), ","))
+    return g.select("key", failing.alias("failing"), state.alias("state"), "merged")

@@ -76,11 +76,14 @@ def n27(t):
     return g.select("site_id", F.concat_ws(", ", F.when(F.col("h"), "roads"), F.when(F.col("r"), "railways")).alias("used"))
 
 
-@query("n29_next_group", "SELECT min(n) AS next FROM (SELECT unnest(range(1, 60)) AS n) AS q WHERE n NOT IN (SELECT CAST(regexp_extract(route_number, '([0-9]+)', 1) AS BIGINT) FROM routes WHERE route_id % 7 = 0)")
+_NUMBERS = "(SELECT DISTINCT CAST(regexp_extract(route_number, '([0-9]+)', 1) AS BIGINT) AS n FROM routes)"
+
+
+@query("n29_next_group", f"SELECT coalesce(min(c.n), 1) AS next FROM (SELECT n + 1 AS n FROM {_NUMBERS} AS a UNION SELECT 1) AS c WHERE c.n NOT IN (SELECT n FROM {_NUMBERS} AS b)")
 def n29(t):
-    """The first number that no group has."""
-    used = t.routes.filter("route_id % 7 = 0").select(F.regexp_extract("route_number", "([0-9]+)", 1).cast("long").alias("n"))
-    return t.spark.range(1, 60).select(F.col("id").alias("n")).join(used, "n", "left_anti").agg(F.min("n").alias("next"))
+    """The first number that no group has: 1, or the follower of a used one."""
+    used = t.routes.select(F.regexp_extract("route_number", "([0-9]+)", 1).cast("long").alias("n")).distinct()
+    return used.select((F.col("n") + 1).alias("n")).union(t.spark.range(1, 2).toDF("n")).join(used, "n", "left_anti").agg(F.min("n").alias("next"))
 
 
 @query("o04_draw_order", "SELECT osm_id, CASE WHEN waterway <> '' THEN 10 WHEN highway = 'motorway' THEN 40 WHEN highway <> '' THEN 30 WHEN railway <> '' THEN 50 ELSE 65 END AS draw FROM elements")
@@ -94,12 +97,14 @@ def o05(t):
     return t.stops.select("stop_id", F.row_number().over(w).alias("place"))
 
 
-@query("a22_source_snapshot", "SELECT count(*) AS raw, count(*) FILTER (amenity <> '') AS classed, sha256(string_agg(CAST(osm_id AS VARCHAR), ',' ORDER BY osm_id)) AS checksum FROM elements WHERE osm_id < 200")
+@query("a22_source_snapshot", """SELECT CAST(sum(n) AS BIGINT) AS raw, CAST(sum(classed) AS BIGINT) AS classed, sha256(string_agg(digest, ',' ORDER BY block)) AS checksum FROM (
+ SELECT CAST(floor(osm_id / 1e3) AS BIGINT) AS block, count(*) AS n, count(*) FILTER (amenity <> '') AS classed, sha256(string_agg(CAST(osm_id AS VARCHAR), ',' ORDER BY osm_id)) AS digest FROM elements GROUP BY 1) AS q""")
 def a22(t):
-    """One row of counts and the checksum of a drawing's elements."""
-    e = t.elements.filter("osm_id < 200")
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list("osm_id")), lambda x: x.cast("string")), ",")
-    return e.agg(F.count("*").alias("raw"), F.count_if(F.col("amenity") != "").alias("classed"), F.sha2(ids.cast("binary"), 256).alias("checksum"))
+    """One row of counts and the checksum of all elements: a digest of the digests of blocks of a thousand ids."""
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x.cast("string")), ",")
+    blocks = t.elements.groupBy(F.floor(F.col("osm_id") / 1000).alias("block")).agg(F.count("*").alias("n"), F.count_if(F.col("amenity") != "").alias("classed"), F.sha2(joined("osm_id").cast("binary"), 256).alias("digest"))
+    digests = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "digest"))), lambda x: x["digest"]), ",")
+    return blocks.agg(F.sum("n").alias("raw"), F.sum("classed").alias("classed"), F.sha2(digests.cast("binary"), 256).alias("checksum"))
 
 
 @query("t01_call_spacing", "SELECT event_id, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 1 HOUR, true) AS paced FROM (SELECT event_id, user_id, date_trunc('millisecond', ts) AS ts FROM events) AS e")

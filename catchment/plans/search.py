@@ -165,11 +165,14 @@ def w05(t):
 _GROUP_OF = {c: (g, k) for g, (_, cs) in enumerate(classify.GROUPS.items()) for k, c in enumerate(cs)}
 
 
-@query("o02_group_order", f"""SELECT site_id, category, osm_id, CAST(row_number() OVER (PARTITION BY site_id ORDER BY pos, round(straight, 3), osm_id) AS INTEGER) AS shown FROM (SELECT f.*, CASE category {' '.join(f"WHEN '{c}' THEN {g}" for c, (g, _) in _GROUP_OF.items())} END AS pos FROM {_FOUND_SQL(2000)} AS f) AS p""")
+@query("o02_group_order", f"""SELECT site_id, category, osm_id, CAST(row_number() OVER (PARTITION BY site_id ORDER BY pos, CASE WHEN osm_id % 3 = 0 THEN CAST(osm_id % 2500 AS BIGINT) ELSE CAST(round(straight) AS BIGINT) END, osm_id, osm_type, category) AS INTEGER) AS shown FROM (SELECT f.*, CASE category {' '.join(f"WHEN '{c}' THEN {g}" for c, (g, _) in _GROUP_OF.items())} END AS pos FROM {_FOUND_SQL(2000)} AS f) AS p""")
 def o02(t):
+    """Display order: group, then the walk to it in whole metres where it is known, else the straight distance."""
     pos = F.create_map(*[F.lit(x) for c, (g, _) in _GROUP_OF.items() for x in (c, g)])
-    found = _found(t, 2000.0).withColumn("pos", pos[F.col("category")])
-    return select.ranked(found, "site_id", [F.col("pos"), F.round("straight", 3), F.col("osm_id")], 1 << 30, name="shown").select("site_id", "category", "osm_id", "shown")
+    walks = t.elements.filter("osm_id % 3 = 0").select("osm_id", (F.col("osm_id") % 2500).cast("long").alias("walk"))
+    found = _found(t, 2000.0).withColumn("pos", pos[F.col("category")]).join(walks, "osm_id", "left")
+    away = F.coalesce("walk", F.round("straight").cast("long"))
+    return select.ranked(found, "site_id", [F.col("pos"), away, F.col("osm_id"), F.col("osm_type"), F.col("category")], 1 << 30, name="shown").select("site_id", "category", "osm_id", "shown")
 
 
 _WIDE_SQL = ", ".join(f"'{w}'" for w in classify.WIDE)
