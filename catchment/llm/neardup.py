@@ -186,7 +186,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     nodes = classes.select("rep", "n_shingles", "sig")
 
     keys = bucket_keys(classes, threshold)
-    shared = stored(keys.join(keys.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "key"), "buckets")
+    # a bucket of two is known by its least and greatest member; only larger ones meet their keys again
+    sizes = stored(keys.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("m > 1"), "bucket-sizes")
+    twos = sizes.filter("m = 2").select("key", F.explode(F.array("lo", "hi")).alias("rep"), "m")
+    larger = keys.join(sizes.filter("m > 2").select("key", "m"), "key").select("key", "rep", "m")
+    shared = stored(twos.union(larger), "buckets")
     company = shared.groupBy("rep").agg(F.sum("m").alias("company"))
     central = shared.join(company, "rep").groupBy("key").agg(F.max(F.struct("company", (-F.col("rep")).alias("minus"))).alias("c")).select("key", (-F.col("c.minus")).alias("family"))
     families = stored(shared.join(central, "key").select("family", "rep").distinct(), "families")
