@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
 from . import spatial
 
 
@@ -69,7 +69,26 @@ def compared(results: DataFrame, tasks: DataFrame, key: str = "task_id", same: t
     return r.join(t, key, "full_outer").select(key, state.otherwise("accepted").alias("state"))
 
 
-def compatible_pairs(items: DataFrame, token: str, item: str = "item") -> DataFrame:
-    """Pairs (a, b) of items that share a token, a before b. Items of one token are paired with its first item only, which keeps groups by shared tokens and lists no square of pairs."""
-    hub = items.withColumn("a", F.min(item).over(W.partitionBy(token)))
-    return hub.filter(F.col("a") != F.col(item)).select("a", F.col(item).alias("b")).distinct()
+def terminal_keys(*ends: str) -> Column:
+    """Keys of which two routes share one where an end of one has the name, or a telling word, of an end of the other. A route without ends has none."""
+    one = lambda e: F.when(text.text(e) == "", F.array().cast("array<string>")).otherwise(F.concat(F.array(F.concat(F.lit("="), text.normal_folded(e))), text.endpoint_words(text.normal_folded(e))))
+    return F.array_sort(F.array_distinct(F.concat(*[one(e) for e in ends])))
+
+
+def compatible_pairs(items: DataFrame) -> DataFrame:
+    """Distinct (a, b), a before b, of items that share a token and whose authority, operator and terminals agree or are empty on either side.
+
+    items(item, tokens, authority, operator, terminals). Items that are equal in all four are one class: its first item is paired with its copies and stands for them towards
+    other classes, so copies aren't paired with each other, and groups by the pairs are the same. Classes meet on their tokens in an equi-join, which adaptive execution
+    splits where a token is frequent. An item without a token is in no pair. Null columns are empty.
+    """
+    what = ["tokens", "authority", "operator", "terminals"]
+    none = F.array().cast("array<string>")
+    plain = items.select("item", F.array_sort(F.coalesce("tokens", none)).alias("tokens"), text.text("authority").alias("authority"), text.text("operator").alias("operator"), F.array_sort(F.coalesce("terminals", none)).alias("terminals")).filter(F.size("tokens") > 0)
+    classes = plain.groupBy(*what).agg(F.min("item").alias("first"))
+    copies = plain.join(classes, what).filter("item <> first").select(F.col("first").alias("a"), F.col("item").alias("b"))
+    side = lambda n: classes.select(F.col("first").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in what[1:]], F.explode("tokens").alias("token"))
+    agree = lambda c: (F.col(f"a_{c}") == "") | (F.col(f"b_{c}") == "") | (F.col(f"a_{c}") == F.col(f"b_{c}"))
+    ends = (F.size("a_terminals") == 0) | (F.size("b_terminals") == 0) | F.arrays_overlap("a_terminals", "b_terminals")
+    met = side("a").join(side("b"), "token").filter(F.col("a") < F.col("b")).filter(agree("authority") & agree("operator") & ends)
+    return met.select("a", "b").union(copies).distinct()

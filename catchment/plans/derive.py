@@ -52,6 +52,15 @@ SELECT p_partkey AS route_id, p_partkey AS seq, CAST(p_size AS STRING) || CASE p
   CASE p_partkey % 7 WHEN 0 THEN '' WHEN 1 THEN 'No Sunday service' ELSE '08:00-22:00' END AS sunday, CAST(p_partkey % 7 AS BIGINT) AS tph, 'Every day' AS pattern,
   '2026-0' || CAST(1 + p_partkey % 9 AS STRING) || '-1' || CAST(p_partkey % 10 AS STRING) AS retrieval_date
 FROM part""",
+    "route_records": """
+SELECT p_partkey AS route_id, CASE p_partkey % 7 WHEN 0 THEN n || ' / ' || m || 'a' WHEN 1 THEN 'N' || n WHEN 2 THEN m || 'A' WHEN 3 THEN CASE WHEN p_partkey % 3 = 0 THEN '' ELSE n END ELSE n END AS route_number,
+  CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'Red-Line' WHEN 2 THEN 'red line' ELSE 'Blue ' || CAST(p_size % 2 AS STRING) END AS operator,
+  CASE p_partkey % 9 WHEN 0 THEN 'City Region' WHEN 1 THEN 'County' ELSE '' END AS authority, CASE p_partkey % 9 WHEN 2 THEN 'route:city-region:' || n WHEN 3 THEN 'bus:county' ELSE '' END AS canonical_key,
+  CASE p_size % 6 WHEN 0 THEN '' WHEN 1 THEN 'Hill Town' WHEN 2 THEN 'The Mill' WHEN 3 THEN 'Mill Lane' WHEN 4 THEN 'Old Station' ELSE 'Station' END AS origin,
+  CASE p_size % 5 WHEN 0 THEN '' WHEN 1 THEN 'Mill Centre' WHEN 2 THEN 'Quay' WHEN 3 THEN 'station' ELSE 'Hill Top' END AS destination,
+  CASE p_partkey % 4 WHEN 0 THEN '' ELSE 'East' END AS context, CASE p_partkey % 3 WHEN 0 THEN 'Verified - desk' WHEN 1 THEN 'needs review' ELSE '' END AS status,
+  CASE p_partkey % 4 WHEN 0 THEN 'https://op.example/services/12' WHEN 1 THEN 'https://op.example/services/' WHEN 2 THEN 'https://op.example' ELSE '' END AS url, '2026-0' || CAST(1 + p_size % 9 AS STRING) || '-10' AS retrieval_date
+FROM (SELECT p_partkey, p_size, CAST(CAST(floor(p_partkey / 16e0) AS BIGINT) * 2 + p_size % 2 AS STRING) AS n, CAST(CAST(floor(p_partkey / 16e0) AS BIGINT) * 2 + 1 - p_size % 2 AS STRING) AS m FROM part) AS numbered""",
     "stop_routes": """
 SELECT l_suppkey AS stop_id, l_partkey AS route_id, count(*) AS links, min(l_returnflag) AS flag, max(l_quantity) AS quantity FROM lineitem GROUP BY l_suppkey, l_partkey""",
     "master": """

@@ -227,3 +227,33 @@ def test_service_packs_are_planned_by_stop(spark):
     links = spark.createDataFrame([(s, r) for s in (3, 13, 23) for r in range(8)], "stop_id long, route_id long")
     got = Counter((r["plan"], r["pack"]) for r in plans.m09(SimpleNamespace(stop_routes=links)).collect())
     assert got == {(s, k): n for s in (3, 13, 23) for k, n in ((0, 6), (1, 2))}
+
+
+def test_compatible_pairs_keep_the_groups_of_all_pairs(spark):
+    """Groups by the listed pairs are the groups of every compatible pair; empty and null fields agree with anything."""
+    import itertools
+    import random
+
+    from catchment.operators import graph, match
+
+    rng = random.Random(5)
+    some = lambda values: sorted(rng.sample(values, rng.randint(0, 2)))
+    rows = [(i, some(["1", "2", "3", "4a", "5"]), rng.choice(["", None, "p", "q"]), rng.choice(["", None, "r", "s", "u"]), rng.choice([None, [], ["=x"], ["=y", "y"], ["y", "z"]])) for i in range(60)]
+    rows += [(60, None, "p", "r", ["=x"]), (61, [], None, None, None)]
+
+    def fits(a, b):
+        either = lambda v, w: not v or not w or v == w
+        return bool(set(a[1] or []) & set(b[1] or [])) and either(a[2], b[2]) and either(a[3], b[3]) and (not a[4] or not b[4] or bool(set(a[4]) & set(b[4])))
+
+    label = {r[0]: r[0] for r in rows}
+    want = [(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if fits(a, b)]
+    for _ in rows:
+        for a, b in want:
+            label[a] = label[b] = min(label[a], label[b])
+    items = spark.createDataFrame(rows, "item long, tokens array<string>, authority string, operator string, terminals array<string>")
+    pairs = match.compatible_pairs(items)
+    got = {(r.a, r.b) for r in pairs.collect()}
+    assert got <= set(want)
+    grouped = graph.with_groups(items, pairs, "item")
+    assert {r.item: r.family for r in grouped.collect()} == label
+    assert match.compatible_pairs(items.limit(0)).count() == 0
