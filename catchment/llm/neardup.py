@@ -28,7 +28,7 @@ from . import kernels
 from .graph import connected_components
 from .store import scratch, slices, stored, tidied
 
-K, BITS, CHUNKS = 64, 16, 13
+K, BITS = 64, 16
 #: Members and shingles of one block when components of a family are compared.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 1 << 20
 #: Tasks to which the rows of one bucket or family are dealt where they meet its centre or its size.
@@ -41,9 +41,15 @@ def distance_threshold(percent: int, k: int = K) -> int:
     return min(k - 1, math.ceil(k * p + 5 * math.sqrt(k * p * (1 - p))))
 
 
-def chunk_keys(sig: np.ndarray, threshold: int, chunks: int = CHUNKS) -> np.ndarray:
+def chunk_count(threshold: int) -> int:
+    """The fewest chunks of which one has at most one error: as many keys as symbols, each over all but one symbol of its chunk."""
+    return threshold // 2 + 1
+
+
+def chunk_keys(sig: np.ndarray, threshold: int, chunks: int | None = None) -> np.ndarray:
     """Keys of each signature: for each chunk, each way to leave out threshold // chunks of its symbols."""
     n, k = sig.shape
+    chunks = chunks or chunk_count(threshold)
     errors = threshold // chunks
     coefficient = kernels.mix(np.arange(1, k + 1, dtype=np.uint64)) | np.uint64(1)
     weighed = (sig.astype(np.uint64) + np.uint64(1)) * coefficient
@@ -78,7 +84,7 @@ def signatures(docs: DataFrame, width: int = 5, k: int = K) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), "doc_id long, n_shingles long, d1 long, d2 long, sig array<int>")
 
 
-def bucket_keys(classes: DataFrame, threshold: int, chunks: int = CHUNKS) -> DataFrame:
+def bucket_keys(classes: DataFrame, threshold: int) -> DataFrame:
     """(key, rep) for classes(rep, sig)."""
     schema = pa.schema([("key", pa.int64()), ("rep", pa.int64())])
 
@@ -87,7 +93,7 @@ def bucket_keys(classes: DataFrame, threshold: int, chunks: int = CHUNKS) -> Dat
             for at in range(0, whole.num_rows, 4096):
                 b = whole.slice(at, 4096)
                 sig = b.column("sig").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                keys = chunk_keys(sig, threshold, chunks)
+                keys = chunk_keys(sig, threshold)
                 reps = np.repeat(b.column("rep").to_numpy(zero_copy_only=False), keys.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(reps)], schema=schema)
 
