@@ -185,7 +185,9 @@ def dedup_lines(docs: DataFrame, threshold: int = 10, batches: int = 4, keep: li
     flat = docs.select(F.col("text"), *[c.alias(n) for c, n in zip(row_key(), ("o_doc", "o_text"))], *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])
     flat = flat.withColumn("o_doc", F.col("o_doc").cast("long"))
     with scratch():
-        hot = _hot_lines(docs.select("doc_id", "text"), threshold, batches)
+        # the lines and their runs are deleted before whole texts are shuffled
+        with scratch():
+            hot = stored(_hot_lines(docs.select("doc_id", "text"), threshold, batches), "hot-lines", keep=True)
         joined = stored(_with_key(flat, hot).withColumnsRenamed({"o_doc": "k_doc", "o_text": "k_text"}), "marked-lines", keep=True)
     with scratch():
         spared = _spared_keys(joined, threshold)
@@ -199,9 +201,9 @@ def dedup_lines(docs: DataFrame, threshold: int = 10, batches: int = 4, keep: li
 
 
 def _with_key(flat: DataFrame, more: DataFrame) -> DataFrame:
-    """flat(o_doc, o_text, ...) with the other column of more(k_doc, k_text, other), where it has a row."""
+    """flat(o_doc, o_text, ...) with the other column of more(k_doc, k_text, other), where it has a row. Merged by key at every size."""
     same = F.col("o_doc").eqNullSafe(F.col("k_doc")) & (F.col("o_text") == F.col("k_text"))
-    return flat.join(more, same, "left").drop("k_doc", "k_text")
+    return flat.join(more.hint("merge"), same, "left").drop("k_doc", "k_text")
 
 
 def _hot_lines(docs: DataFrame, threshold: int, batches: int) -> DataFrame:

@@ -205,9 +205,10 @@ def test_stage_drops_near_copies_from_four_fifths(spark):
         assert {r["doc_id"] for r in kept.collect()} == want
 
 
-def test_chunk_keys_miss_no_pair_under_the_threshold():
+@pytest.mark.parametrize("percent", [85, 80])
+def test_chunk_keys_miss_no_pair_under_the_threshold(percent):
     rng = np.random.default_rng(4)
-    t = neardup.distance_threshold(85)
+    t = neardup.distance_threshold(percent)
     a = rng.integers(0, 1 << 16, (400, neardup.K)).astype(np.int32)
     b = a.copy()
     for row in b:
