@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprint, lines, media, mixing, neardup, packing, secrets, store, tokens, toxicity
+from . import alignment, automaton, chat, fingerprint, lines, media, mixing, neardup, packing, runs, secrets, store, tokens, toxicity
 
 
 def _stored(name, query):
@@ -25,6 +25,9 @@ def queries() -> dict:
         "op8_packing": packing.op8_packing,
         "op9_line_dedup": lines.op9_line_dedup,
         "op10_mixing": mixing.op10_mixing,
+        "op11_token_alignment": alignment.op11_token_alignment,
+        "op12_periodic_runs": runs.op12_periodic_runs,
+        "op13_bpe_automaton": automaton.op13_bpe_automaton,
     }
     return {name: _stored(name, f) for name, f in made.items()}
 

@@ -90,23 +90,18 @@ def cut_words(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start[:n])
 
 
-class Encoder:
-    """Ids of whole texts by a tokenizers file of the byte-level kind.
+class WordTable:
+    """Ids of words, looked up by a hash once they are known; the bytes of what was found are compared with the word's own.
 
-    Such a tokenizer never merges across the words it first cuts a text into, so each distinct word is encoded once by the tokenizers library and
-    looked up by a hash after that; the bytes of what was found are compared with the word's own. Texts that aren't plain, that hold the string of an added token, or of which a word
-    was taken for another one go to the library whole.
+    A subclass says in word_ids how unknown words are encoded. Words must be encoded alike wherever they stand.
     """
 
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
-        self.wide = self.tokenizer.get_vocab_size() > 1 << 16
+    def __init__(self):
         self._reset()
 
+    def word_ids(self, words: list[bytes]) -> list[list[int]]:
+        raise NotImplementedError
+
     def _reset(self) -> None:
         self.known = 0
         self.hashes, self.starts, self.lengths = np.empty(1 << 16, np.uint64), np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int32)
@@ -139,7 +134,7 @@ class Encoder:
 
     def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
         """Add distinct unknown words."""
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        ids = self.word_ids(words)
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         total, first, end = int(lengths.sum()), self.known, self.known + len(words)
         if self.used + total > len(self.flat):
@@ -170,9 +165,8 @@ class Encoder:
         differs = self.letters[np.minimum(np.repeat(place - start, size) + np.arange(len(data)), self.written - 1)] != data
         return np.flatnonzero(wrong | np.bitwise_or.reduceat(differs, start)) if len(start) else start
 
-    def _plain(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids and their numbers, and which texts must go to the library."""
-        start = cut_words(data, offsets)
+    def looked_up(self, data: np.ndarray, offsets: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For texts cut into words at start: ids and their numbers for each text, and which texts hold a word that was taken for another one."""
         end = np.append(start[1:], len(data))
         h = kernels.mix(kernels.spans(kernels.prefix(data), start, end) + (end - start).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
         if self.known > KEPT_WORDS:
@@ -194,6 +188,29 @@ class Encoder:
         wrong[np.searchsorted(offsets, start[self._taken_for_another(data, start, end, at)], side="right") - 1] = True
         return ids, np.diff(before), wrong
 
+class Encoder(WordTable):
+    """Ids of whole texts by a tokenizers file of the byte-level kind.
+
+    Such a tokenizer never merges across the words it first cuts a text into, so each distinct word is encoded once by the tokenizers library. Texts that aren't plain, that
+    hold the string of an added token (unless these are plain text to it), or of which a word was taken for another one go to the library whole.
+    """
+
+    def __init__(self, path: str, added: bool = True):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = not added
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content and (added or not t.special)]
+        self.wide = self.tokenizer.get_vocab_size() > 1 << 16
+        super().__init__()
+
+    def word_ids(self, words: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+
+    def _plain(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.looked_up(data, offsets, cut_words(data, offsets))
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and each text's number of ids. A null is an empty text."""
         data, offsets = kernels.buffers(texts)
@@ -211,14 +228,14 @@ class Encoder:
         return np.concatenate(pieces), np.fromiter(map(len, pieces), np.int64, len(pieces))
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder a process and file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, added: bool = True) -> Encoder:
+    """One encoder a process, file and reading of added tokens' strings: as those tokens, or as plain text."""
+    if (path, added) not in _encoders:
+        _encoders[path, added] = Encoder(path, added)
+    return _encoders[path, added]
 
 
 def default_tokenizer() -> str:
