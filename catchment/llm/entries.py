@@ -7,8 +7,9 @@ from . import alignment, automaton, chat, fingerprint, lines, media, mixing, nea
 
 def _stored(name, query):
     def run(spark, sf_dir):
-        with store.small_batches(spark):
-            return store.stored(query(spark, sf_dir), name)
+        """The query's stored result; its scratch tables are deleted."""
+        with store.small_batches(spark), store.scratch():
+            return store.stored(query(spark, sf_dir), name, keep=1)
 
     return run
 

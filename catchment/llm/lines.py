@@ -25,8 +25,6 @@ from .store import LOWER, UPPER, parts, row_key, scratch, scratch_path, slices,
 
 #: Buckets that a table may have (Spark's own default limit).
 MOST_BUCKETS = 100_000
-#: Colliding hashes that are expected at most. By chance there are none: a frequent line's hash would have to be another line's too.
-DOUBTFUL = 10_000
 
 
 class LineRuns:
@@ -136,19 +134,16 @@ def _hot_keys(batches):
             yield pa.RecordBatch.from_pydict({"line_hash": pa.array([x for x, _ in n], pa.int64()), "key": pa.array([k for _, k in n], pa.string()), "n": pa.array(list(n.values()), pa.int64())})
 
 
-def _spared(doubtful: list[int]):
-    def run(batches):
-        """(k_doc, k_text, key): the marked lines' keys whose hash is one of doubtful."""
-        for whole in batches:
-            for b in slices(whole, "text"):
-                owner, start, end, h, among = _marked(b)
-                raw = kernels.buffers(b.column("text"))[0].tobytes()
-                at = np.flatnonzero(among & np.isin(h.view(np.int64), doubtful)).tolist()
-                where = pa.array(owner[at].astype(np.int64))
-                keys = pa.array([key_of(raw[start[i] : end[i]].decode()) for i in at], pa.string())
-                yield pa.RecordBatch.from_arrays([b.column("k_doc").take(where), b.column("k_text").take(where), keys], names=["k_doc", "k_text", "key"])
-
-    return run
+def _doubtful_keys(batches):
+    """(k_doc, k_text, key): the marked lines' keys whose hash is one of the row's doubtful ones."""
+    for whole in batches:
+        for b in slices(whole, "text"):
+            owner, start, end, h, among = _marked(b)
+            raw, doubtful = kernels.buffers(b.column("text"))[0].tobytes(), [set(x) for x in b.column("doubtful").to_pylist()]
+            at = [i for i in np.flatnonzero(among).tolist() if int(h[i].view(np.int64)) in doubtful[owner[i]]]
+            where = pa.array(owner[at].astype(np.int64))
+            keys = pa.array([key_of(raw[start[i] : end[i]].decode()) for i in at], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("k_doc").take(where), b.column("k_text").take(where), keys], names=["k_doc", "k_text", "key"])
 
 
 def drop_lines(batches):
@@ -228,12 +223,13 @@ def _spared_keys(marked: DataFrame, threshold: int) -> DataFrame | None:
     keys = held.select("text", "hot").mapInArrow(tidied(_hot_keys), "line_hash long, key string, n long")
     rare = keys.groupBy("line_hash", "key").agg(F.sum("n").alias("n")).filter(F.col("n") < threshold)
     rare = stored(rare.select("line_hash", "key"), "rare-keys")
-    doubtful = [r["line_hash"] for r in rare.select("line_hash").distinct().limit(DOUBTFUL + 1).collect()]
-    if len(doubtful) > DOUBTFUL:
-        raise ValueError("line hashes collide too often to be hashes")
-    if not doubtful:
+    if rare.isEmpty():  # as is to be expected: a frequent line's hash would have to be another line's too
         return None
-    found = held.mapInArrow(tidied(_spared(doubtful)), "k_doc long, k_text long, key string").join(rare.select("key").distinct(), "key", "left_semi")
+    hot = held.select("k_doc", "k_text", F.explode("hot").alias("line_hash")).join(rare.select("line_hash").distinct(), "line_hash", "left_semi")
+    doubtful = hot.groupBy("k_doc", "k_text").agg(F.collect_set("line_hash").alias("doubtful"))
+    rows = _with_key(held.select("text", "hot", F.col("k_doc").alias("o_doc"), F.col("k_text").alias("o_text")), doubtful).filter("doubtful is not null")
+    rows = rows.withColumnsRenamed({"o_doc": "k_doc", "o_text": "k_text"})
+    found = rows.mapInArrow(tidied(_doubtful_keys), "k_doc long, k_text long, key string").join(rare.select("key").distinct(), "key", "left_semi")
     return found.groupBy("k_doc", "k_text").agg(F.collect_set("key").alias("spared"))
 
 
@@ -254,13 +250,13 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = r"""
-WITH raw AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM raw),
+WITH raw AS (SELECT row_number() OVER () AS row_id, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (SELECT row_id, doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM raw),
 keyed AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
-hot AS (SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10),
+hot AS (SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT row_id) >= 10),
 marked AS (SELECT keyed.*, hot.k IS NOT NULL AS gone FROM keyed LEFT JOIN hot USING (k))
 SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+FROM marked GROUP BY row_id, doc_id
 """

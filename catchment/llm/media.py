@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import new_path, slices, tidied
+from .store import scratch_path, slices, tidied
 
 #: Samples of one frame of the stored form, and the byte that fills the last frame.
 FRAME, FILL = 576, 255
@@ -65,22 +65,31 @@ def _riff(data: bytes, at: int, places: Places) -> tuple[str, int] | None:
 
 
 def _png(data: bytes, at: int, places: Places) -> tuple[str, int] | None:
-    p, first = at + 8, True
+    p, first, walk = at + 8, True, places.walk("png chunk")
     while p + 12 <= len(data):
         n, name = struct.unpack_from(">I", data, p)[0], data[p + 4 : p + 8]
-        if p + 12 + n > len(data) or first and (name != b"IHDR" or n != 13):
-            return None
-        if zlib.crc32(data[p + 4 : p + 8 + n]) != struct.unpack_from(">I", data, p + 8 + n)[0]:
-            return None
+        if p + 12 + n > len(data) or first and (name != b"IHDR" or n != 13) or not first and walk.fails(p):
+            break
+        if zlib.crc32(memoryview(data)[p + 4 : p + 8 + n]) != struct.unpack_from(">I", data, p + 8 + n)[0]:
+            break
         p, first = p + 12 + n, False
         if name == b"IEND":
             return "image/png", p - at
+    walk.fail()
     return None
 
 
 def _jpeg(data: bytes, at: int, places: Places) -> tuple[str, int] | None:
-    p, frame = at + 2, False
-    while p + 4 <= len(data) and data[p] == 0xFF:
+    p, frame, walks = at + 2, False, [places.walk("jpeg"), places.walk("jpeg with a frame")]
+    if found := _jpeg_end(data, p, frame, walks):
+        return "image/jpeg", found - at
+    for w in walks:
+        w.fail()
+    return None
+
+
+def _jpeg_end(data: bytes, p: int, frame: bool, walks: list[Walk]) -> int | None:
+    while p + 4 <= len(data) and data[p] == 0xFF and not walks[frame].fails(p):
         mark = data[p + 1]
         if mark == 0xFF:
             p += 1
@@ -100,7 +109,7 @@ def _jpeg(data: bytes, at: int, places: Places) -> tuple[str, int] | None:
                     continue
                 break
             if data[p + 1] == 0xD9:
-                return ("image/jpeg", p + 2 - at) if frame else None
+                return p + 2 if frame else None
     return None
 
 
@@ -110,15 +119,17 @@ def _gif(data: bytes, at: int, places: Places) -> tuple[str, int] | None:
     flags = data[at + 10]
     p = at + 13 + (3 << (flags & 7) + 1 if flags & 0x80 else 0)
 
+    walk, inner = places.walk("gif part"), places.walk("gif block")
+
     def blocks(p: int) -> int:
-        while p < len(data):
+        while p < len(data) and not inner.fails(p):
             n = data[p]
             p += 1 + n
             if not n:
                 return p
         return -1
 
-    while 0 <= p < len(data):
+    while 0 <= p < len(data) and not walk.fails(p):
         kind = data[p]
         if kind == 0x3B:
             return "image/gif", p + 1 - at
@@ -128,7 +139,9 @@ def _gif(data: bytes, at: int, places: Places) -> tuple[str, int] | None:
             local = data[p + 9]
             p = blocks(p + 11 + (3 << (local & 7) + 1 if local & 0x80 else 0))
         else:
-            return None
+            break
+    walk.fail()
+    inner.fail()
     return None
 
 
@@ -142,22 +155,47 @@ def _bmp(data: bytes, at: int, places: Places) -> tuple[str, int] | None:
 
 
 def _gzip(data: bytes, at: int, places: Places) -> tuple[str, int] | None:
+    """By inflating it, in slices of the input and of the output; a stream's state isn't shared with others, so each header's own stream is read."""
+    d, view, p = zlib.decompressobj(31), memoryview(data), at
     try:
-        d = zlib.decompressobj(31)
-        view = memoryview(data)[at:]
-        d.decompress(view, 1 << 16)
-        while not d.eof and d.unconsumed_tail:
-            d.decompress(d.unconsumed_tail, 1 << 16)
-        return ("application/gzip", len(view) - len(d.unused_data)) if d.eof else None
+        while not d.eof and p < len(data):
+            part = view[p : p + (1 << 14)]
+            p += len(part)
+            d.decompress(part, 1 << 16)
+            while not d.eof and d.unconsumed_tail:
+                d.decompress(d.unconsumed_tail, 1 << 16)
     except zlib.error:
         return None
+    return ("application/gzip", p - at - len(d.unused_data)) if d.eof else None
+
+
+class Walk:
+    """Places that one walk has come to in one state."""
+
+    def __init__(self, failed: bytearray):
+        self.failed, self.here = failed, []
+
+    def fails(self, p: int) -> bool:
+        """Whether a walk is known to fail from p; notes that this one has come there."""
+        self.here.append(p)
+        return bool(self.failed[p >> 3] >> (p & 7) & 1)
+
+    def fail(self) -> None:
+        for p in self.here:
+            self.failed[p >> 3] |= 1 << (p & 7)
 
 
 class Places:
-    """Where markers lie in data, found once each."""
+    """Where markers lie in data, found once each, and places from which walks along a format's parts have failed.
+
+    What follows from a place depends on it and the walk's state alone, so a walk that comes to such a place in the same state fails as well: chains of parts are walked once, however many headers lead into them.
+    """
 
     def __init__(self, data: bytes):
-        self.data, self.found = data, {}
+        self.data, self.found, self.failed = data, {}, {}
+
+    def walk(self, state: str) -> Walk:
+        return Walk(self.failed.setdefault(state, bytearray((len(self.data) >> 3) + 1)))
 
     def next(self, marker: bytes, at: int) -> int:
         """The first place from at on, or -1."""
@@ -202,18 +240,19 @@ def _flac(data: bytes, at: int, places: Places) -> tuple[str, int] | None:
 
 
 def _ogg(data: bytes, at: int, places: Places) -> tuple[str, int] | None:
-    p = at
-    while p + 27 <= len(data) and data[p : p + 5] == b"OggS\0":
+    p, walk = at, places.walk("ogg page")
+    while p + 27 <= len(data) and data[p : p + 5] == b"OggS\0" and not walk.fails(p):
         n = data[p + 26]
         if p + 27 + n > len(data):
-            return None
+            break
         size = 27 + n + sum(data[p + 27 : p + 27 + n])
         last = data[p + 5] & 4
         p += size
         if p > len(data):
-            return None
+            break
         if last:
             return "audio/ogg", p - at
+    walk.fail()
     return None
 
 
@@ -366,4 +405,4 @@ def op6_digest(docs: DataFrame, path: str) -> DataFrame:
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op6_digest(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), new_path(spark, "media"))
+    return op6_digest(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), scratch_path(spark, "media"))

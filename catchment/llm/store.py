@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
 import math
 import tempfile
+import threading
 import uuid
 
 import pyarrow as pa
@@ -39,51 +41,69 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-_scopes: list[list[str]] = []
+#: Scratch scopes of the running thread, the innermost last: paths that go at the end of each.
+_scopes: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("scopes", default=())
 
 
 @contextlib.contextmanager
 def scratch():
-    """Tables written within are deleted at its end, but for those that `stored` is told to keep. Nothing that is still to be computed may read the deleted ones."""
-    _scopes.append([])
+    """Tables written within, by this thread, are deleted at its end, but for those that `stored` is told to keep. Nothing that is still to be computed may read the deleted ones."""
+    paths: list[str] = []
+    token = _scopes.set((*_scopes.get(), paths))
     try:
         yield
     finally:
-        for path in _scopes.pop():
+        _scopes.reset(token)
+        for path in paths:
             fs, folder = pyarrow.fs.FileSystem.from_uri(path)
             if fs.get_file_info(folder).type == pyarrow.fs.FileType.Directory:
                 fs.delete_dir(folder)
 
 
-def scratch_path(spark: SparkSession, name: str, keep: bool = False) -> str:
-    """A new path, deleted at the end of the innermost scratch scope, or with keep of the one around it."""
-    path = new_path(spark, name)
-    at = len(_scopes) - 1 - keep
+def scratch_path(spark: SparkSession, name: str, keep: int = 0) -> str:
+    """A new path, deleted at the end of the innermost scratch scope, or of the one keep scopes further out; never, if there is none."""
+    path, scopes = new_path(spark, name), _scopes.get()
+    at = len(scopes) - 1 - keep
     if at >= 0:
-        _scopes[at].append(path)
+        scopes[at].append(path)
     return path
 
 
-def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def stored(df: DataFrame, name: str, keep: int = 0) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: a short lineage that survives lost executors."""
     path = scratch_path(df.sparkSession, name, keep)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_SMALL = {"spark.sql.execution.arrow.maxRecordsPerBatch": "512", "spark.sql.parquet.columnarReaderBatchSize": "512"}
+_small_lock = threading.Lock()
+#: For each session how many hold small batches now, and its own settings.
+_small: dict[int, tuple[int, dict[str, str]]] = {}
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession):
     """Within it, scans and Arrow batches hold fewer rows than by default: whole documents are long rows, and a batch is one array of their bytes.
-    The session's own settings return afterwards, so results must be stored within."""
-    own = {"spark.sql.execution.arrow.maxRecordsPerBatch": "512", "spark.sql.parquet.columnarReaderBatchSize": "512"}
-    before = {name: spark.conf.get(name) for name in own}
+    The session's own settings return when the last one of several that overlap ends, so results must be stored within."""
+    which = id(spark)
+    with _small_lock:
+        held, before = _small.get(which, (0, {}))
+        if not held:
+            before = {name: spark.conf.get(name) for name in _SMALL}
+            for name, value in _SMALL.items():
+                spark.conf.set(name, value)
+        _small[which] = held + 1, before
     try:
-        for name, value in own.items():
-            spark.conf.set(name, value)
         yield
     finally:
-        for name, value in before.items():
-            spark.conf.set(name, value)
+        with _small_lock:
+            held, before = _small.pop(which)
+            if held > 1:
+                _small[which] = held - 1, before
+            else:
+                for name, value in before.items():
+                    spark.conf.set(name, value)
 
 
 def parts(docs: DataFrame, column: str = "text") -> int:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels
-from .store import new_path, parts, quantiles, slices, stored, tidied
+from .store import parts, quantiles, scratch_path, slices, stored, tidied
 
 #: Byte classes for cutting plain text into words: space, other white space, letter, digit, other; _ODD marks bytes that a plain text lacks. Plain are ASCII without
 #: control characters and the letters U+00C0-U+017F, which are letters under any Unicode version.
@@ -367,6 +367,6 @@ def read_token_files(spark: SparkSession, folder: str, block: int = 1 << 20) ->
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    folder = new_path(spark, "token-files")
+    folder = scratch_path(spark, "token-files")
     write_token_files(docs, folder, end_id=0)
     return read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from catchment.llm import lines, mixing, neardup, packing, toxicity
-from catchment.llm.store import small_batches, stored
+from catchment.llm.store import scratch, small_batches, stored
 
 # Stages compute what they decide within shorter batches and return the plan that applies it.
 
@@ -55,9 +55,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir, each written as Parquet and reread; the last one's rows. Batches are shorter meanwhile; the session's own settings return afterwards."""
+    """All stages over the documents of sf_dir, each written as Parquet and reread; the last one's rows, the only table that stays. Batches are shorter meanwhile; the session's own settings return afterwards."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    with small_batches(spark):
+    with small_batches(spark), scratch():
         for name, stage in STAGES:
-            docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            with scratch():  # a stage's own tables go once its result is stored, and that at the end
+                docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}", keep=2 if name == STAGES[-1][0] else 1)
     return docs

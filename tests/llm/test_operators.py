@@ -538,6 +538,8 @@ def test_keys_that_only_share_a_hash_are_spared(spark):
     h = kernels.line_keys(pa.array(["often", "rare"]))[3].view(np.int64).tolist()
     marked = docs.withColumn("hot", F.array(*[F.lit(x) for x in h]))
     assert sorted(tuple(r) for r in lines._spared_keys(marked, 10).collect()) == [(i, i, ["rare"]) for i in range(3)]
+    odd = marked.union(spark.createDataFrame([(None, None, 77, "rare\nOften", h)] * 2, marked.schema))
+    assert sorted(lines._spared_keys(odd, 10).collect(), key=str)[-1] == (None, 77, ["rare"])
     assert lines._spared_keys(marked.filter("doc_id >= 3").withColumn("hot", F.array(F.lit(h[0]))), 9) is None
 
 
@@ -618,3 +620,47 @@ def test_kernels_take_slices():
     a = kernels.shingles(whole.slice(1, len(TEXTS)))
     b = kernels.shingles(pa.array([t or "" for t in TEXTS]))
     assert all((x == y).all() for x, y in zip(a, b))
+
+
+def unfinished(kind, n):
+    """Streams of n parts of each format that never end, headers of it among them."""
+    import struct
+    import zlib
+
+    ogg = b"OggS\0\0" + bytes(20) + b"\1\5" + b"hello"
+    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+    made = {
+        "ogg": ogg * n,
+        "gif": b"GIF89a" + bytes(7) + b"\x21\xfe" + b"\x0dGIF89a\0\0\0\0\0\0\0" * n,
+        "gif blocks": (b"GIF89a" + bytes(7) + b"\x21\xfe\x01a\0") * n,
+        "png": b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", bytes(13)) + chunk(b"tEXt", b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", bytes(13))) * n,
+        "jpeg": b"\xff\xd8\xff\xe0\0\x06abcd" + b"\xff\xe1\0\x08\xff\xd8\xff\xe0\0\x02" * n,
+        "gzip": zlib.compress(random.Random(1).randbytes(20 * n), wbits=31)[:-9],
+    }
+    return made[kind]
+
+
+@pytest.mark.parametrize("kind", ["ogg", "gif", "gif blocks", "png", "jpeg", "gzip"])
+def test_unfinished_media_are_read_in_time(kind):
+    import time
+
+    data = unfinished(kind, 40_000)
+    began = time.process_time()
+    assert media.sniff(data) == [] or kind == "gif"
+    assert time.process_time() - began < 10
+
+
+def test_walks_that_meet_failed_ones_give_what_whole_walks_give():
+    """Random mixtures of headers and parts: remembered failures change no verdict."""
+    rng = random.Random(12)
+    pieces = [unfinished(k, 2) for k in ("ogg", "gif", "png", "jpeg", "gzip")] + [b"OggS\0\4" + bytes(20) + b"\0", b";", b"\0", b"\xff\xc0\0\x02", b"\xff\xda\0\x02ab\xff\xd9", b"\0\0\0\0IEND\xaeB`\x82"]
+    for _ in range(1500):
+        data = b"".join(rng.choice(pieces)[rng.choice([0, 0, 0, 13]) :] for _ in range(rng.randint(1, 8)))
+        alone, end = [], 0
+        for at, i in media.magic_hits(data):
+            if at and at < end:
+                continue
+            if found := media.FORMATS[i][1](data, at, media.Places(data)):
+                alone.append((at, found[1], found[0]))
+                end = at + found[1] if at else end
+        assert media.sniff(data) == alone
