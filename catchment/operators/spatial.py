@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.text import _c
+from ..sources.scratch import stored
 
 
 def _neighbours(row: Column, lat: Column, lon: Column, metres: float) -> Column:
@@ -111,7 +112,7 @@ def corridor_shares(lines: DataFrame, key: str, order: str, metres: float = 28.0
     """(a, b, forth, back), a before b: the share of a's sampled vertices at most metres from a segment of b, and of b's from a. Pairs without any such vertex on either side are left out.
 
     At most `most` vertices of a line are sampled, evenly by index with both ends; lines of one vertex have no segments and are left out. Segments are cut into short pieces that are copied to the cells of
-    their bounding boxes; vertices are copied to the cells around them, and the distance to the whole segment decides. Pieces of a crowded cell are dealt to several shares.
+    their bounding boxes with a margin; a vertex lies in one cell, and the distance to the whole segment decides. Pieces of a crowded cell are dealt to several shares.
     """
     w = W.partitionBy(key)
     at, last = F.row_number().over(w.orderBy(order)) - 1, F.count("*").over(w) - 1
@@ -120,26 +121,30 @@ def corridor_shares(lines: DataFrame, key: str, order: str, metres: float = 28.0
     sampled = vertices.filter((F.col("_last") < most) | (index(-0.5) < index(0.5)))
     points = sampled.select(F.col(key).alias("a"), F.col("_at").alias("k"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
 
-    grid = metres * 1.01  # rounding at a cell's edge can't part a point from a piece
-    step = grid / geo.DEGREE_LAT
+    side = 4 * metres  # of a cell; what is near a piece lies in its box with a margin, so a vertex has one cell
+    step = side / geo.DEGREE_LAT
     segs = segments(lines, key, order).withColumnRenamed(key, "b").drop(order)
-    n = F.greatest(F.lit(1), F.ceil(geo.haversine("lat", "lon", "lat2", "lon2") / (2 * metres)))
+    n = F.greatest(F.lit(1), F.ceil(geo.haversine("lat", "lon", "lat2", "lon2") / side))
     cut = segs.withColumn("_n", n).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
-    along = lambda c, i: F.col(c) + (F.col(f"{c}2") - F.col(c)) * i / F.col("_n")
-    y, y2, x, x2 = (along(c, F.col("_i") + i) for c in ("lat", "lon") for i in (0, 1))
-    cut = cut.withColumn("_x", F.least(x, x2)).withColumn("_x2", F.greatest(x, x2))
-    cut = cut.withColumn("_row", F.explode(F.sequence(F.floor(F.least(y, y2) / step), F.floor(F.greatest(y, y2) / step))))
+    along = lambda c, i: F.col(c) + (F.col(f"{c}2") - F.col(c)) * (F.col("_i") + i) / F.col("_n")
+    y, y2, x, x2 = (along(c, i) for c in ("lat", "lon") for i in (0, 1))
+    cut = cut.withColumns({"_s": F.least(y, y2), "_t": F.greatest(y, y2), "_x": F.least(x, x2), "_x2": F.greatest(x, x2)})
+    margin = 1.02 * metres / geo.DEGREE_LAT
+    across = 1.02 * metres / geo.DEGREE_LON / F.cos(F.radians(F.least(F.lit(89.9), F.greatest(F.abs("_s"), F.abs("_t")) + 2 * margin)))
+    cut = cut.withColumn("_across", across).withColumn("_row", F.explode(F.sequence(F.floor((F.col("_s") - margin) / step), F.floor((F.col("_t") + margin) / step))))
     width = geo._cell_width(F.col("_row"), step)
-    cut = cut.withColumn("_col", F.explode(F.sequence(F.floor(F.col("_x") / width), F.floor(F.col("_x2") / width))))
-    cut = cut.select("b", "lat", "lon", "lat2", "lon2", "_row", "_col").distinct()
+    cut = cut.withColumn("_col", F.explode(F.sequence(F.floor((F.col("_x") - F.col("_across")) / width), F.floor((F.col("_x2") + F.col("_across")) / width))))
+    cut = stored(cut.select("b", "lat", "lon", "lat2", "lon2", "_row", "_col").distinct(), "pieces")
 
     shares = cut.groupBy("_row", "_col").agg(F.ceil(F.count("*") / CELL_PIECES).alias("_shares"))
     dealt = cut.join(shares, ["_row", "_col"]).withColumn("_share", F.pmod(F.xxhash64("b", "lat", "lon", "lat2", "lon2"), F.col("_shares"))).drop("_shares")
-    row, _ = geo.cell("p_lat", "p_lon", grid)
-    around = points.withColumn("_cell", F.explode(F.array_distinct(_neighbours(row, F.col("p_lat"), F.col("p_lon"), grid))))
-    around = around.select("a", "k", "p_lat", "p_lon", F.col("_cell.row").alias("_row"), F.col("_cell.col").alias("_col")).join(shares, ["_row", "_col"])
+    row, col = geo.cell("p_lat", "p_lon", side)
+    around = points.withColumns({"_row": row, "_col": col}).join(shares, ["_row", "_col"])
     around = around.withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_shares") - 1))).drop("_shares")
-    met = around.join(dealt, ["_row", "_col", "_share"]).filter("a <> b").filter(segment_distance(F.col("p_lat"), F.col("p_lon")) <= metres)
+    met = around.join(dealt, ["_row", "_col", "_share"]).filter("a <> b")
+    # boxes first: the distance is the dear part
+    low, high = (f("lat", "lat2") for f in (F.least, F.greatest))
+    met = met.filter(F.col("p_lat").between(low - margin, high + margin)).withColumn("_d", segment_distance(F.col("p_lat"), F.col("p_lon"))).filter(F.col("_d") <= metres)
     hits = met.select("a", "b", "k").distinct().groupBy("a", "b").agg(F.count("*").alias("hits"))
     share = hits.join(points.groupBy("a").agg(F.count("*").alias("n")), "a").select("a", "b", (F.col("hits") / F.col("n")).alias("share"))
     first, second = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")

@@ -82,6 +82,12 @@ SELECT user_id AS route_id, event_id, row_number() OVER (PARTITION BY user_id OR
 SELECT route_id, seq, lon, lat + 2e-4 AS lat FROM traces WHERE route_id % 3 <> 1 OR seq % 2 = 1""",
     "squares": """
 SELECT CAST(n_nationkey AS BIGINT) AS polygon_id, 51.35e0 + (n_nationkey * 11 % 25) / 6e1 AS south, -0.35e0 + (n_nationkey * 7 % 25) / 4e1 AS west, 0.03e0 + (n_nationkey % 4) / 1e2 AS height, 0.04e0 + (n_nationkey % 3) / 1e2 AS width FROM nation""",
+    "outlines": """
+SELECT ring_id, place, lon, lat FROM corners UNION ALL SELECT ring_id, n AS place, lon, lat FROM corners WHERE place = 0 AND ring_id % 9 <> 0""",
+    "corners": """
+SELECT ring_id, n, row_number() OVER (PARTITION BY ring_id ORDER BY turn) - 1 AS place, -0.1e0 + far * cos(6.283185307179586e0 * k / n) AS lon, 51.5e0 + far * sin(6.283185307179586e0 * k / n) AS lat FROM
+ (SELECT o_custkey AS ring_id, count(*) OVER (PARTITION BY o_custkey) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) + CASE WHEN o_orderkey % 31 = 0 THEN 1.5e0 ELSE 0e0 END AS turn,
+  CASE WHEN o_custkey % 17 = 0 THEN 0e0 ELSE 1e-2 * (1 + floor(o_totalprice) % 100 / 1e2) END AS far FROM orders) AS q""",
     "results": """
 SELECT o_orderkey AS task_id, o_custkey % 97 AS record, CASE o_orderkey % 5 WHEN 0 THEN 'rail' WHEN 1 THEN 'bus-stop' ELSE 'bus-route' END AS kind, o_orderstatus AS outcome FROM orders WHERE o_orderkey % 10 < 6""",
     "tasks": """

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import evidence as ev
 from ..functions import geo, keys
 from ..functions.text import normal_ascii, text
-from ..operators import quality, select, spatial
+from ..operators import quality, scans, select, spatial
 from ..registry import query
 from ..sources import masters
 from ..sources.scratch import shared_folder
@@ -120,12 +120,12 @@ def o01(t):
 
 @query("o06_key_order", "SELECT key, field, CAST(row_number() OVER (PARTITION BY field ORDER BY key) AS INTEGER) AS place FROM rail_fields")
 def o06(t):
-    return t.rail_fields.select("key", "field", F.row_number().over(W.partitionBy("field").orderBy("key")).alias("place"))
+    return scans.placed(t.rail_fields, "field", [F.col("key")], "at").select("key", "field", (F.col("at") + 1).cast("int").alias("place"))
 
 
 @query("o07_name_order", "SELECT osm_id, CAST(row_number() OVER (PARTITION BY osm_type ORDER BY name, osm_id) AS INTEGER) AS place FROM elements")
 def o07(t):
-    return t.elements.select("osm_id", F.row_number().over(W.partitionBy("osm_type").orderBy("name", "osm_id")).alias("place"))
+    return scans.placed(t.elements, "osm_type", [F.col("name"), F.col("osm_id")], "at").select("osm_id", (F.col("at") + 1).cast("int").alias("place"))
 
 
 @query("g02_haversine_asin", "SELECT osm_id, round(2e0 * 6371000e0 * asin(sqrt(pow(sin(radians(lat - 51.4e0) / 2e0), 2e0) + cos(radians(51.4e0)) * cos(radians(lat)) * pow(sin(radians(lon + 0.2e0) / 2e0), 2e0))), 3) AS metres FROM elements")

@@ -6,7 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import select, spatial
+from ..operators import nearest, scans, select, spatial
+from ..operators import rings as rings_
 from ..registry import query
 
 _hav = lambda a, b, c, d, r="6371008.8e0": f"(2e0 * {r} * atan2(sqrt(pow(sin(radians({c} - {a}) / 2e0), 2e0) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2e0), 2e0)), sqrt(1e0 - (pow(sin(radians({c} - {a}) / 2e0), 2e0) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2e0), 2e0)))))"
@@ -104,29 +105,22 @@ def j08_adopted(t):
     return spatial.adopt_containing(points.join(pairs, "osm_id", "left"), "osm_id", "polygon_id")
 
 
-@query("g09_polygon_validity", "SELECT polygon_id, polygon_id % 4 <> 1 AND polygon_id % 4 <> 2 AS valid FROM squares")
+_RINGS = "(SELECT ring_id, place AS i, lon, lat, lead(lon) OVER w AS lon2, lead(lat) OVER w AS lat2, count(*) OVER (PARTITION BY ring_id) - 1 AS n FROM outlines WINDOW w AS (PARTITION BY ring_id ORDER BY place))"
+_SIDE = lambda a, b, c: f"CASE WHEN abs(({b}lat - {a}lat) * ({c}lon - {b}lon) - ({b}lon - {a}lon) * ({c}lat - {b}lat)) < 1e-12 THEN 0 ELSE sign(({b}lat - {a}lat) * ({c}lon - {b}lon) - ({b}lon - {a}lon) * ({c}lat - {b}lat)) END".replace("2lat", "lat2").replace("2lon", "lon2")
+_CROSSED = f"(SELECT DISTINCT x.ring_id FROM {_RINGS} AS x JOIN {_RINGS} AS y ON x.ring_id = y.ring_id WHERE y.i > x.i + 1 AND NOT (x.i = 0 AND y.i = x.n - 1) AND x.lon2 IS NOT NULL AND y.lon2 IS NOT NULL AND {_SIDE('x.', 'x.2', 'y.')} <> {_SIDE('x.', 'x.2', 'y.2')} AND {_SIDE('y.', 'y.2', 'x.')} <> {_SIDE('y.', 'y.2', 'x.2')})"
+
+
+@query("g09_polygon_validity", f"""SELECT ring_id, CASE WHEN positions < 4 THEN 'short' WHEN NOT closed THEN 'open' WHEN ring_id IN {_CROSSED} THEN 'self-intersecting' WHEN area < 1e-14 THEN 'flat' ELSE '' END AS reason FROM
+ (SELECT ring_id, count(*) AS positions, arg_min(lon, i) = arg_max(lon, i) AND arg_min(lat, i) = arg_max(lat, i) AS closed, coalesce(abs(sum(lon * lat2 - lon2 * lat) / 2e0), 0e0) AS area FROM {_RINGS} AS r GROUP BY ring_id) AS g""")
 def g09(t):
-    """Closed, at least four positions, an area, within range. Some rings are left open and some are flat."""
-    ring = F.when(F.col("polygon_id") % 4 == 1, F.slice("ring", 1, 4)).when(F.col("polygon_id") % 4 == 2, F.transform("ring", lambda p: F.struct(p["seq"].alias("seq"), p["lon"].alias("lon"), F.col("south").alias("lat")))).otherwise(F.col("ring"))
-    r = rings(t.squares).select("polygon_id", ring.alias("r"))
-    area = F.aggregate(F.sequence(F.lit(0), F.size("r") - 2), F.lit(0.0), lambda a, i: a + F.get("r", i)["lon"] * F.get("r", i + 1)["lat"] - F.get("r", i + 1)["lon"] * F.get("r", i)["lat"])
-    closed = (F.element_at("r", 1)["lon"] == F.element_at("r", -1)["lon"]) & (F.element_at("r", 1)["lat"] == F.element_at("r", -1)["lat"])
-    within = F.forall("r", lambda p: geo.valid_coordinates(p["lat"], p["lon"]))
-    return r.select("polygon_id", ((F.size("r") >= 4) & closed & within & (F.abs(area) > 1e-12)).alias("valid"))
+    """Why a ring isn't valid, '' if it is: at least four positions, closed, no crossing of its own, an area, within range."""
+    return rings_.checked(t.outlines, "ring_id", "place")
 
 
-@query("j22_self_intersection", "SELECT polygon_id FROM squares WHERE polygon_id % 2 = 0")
+@query("j22_self_intersection", f"SELECT ring_id FROM {_CROSSED} AS c")
 def j22(t):
-    """Rings two of whose segments that aren't neighbours cross. Every other ring has two corners swapped."""
-    crossed = F.when(F.col("polygon_id") % 2 == 0, F.array(*[F.element_at("ring", i) for i in (1, 3, 2, 4, 5)])).otherwise(F.col("ring"))
-    r = rings(t.squares).select("polygon_id", crossed.alias("r"))
-    seg = r.select("polygon_id", F.size("r").alias("n"), F.posexplode(F.arrays_zip(F.slice("r", F.lit(1), F.size("r") - 1).alias("a"), F.slice("r", F.lit(2), F.size("r") - 1).alias("b"))).alias("i", "s")).select("polygon_id", "n", "i", "s.a", "s.b")
-    other = seg.select("polygon_id", F.col("i").alias("j"), F.col("a").alias("c"), F.col("b").alias("d"))
-    # of one ring only; rings are small, and the join key is the ring
-    pairs = seg.join(other, "polygon_id").filter((F.col("j") > F.col("i") + 1) & ~((F.col("i") == 0) & (F.col("j") == F.col("n") - 2)))
-    side = lambda p, q, z: F.signum((q["lon"] - p["lon"]) * (z["lat"] - p["lat"]) - (q["lat"] - p["lat"]) * (z["lon"] - p["lon"]))
-    a, b, c, d = (F.col(x) for x in "abcd")
-    return pairs.filter((side(a, b, c) != side(a, b, d)) & (side(c, d, a) != side(c, d, b))).select("polygon_id").distinct()
+    """Rings two of whose segments that aren't neighbours cross."""
+    return rings_.crossings(t.outlines, "ring_id", "place").select("ring_id").distinct()
 
 
 @query("a10_line_length", f"SELECT route_id, round(sum(step), 2) AS length, count(*) AS vertices FROM {_STEPS} AS s GROUP BY route_id")
@@ -175,15 +169,15 @@ def w13(t):
 
 _LOCAL = "SELECT *, (a.lon - p_lon) * 111320e0 * cos(radians(p_lat)) AS ax, (a.lat - p_lat) * 110540e0 AS ay, (a.lon2 - p_lon) * 111320e0 * cos(radians(p_lat)) AS bx2, (a.lat2 - p_lat) * 110540e0 AS by2"
 _NEAREST = f"""SELECT osm_id, round(min(sqrt(pow(ax + k * (bx2 - ax), 2e0) + pow(ay + k * (by2 - ay), 2e0))), 3) AS nearest FROM (SELECT *, CASE WHEN pow(bx2 - ax, 2e0) + pow(by2 - ay, 2e0) > 0 THEN least(1e0, greatest(0e0, (-ax * (bx2 - ax) - ay * (by2 - ay)) / (pow(bx2 - ax, 2e0) + pow(by2 - ay, 2e0)))) ELSE 0e0 END AS k
- FROM ({_LOCAL} FROM (SELECT * FROM {_SEGMENTS} AS s WHERE lon2 IS NOT NULL) AS a CROSS JOIN (SELECT osm_id, lat AS p_lat, lon AS p_lon FROM elements WHERE railway <> '') AS p) AS l) AS d GROUP BY osm_id HAVING min(sqrt(pow(ax + k * (bx2 - ax), 2e0) + pow(ay + k * (by2 - ay), 2e0))) <= 1500"""
+ FROM ({_LOCAL} FROM (SELECT * FROM {_SEGMENTS} AS s WHERE lon2 IS NOT NULL) AS a CROSS JOIN (SELECT osm_id, lat AS p_lat, lon AS p_lon FROM elements WHERE railway <> '') AS p) AS l) AS d GROUP BY osm_id"""
 
 
 @query("j09_nearest_line", _NEAREST)
 def j09(t):
-    """Stations with a line at most 1.5 km away, and how far it is."""
+    """How far each station is from the nearest line, at any distance."""
     segs = spatial.segments(t.traces, "route_id", "seq")
     stations = t.elements.filter("railway <> ''").select("osm_id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
-    return spatial.nearest_segment(stations, segs, "osm_id", 1500.0).select("osm_id", F.round("nearest", 3).alias("nearest"))
+    return nearest.nearest(stations, segs, "osm_id").select("osm_id", F.round("nearest", 3).alias("nearest"))
 
 
 @query("c20_station_review", f"SELECT e.osm_id, coalesce(nearest > 200, true) AS review FROM (SELECT osm_id FROM elements WHERE railway <> '') AS e LEFT JOIN ({_NEAREST}) AS n ON n.osm_id = e.osm_id")
@@ -305,20 +299,30 @@ def g16(t):
     return t.traces.withColumn("n", n).filter(F.when(F.col("n") <= 36, True).otherwise(step(1) != step(2))).select("route_id", "seq")
 
 
-@query("w14_chunks_with_overlap")
+_CHUNK_STEPS = """SELECT v.route_id, v.spot, CASE WHEN r.spot < v.last AND r.back > v.spot THEN r.back ELSE r.spot END AS nxt FROM verts AS v JOIN verts AS r ON r.route_id = v.route_id AND r.spot = least(v.spot + 39, v.last) WHERE v.spot < v.last"""
+_VERTS = """SELECT route_id, seq, spot, last, max(CASE WHEN event_id % 5 < 2 THEN spot END) OVER (PARTITION BY route_id ORDER BY spot) AS back FROM
+ (SELECT route_id, seq, event_id, row_number() OVER (PARTITION BY route_id ORDER BY seq) - 1 AS spot, count(*) OVER (PARTITION BY route_id) - 1 AS last FROM traces) AS q"""
+
+
+@query("w14_chunks_with_overlap", f"""WITH RECURSIVE verts AS ({_VERTS}), steps AS ({_CHUNK_STEPS}),
+ chunks AS (SELECT route_id, CAST(0 AS BIGINT) AS chunk, spot, nxt FROM steps WHERE spot = 0 UNION ALL SELECT c.route_id, c.chunk + 1, s.spot, s.nxt FROM chunks AS c JOIN steps AS s ON s.route_id = c.route_id AND s.spot = c.nxt)
+ SELECT c.route_id, c.chunk, f.seq AS first, l.seq AS last, c.nxt - c.spot + 1 AS n FROM chunks AS c JOIN verts AS f ON f.route_id = c.route_id AND f.spot = c.spot JOIN verts AS l ON l.route_id = c.route_id AND l.spot = c.nxt""")
 def w14(t):
-    """Runs of at most 40 vertices that share one vertex with the next run: (route_id, chunk, first, last, n)."""
-    from ..operators.linework import overlapping_chunks
+    """Runs of at most 40 vertices that share one vertex with the next run and end at an original vertex (two in five are) where they hold one: (route_id, chunk, first, last, n)."""
+    return scans.overlapping_chunks(t.traces.withColumn("own", F.col("event_id") % 5 < 2), 40, original="own")
+
 
-    return overlapping_chunks(t.traces, 40)
+_ENDS = """SELECT route_id, CAST(floor(spot / 1e1) AS BIGINT) AS piece, arg_min(lon, spot) AS lon0, arg_min(lat, spot) AS lat0, arg_max(lon, spot) AS lon1, arg_max(lat, spot) AS lat1 FROM (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY seq) - 1 AS spot FROM traces) AS q GROUP BY 1, 2"""
+_JOIN = lambda state, end: _hav(f"CASE WHEN {state} THEN p.lat0 ELSE p.lat1 END", f"CASE WHEN {state} THEN p.lon0 ELSE p.lon1 END", f"n.lat{end}", f"n.lon{end}")
 
 
-@query("g11_stitched_lines")
+@query("g11_stitched_lines", f"""WITH RECURSIVE ends AS ({_ENDS}), walk AS (SELECT route_id, piece, lon0, lat0, lon1, lat1, false AS turned, CAST(0 AS DOUBLE) AS gap FROM ends WHERE piece = 0 UNION ALL
+ SELECT route_id, piece, lon0, lat0, lon1, lat1, back + 0.5e0 < straight, CASE WHEN back + 0.5e0 < straight THEN back ELSE straight END FROM
+  (SELECT n.*, {_JOIN('p.turned', 0)} AS straight, {_JOIN('p.turned', 1)} AS back FROM walk AS p JOIN ends AS n ON n.route_id = p.route_id AND n.piece = p.piece + 1) AS s)
+ SELECT route_id, count(*) AS pieces, count(*) FILTER (turned) AS turned, count(*) FILTER (gap > 15e0) AS gaps FROM walk GROUP BY route_id""")
 def g11(t):
     """Pieces of each line put together again: pieces are turned where that joins better, and gaps over 15 m are counted."""
-    from ..operators.linework import stitched
-
-    return stitched(t.traces)
+    return scans.stitched(t.traces)
 
 
 @query("n22_grid_lines", "SELECT polygon_id, unnest(range(CAST(ceil(south * 1e3 / 1e1) AS BIGINT) * 10, CAST(floor((south + height) * 1e3 / 1e1) AS BIGINT) * 10 + 1, 10)) AS at FROM squares")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import evidence, keys
 from ..functions.text import normal_ascii
-from ..operators import linework, match, quality, select
+from ..operators import match, quality, rounds, select
 from ..registry import query
 from .scalars import _norm, route_keys
 from .search import _HAV, _H
@@ -147,7 +147,7 @@ def w03(t):
 @query("w04_greedy_resolution")
 def w04(t):
     s = t.stops.select("site_id", "seq", normal_ascii("stop_name").alias("name"), F.lit("Rail").alias("mode"), F.col("naptan").alias("code"), "lat", "lon", (F.col("stop_id") % 5).alias("richness"), F.abs("balance").alias("straight"))
-    return linework.resolved_stations(s.withColumn("site_id", F.col("site_id").cast("long")))
+    return rounds.resolved_stations(s.withColumn("site_id", F.col("site_id").cast("long")))
 
 
 _MISSING = "((origin = '')::INT + (weekday IN ('', 'research required'))::INT + (sunday = '')::INT + (title = '')::INT)"
@@ -179,8 +179,15 @@ def w10(t):
 
 @query("j21_placed_labels")
 def j21(t):
-    labels = t.stops.select((F.col("stop_id") % 4).alias("drawing"), F.col("stop_name").alias("label"), (F.col("stop_id") % 3).alias("priority"), (F.col("lon") * 1000).alias("x"), (F.col("lat") * 1000).alias("y"), F.lit(12.0).alias("w"), F.lit(4.0).alias("h"), "seq")
-    return linework.placed_labels(labels)
+    labels = t.stops.select(F.col("site_id").cast("long").alias("drawing"), F.col("stop_name").alias("label"), (F.col("stop_id") % 3).alias("priority"), (F.col("lon") * 1000).alias("x"), (F.col("lat") * 1000).alias("y"), F.lit(12.0).alias("w"), F.lit(4.0).alias("h"), "seq")
+    return rounds.placed_labels(labels)
+
+
+@query("m05_sequential_upsert")
+def m05_sequential(t):
+    """Stops with an odd number upserted one after another into those with an even one: by identifier (code, pair), else by the only stop of the name and direction within 500 m, else inserted. Later ones meet earlier ones."""
+    rows = t.stops.select(F.concat(F.lit("stop:"), F.col("stop_id").cast("string")).alias("key"), "seq", normal_ascii("stop_name").alias("name"), F.col("direction").alias("mode"), "lat", "lon", F.col("naptan").alias("code"), "pair")
+    return rounds.upserted(rows.filter("seq % 2 = 0"), rows.filter("seq % 2 = 1"), ["code", "pair"])
 
 
 @query("w15_chunks", "SELECT stop_id, CAST(floor((row_number() OVER (ORDER BY stop_name, stop_id) - 1) / 5e0) AS BIGINT) AS chunk FROM stops")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import distance_text
+from ..operators import digests, scans
 from ..registry import query
 from ..streaming import pacing
 
@@ -13,15 +13,12 @@ from ..streaming import pacing
 @query("x04_banded_report", "SELECT stop_id, stop_name, (row_number() OVER (PARTITION BY stop_name ORDER BY stop_id) - 1) % 2 AS band FROM stops")
 def x04(t):
     """Data rows of each section alternate; section rows have no band."""
-    from ..operators.linework import first_part_order
-
-    return first_part_order(t.stops, "stop_name", "stop_id").select("stop_id", "stop_name", F.col("band").cast("long").alias("band"))
+    return scans.placed(t.stops, "stop_name", [F.col("stop_id")], "at").select("stop_id", "stop_name", (F.col("at") % 2).alias("band"))
 
 
 @query("w16_bands", "SELECT route_id, (row_number() OVER (PARTITION BY operator ORDER BY route_id) - 1) % 2 AS band FROM routes")
 def w16(t):
-    rn = F.row_number().over(W.partitionBy("operator").orderBy("route_id")) - 1
-    return t.routes.select("route_id", (rn % 2).cast("long").alias("band"))
+    return scans.placed(t.routes, "operator", [F.col("route_id")], "at").select("route_id", (F.col("at") % 2).alias("band"))
 
 
 @query("x05_plain_table", "SELECT stop_name, string_agg(CAST(stop_id AS VARCHAR) || chr(9) || direction, chr(10) ORDER BY stop_id) AS body FROM stops GROUP BY stop_name")
@@ -93,18 +90,28 @@ def o04(t):
 
 @query("o05_label_order", "SELECT stop_id, CAST(row_number() OVER (PARTITION BY site_id ORDER BY stop_id % 3 DESC, length(stop_name) DESC, stop_name, stop_id) AS INTEGER) AS place FROM stops")
 def o05(t):
-    w = W.partitionBy("site_id").orderBy((F.col("stop_id") % 3).desc(), F.length("stop_name").desc(), "stop_name", "stop_id")
-    return t.stops.select("stop_id", F.row_number().over(w).alias("place"))
+    order = [(F.col("stop_id") % 3).desc(), F.length("stop_name").desc(), F.col("stop_name"), F.col("stop_id")]
+    return scans.placed(t.stops, "site_id", order, "at").select("stop_id", (F.col("at") + 1).cast("int").alias("place"))
+
+
+_KEYED = "SELECT osm_id, sha256(CAST(osm_id AS VARCHAR)) AS place, sha256('{\"amenity\":{\"n\":false,\"v\":\"' || amenity || '\"},\"name\":{\"n\":false,\"v\":\"' || name || '\"}}') AS d, amenity FROM elements"
+_BAG = "SELECT place, count(*) FILTER (amenity <> '') AS classed, count(*) AS n, sha256(CAST(osm_id AS VARCHAR) || ':' || CAST(count(*) AS VARCHAR) || ':' || " + " || ':' || ".join(f"CAST(sum(CAST('0x' || substr(d, {1 + 15 * i}, 15) AS BIGINT)) AS VARCHAR)" for i in range(4)) + f") AS digest FROM ({_KEYED}) AS k GROUP BY osm_id, place"
 
 
-@query("a22_source_snapshot", """SELECT CAST(sum(n) AS BIGINT) AS raw, CAST(sum(classed) AS BIGINT) AS classed, sha256(string_agg(digest, ',' ORDER BY block)) AS checksum FROM (
- SELECT CAST(floor(osm_id / 1e3) AS BIGINT) AS block, count(*) AS n, count(*) FILTER (amenity <> '') AS classed, sha256(string_agg(CAST(osm_id AS VARCHAR), ',' ORDER BY osm_id)) AS digest FROM elements GROUP BY 1) AS q""")
+@query("a22_source_snapshot", f"""SELECT CAST(sum(n) AS BIGINT) AS raw, CAST(sum(classed) AS BIGINT) AS classed, sha256(string_agg(digest, ',' ORDER BY path)) AS checksum FROM (
+ SELECT substr(place, 1, 2) AS path, sum(n) AS n, sum(classed) AS classed, sha256(string_agg(digest, ',' ORDER BY place)) AS digest FROM ({_BAG}) AS b GROUP BY 1) AS q""")
 def a22(t):
-    """One row of counts and the checksum of all elements: a digest of the digests of blocks of a thousand ids."""
-    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x.cast("string")), ",")
-    blocks = t.elements.groupBy(F.floor(F.col("osm_id") / 1000).alias("block")).agg(F.count("*").alias("n"), F.count_if(F.col("amenity") != "").alias("classed"), F.sha2(joined("osm_id").cast("binary"), 256).alias("digest"))
-    digests = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "digest"))), lambda x: x["digest"]), ",")
-    return blocks.agg(F.sum("n").alias("raw"), F.sum("classed").alias("classed"), F.sha2(digests.cast("binary"), 256).alias("checksum"))
+    """One row of counts and the checksum of all elements: the root of their tree of digests. The SQL has the tree of one level below its root that up to 65,536 elements have."""
+    counts = t.elements.agg(F.count("*").alias("raw"), F.count_if(F.col("amenity") != "").alias("classed"))
+    root = digests.tree(t.elements, "osm_id", ["amenity", "name"]).filter("level = 0").select(F.col("digest").alias("checksum"))
+    return counts.join(root)
+
+
+@query("t01_serial_starts", "SELECT event_id, start FROM (SELECT event_id, 3600000 * i + max(spot - 3600000 * i) OVER (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS start FROM (SELECT event_id, user_id, spot, row_number() OVER (PARTITION BY user_id ORDER BY spot, event_id) - 1 AS i FROM (SELECT event_id, user_id, epoch_ms(date_trunc('millisecond', ts)) AS spot FROM events) AS e) AS n) AS q")
+def t01_starts(t):
+    """When each event's call starts if a user's calls run one after another, an hour apart at least."""
+    calls = t.events.select("event_id", "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
+    return scans.serial_starts(calls, "user_id", "at", [F.col("at"), F.col("event_id")], 3_600_000).select("event_id", "start")
 
 
 @query("t01_call_spacing", "SELECT event_id, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 1 HOUR, true) AS paced FROM (SELECT event_id, user_id, date_trunc('millisecond', ts) AS ts FROM events) AS e")

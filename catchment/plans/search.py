@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, keys
 from ..functions.text import address, distance_text, duration_text
-from ..operators import classify, select, spatial
+from ..operators import classify, nearest, select, spatial
 from ..registry import query
 
 _TAG_COLUMNS = ("amenity", "shop", "leisure", "railway", "station", "network", "healthcare", "highway", "public_transport", "bus", "waterway", "name", "operator", "ref")
@@ -144,6 +144,14 @@ def a01(t):
     return nearest.select("site_id", "category", "osm_type", "osm_id", F.round("straight", 3).alias("straight"), F.round(walk, 3).alias("walk_metres"), F.round(geo.travel_seconds(walk, "walk"), 2).alias("walk_seconds"))
 
 
+@query("a01_nearest_anywhere", "SELECT site_id, amenity, round(min(sqrt(pow((lon - site_lon) * 111320e0 * cos(radians(site_lat)), 2e0) + pow((lat - site_lat) * 110540e0, 2e0))), 3) AS nearest FROM sites CROSS JOIN elements WHERE amenity <> '' GROUP BY site_id, amenity")
+def a01_anywhere(t):
+    """How far each site is from the nearest element of each kind, at any distance."""
+    sites = t.sites.select("site_id", F.col("site_lat").alias("p_lat"), F.col("site_lon").alias("p_lon"))
+    found = t.elements.filter("amenity <> ''").select("amenity", "lon", "lat", F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
+    return nearest.nearest(sites, found, "site_id", by=["amenity"]).select("site_id", "amenity", F.round("nearest", 3).alias("nearest"))
+
+
 @query("a02_group_lists", f"SELECT site_id, category, count(*) AS n, string_agg(CAST(osm_id AS VARCHAR), ',' ORDER BY straight, osm_id) AS facilities FROM {_FOUND_SQL(2000)} AS f GROUP BY site_id, category")
 def a02(t):
     found = _found(t, 2000.0)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catchment.functions import evidence, geo, text
-from catchment.operators import classify, graph, linework, merge, planning, select, spatial
+from catchment.operators import classify, graph, merge, planning, rounds, scans, select, spatial
 
 
 def one(spark, column):
@@ -135,13 +135,13 @@ def test_components_are_smallest_labels(spark, edges):
 
 def test_greedy_resolution_depends_on_kept_rows(spark):
     rows = [(1, 1, "a", "r", "", 51.0, 0.0, 1, 50.0), (1, 2, "a", "r", "X", 51.002, 0.0, 5, 40.0), (1, 3, "b", "r", "X", 51.9, 0.0, 1, 90.0), (2, 1, "a", "r", "", 51.0, 0.0, 1, 5.0)]
-    got = linework.resolved_stations(spark.createDataFrame(rows, "site_id long, seq long, name string, mode string, code string, lat double, lon double, richness long, straight double")).collect()
+    got = rounds.resolved_stations(spark.createDataFrame(rows, "site_id long, seq long, name string, mode string, code string, lat double, lon double, richness long, straight double")).collect()
     assert sorted((r["site_id"], r["seq"], r["code"], r["straight"], r["members"]) for r in got) == [(1, 1, "X", 40.0, 3), (2, 1, "", 5.0, 1)]
 
 
 def test_chunks_share_a_vertex(spark):
     rows = spark.createDataFrame([(1, i, i % 3 == 0) for i in range(100)], "route_id long, seq long, own boolean")
-    got = sorted(tuple(r) for r in linework.overlapping_chunks(rows, 40, original="own").collect())
+    got = sorted(tuple(r) for r in scans.overlapping_chunks(rows, 40, original="own").collect())
     assert [g[2] for g in got][1:] == [g[3] for g in got][:-1] and got[0][2] == 0 and got[-1][3] == 99 and all(g[4] <= 40 for g in got)
 
 

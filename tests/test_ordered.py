@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from catchment.operators import digests, linework, nearest, rings, rounds, scans
+from catchment.operators import digests, nearest, rings, rounds, scans
 from catchment.streaming import pacing
 
 # --- nearest neighbours
@@ -299,7 +299,7 @@ def crossings(ring):
 
 
 def rows_of(polygons):
-    return [(k, i, x, y) for k, ring in enumerate(polygons) for i, (x, y) in enumerate(ring)]
+    return [(k, i, None if x is None else float(x), None if y is None else float(y)) for k, ring in enumerate(polygons) for i, (x, y) in enumerate(ring)]
 
 
 RING = "ring long, place long, lon double, lat double"
