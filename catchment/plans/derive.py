@@ -88,6 +88,19 @@ SELECT ring_id, place, lon, lat FROM corners UNION ALL SELECT ring_id, n AS plac
 SELECT ring_id, n, row_number() OVER (PARTITION BY ring_id ORDER BY turn) - 1 AS place, -0.1e0 + far * cos(6.283185307179586e0 * k / n) AS lon, 51.5e0 + far * sin(6.283185307179586e0 * k / n) AS lat FROM
  (SELECT o_custkey AS ring_id, count(*) OVER (PARTITION BY o_custkey) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) + CASE WHEN o_orderkey % 31 = 0 THEN 1.5e0 ELSE 0e0 END AS turn,
   CASE WHEN o_custkey % 17 = 0 THEN 0e0 ELSE 1e-2 * (1 + floor(o_totalprice) % 100 / 1e2) END AS far FROM orders) AS q""",
+    "pack_lines": """
+SELECT l_orderkey AS task, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS place, 'S' || CAST(l_suppkey AS STRING) AS stop_key, 'route:' || CAST(l_partkey % 60 AS STRING) AS route_key, CAST(p_size AS STRING) AS number, l_partkey AS part, l_returnflag AS flag, l_quantity AS quantity
+FROM lineitem JOIN part ON p_partkey = l_partkey""",
+    "pack_allowed": """
+SELECT DISTINCT task, stop_key FROM pack_lines WHERE place <= 4 UNION SELECT o_orderkey AS task, 'S-none' AS stop_key FROM orders WHERE o_orderkey % 11 = 0""",
+    "pack_stops": """
+SELECT task, min(place) AS place, stop_key, CASE WHEN min(quantity) < 4 THEN 'missing or weak fields: direction' ELSE '' END AS fault FROM pack_lines GROUP BY task, stop_key""",
+    "pack_routes": """
+SELECT task, place, CASE WHEN part % 29 = 0 THEN '' ELSE route_key END AS route_key, part % 13 <> 0 AS identified, 'number:' || number AS alias, CASE WHEN flag = 'R' AND quantity > 45 THEN 'missing or weak fields: weekday' ELSE '' END AS fault FROM pack_lines""",
+    "pack_links": """
+SELECT task, place, stop_key || '|' || CASE WHEN part % 7 = 0 THEN 'x' ELSE route_key END AS link_key, stop_key, CASE WHEN part % 5 = 0 THEN 'number:' || number ELSE route_key END AS route_alias, number, CASE WHEN flag = 'A' AND quantity > 46 THEN 'missing or weak fields: sunday' ELSE '' END AS fault FROM pack_lines""",
+    "pack_served": """
+SELECT task, stop_key, number FROM pack_lines WHERE place % 7 <> 5""",
     "results": """
 SELECT o_orderkey AS task_id, o_custkey % 97 AS record, CASE o_orderkey % 5 WHEN 0 THEN 'rail' WHEN 1 THEN 'bus-stop' ELSE 'bus-route' END AS kind, o_orderstatus AS outcome FROM orders WHERE o_orderkey % 10 < 6""",
     "tasks": """

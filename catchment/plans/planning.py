@@ -89,11 +89,64 @@ def m10(t):
     return wanted.join(known, "route_number", "left").select("route_id", F.when(F.col("known").isNull(), "task").otherwise("reuse").alias("kind"))
 
 
-@query("m16_network_limits", "SELECT stop_id, CASE WHEN count(DISTINCT route_id) > 6 THEN 'too many routes' WHEN count(*) > 12 THEN 'too many links' ELSE 'ok' END AS state FROM stop_routes GROUP BY stop_id")
+_ALLOWED = "SELECT DISTINCT task, stop_key FROM pack_allowed"
+_GOOD_STOPS = f"SELECT s.task, s.place, s.stop_key, CASE WHEN a.task IS NULL THEN 'unrelated Bus Stop was rejected' ELSE s.fault END AS why FROM pack_stops AS s LEFT JOIN ({_ALLOWED}) AS a ON a.task = s.task AND a.stop_key = s.stop_key"
+_GOOD_ROUTES = """SELECT task, place, route_key, alias, CASE WHEN NOT known THEN 'Route number alone is not an accepted identity' WHEN EXISTS (SELECT 1 FROM pack_routes AS e WHERE e.task = r.task AND e.route_key = r.route_key AND e.identified AND e.place < r.place) THEN 'duplicate canonical Route was rejected' ELSE fault END AS why
+ FROM (SELECT *, identified AND route_key <> '' AS known FROM pack_routes WHERE place <= 6) AS r"""
+_GOOD_LINKS = f"""SELECT k.task, k.place, k.link_key, k.stop_key, k.route_alias, k.number, CASE WHEN EXISTS (SELECT 1 FROM pack_links AS e WHERE e.task = k.task AND e.link_key = k.link_key AND e.place < k.place) THEN 'duplicate stop–Route Relationship was rejected'
+ WHEN NOT EXISTS (SELECT 1 FROM pack_allowed AS a WHERE a.task = k.task AND a.stop_key = k.stop_key) THEN 'unrelated stop–Route Relationship was rejected'
+ WHEN (SELECT count(*) FROM ({_GOOD_ROUTES}) AS v WHERE v.task = k.task AND v.why = '' AND (v.route_key = k.route_alias OR v.alias = k.route_alias)) <> 1 THEN 'Relationship must resolve to exactly one returned or locked canonical Route' ELSE k.fault END AS why FROM pack_links AS k WHERE k.place <= 12"""
+_DECLARED = "SELECT task, stop_key, string_agg(DISTINCT number, ',' ORDER BY number) AS n FROM {t} GROUP BY task, stop_key"
+_UNLINKED = f"SELECT v.* FROM ({_GOOD_ROUTES}) AS v WHERE v.why = '' AND NOT EXISTS (SELECT 1 FROM ({_GOOD_LINKS}) AS g WHERE g.task = v.task AND g.why = '' AND (g.route_alias = v.route_key OR g.route_alias = v.alias))"
+_SERVED = f"""SELECT s.task, s.place, s.stop_key, coalesce(d.n, '') = coalesce(l.n, '') AS same FROM ({_GOOD_STOPS}) AS s LEFT JOIN ({_DECLARED.format(t='pack_served')}) AS d ON d.task = s.task AND d.stop_key = s.stop_key
+ LEFT JOIN ({_DECLARED.format(t=f"({_GOOD_LINKS}) AS g WHERE why = ''")}) AS l ON l.task = s.task AND l.stop_key = s.stop_key WHERE s.why = ''"""
+_NETWORK_FAILED = f"""SELECT task, 1 AS step, CAST(0 AS BIGINT) AS place, '' AS record, 'compound result exceeds the maximum 6 Routes' AS reason FROM pack_routes GROUP BY task HAVING count(*) > 6
+ UNION ALL SELECT task, 1, 0, '', 'compound result exceeds the maximum 12 Relationships' FROM pack_links GROUP BY task HAVING count(*) > 12
+ UNION ALL SELECT task, 2, place, stop_key, why FROM ({_GOOD_STOPS}) AS s WHERE why <> ''
+ UNION ALL SELECT a.task, 3, 0, a.stop_key, 'assigned selected stop was not returned: ' || a.stop_key FROM ({_ALLOWED}) AS a LEFT JOIN (SELECT * FROM ({_GOOD_STOPS}) AS x WHERE why = '') AS s ON s.task = a.task AND s.stop_key = a.stop_key WHERE s.task IS NULL
+ UNION ALL SELECT task, 4, place, route_key, why FROM ({_GOOD_ROUTES}) AS r WHERE why <> ''
+ UNION ALL SELECT task, 5, place, link_key, why FROM ({_GOOD_LINKS}) AS k WHERE why <> ''
+ UNION ALL SELECT task, 6, place, route_key, 'unlinked Route was rejected' FROM ({_UNLINKED}) AS u
+ UNION ALL SELECT task, 7, place, stop_key, 'routesServed does not agree with returned Relationships' FROM ({_SERVED}) AS c WHERE NOT same"""
+
+
+def _network(t):
+    from ..operators import validation
+
+    routes = t.pack_routes.withColumn("aliases", F.array("alias"))
+    return validation.network_results(t.pack_allowed, t.pack_stops, routes, t.pack_links, t.pack_served)
+
+
+@query("m16_network_limits", _NETWORK_FAILED)
 def m16(t):
-    """Checks in order: routes of a network, then links."""
-    g = t.stop_routes.groupBy("stop_id").agg(F.countDistinct("route_id").alias("r"), F.count("*").alias("n"))
-    return g.select("stop_id", F.when(F.col("r") > p.ROUTES, "too many routes").when(F.col("n") > p.LINKS, "too many links").otherwise("ok").alias("state"))
+    """Every refusal of compound bus results, in the order of its cascade: caps, stops, missing stops, routes, links, routes without a link, numbers served."""
+    return _network(t)[1]
+
+
+@query("m16_network_accepted", f"""SELECT task, 'bus-stop' AS kind, place, stop_key AS record FROM ({_SERVED}) AS s WHERE same UNION ALL SELECT task, 'bus-stop-route', place, link_key FROM ({_GOOD_LINKS}) AS k WHERE why = ''
+ UNION ALL SELECT v.task, 'bus-route', v.place, v.route_key FROM ({_GOOD_ROUTES}) AS v LEFT JOIN ({_UNLINKED}) AS u ON u.task = v.task AND u.place = v.place WHERE v.why = '' AND u.task IS NULL""")
+def m16_accepted(t):
+    """What is left of compound bus results after all checks."""
+    return _network(t)[0]
+
+
+_RETURNED = "SELECT r.task_id, r.kind, CAST(r.record AS VARCHAR) AS record, t.kind AS t_kind, CAST(t.record AS VARCHAR) AS t_record, CASE WHEN r.task_id % 13 = 0 THEN 'missing or weak fields: source' ELSE '' END AS fault FROM results AS r LEFT JOIN tasks AS t ON t.task_id = r.task_id WHERE r.outcome <> 'P'"
+_OURS = f"SELECT * FROM ({_RETURNED}) AS x WHERE coalesce(kind = t_kind, false)"
+_OPEN = "SELECT t.task_id, t.kind, CAST(t.record AS VARCHAR) AS record, CASE WHEN t.task_id % 3 = 0 THEN 'requires professional review' ELSE 'source_conflict' END AS reason FROM results AS r JOIN tasks AS t ON t.task_id = r.task_id WHERE r.outcome = 'P'"
+
+
+@query("m15_pack_results", f"""SELECT task_id AS task, kind, record, CASE WHEN NOT coalesce(kind = t_kind, false) THEN 'result was not assigned to this pack' WHEN record <> t_record THEN 'stable record identity does not match the assigned task' ELSE fault END AS reason FROM ({_RETURNED}) AS r
+ UNION ALL SELECT * FROM ({_OPEN}) AS o
+ UNION ALL SELECT task_id, kind, CAST(record AS VARCHAR), 'assigned task was not returned' FROM tasks WHERE task_id NOT IN (SELECT task_id FROM ({_OURS}) AS u) AND task_id NOT IN (SELECT task_id FROM ({_OPEN}) AS p)""")
+def m15_results(t):
+    """Each result, open point or missing task of a pack with the reason why it is refused, '' if it is accepted."""
+    from ..operators import validation
+
+    named = lambda df: df.select(F.col("task_id").alias("task"), "kind", F.col("record").cast("string").alias("record"), *[c for c in ("outcome",) if c in df.columns])
+    back = named(t.results)
+    fault = F.when(F.col("task") % 13 == 0, "missing or weak fields: source").otherwise("")
+    open_ = back.filter("outcome = 'P'").select("task", F.when(F.col("task") % 3 != 0, "source_conflict").alias("reason"))
+    return validation.pack_results(named(t.tasks), back.filter("outcome <> 'P'").withColumn("fault", fault), open_)
 
 
 @query("m17_correction_request", "SELECT key, string_agg(CAST(field AS VARCHAR), ',' ORDER BY field) FILTER (status = 'missing') AS failing, count(*) FILTER (status <> 'missing') AS preserved FROM rail_fields GROUP BY key HAVING count(*) FILTER (status = 'missing') > 0")
