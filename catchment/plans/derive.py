@@ -101,6 +101,10 @@ SELECT task, place, CASE WHEN part % 29 = 0 THEN '' ELSE route_key END AS route_
 SELECT task, place, stop_key || '|' || CASE WHEN part % 7 = 0 THEN 'x' ELSE route_key END AS link_key, stop_key, CASE WHEN part % 5 = 0 THEN 'number:' || number ELSE route_key END AS route_alias, number, CASE WHEN flag = 'A' AND quantity > 46 THEN 'missing or weak fields: sunday' ELSE '' END AS fault FROM pack_lines""",
     "pack_served": """
 SELECT task, stop_key, number FROM pack_lines WHERE place % 7 <> 5""",
+    "publishable": """
+SELECT l.stop_id * 10000000 + l.route_id AS seq, 'naptan:' || CAST(l.stop_id AS STRING) AS stop_key, r.route_number AS number, CASE l.flag WHEN 'A' THEN 'Northbound' WHEN 'N' THEN 'northbound' ELSE '' END AS direction, r.destination AS destination,
+  CASE CAST(l.quantity AS BIGINT) % 5 WHEN 0 THEN '' WHEN 1 THEN 'research required' WHEN 2 THEN '06:00-23:00' WHEN 3 THEN '06.00 - 23.00' ELSE '07:00-22:00' END AS weekday, r.sunday AS sunday, r.retrieval_date AS date, CASE (l.stop_id + l.route_id) % 4 WHEN 0 THEN 'needs review' ELSE 'Verified' END AS status
+FROM stop_routes AS l JOIN routes AS r ON r.route_id = l.route_id""",
     "results": """
 SELECT o_orderkey AS task_id, o_custkey % 97 AS record, CASE o_orderkey % 5 WHEN 0 THEN 'rail' WHEN 1 THEN 'bus-stop' ELSE 'bus-route' END AS kind, o_orderstatus AS outcome FROM orders WHERE o_orderkey % 10 < 6""",
     "tasks": """

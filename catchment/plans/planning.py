@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import fnv32, json_string
 from ..operators import planning as p
 from ..registry import query
+from .scalars import _norm
 
 _BATCHES = "(SELECT key, CAST(floor((row_number() OVER (ORDER BY key) - 1) / 5e0) AS BIGINT) AS batch FROM (SELECT DISTINCT key FROM rail_fields) AS k)"
 
@@ -166,6 +167,44 @@ def m18(t):
     return g.select("route_number", "route_id", F.array_join("p", " / ").alias("periods"))
 
 
+_USE = lambda c: f"(trim({c}) <> '' AND NOT lower({c}) LIKE '%research required%')"
+_BEST_LINKS = f"""(SELECT * FROM (SELECT *, {_norm('number')} AS num, min(seq) OVER k AS came, row_number() OVER (PARTITION BY stop_key, {_norm('number')}, {_norm('direction')}, {_norm('destination')} ORDER BY date DESC, CAST({_USE('direction')} AS INT) + CAST({_USE('destination')} AS INT) + CAST({_USE('weekday')} AS INT) + CAST({_USE('sunday')} AS INT) DESC, seq) AS rn
+ FROM publishable WHERE status = 'Verified' AND NOT number LIKE '%A' WINDOW k AS (PARTITION BY stop_key, {_norm('number')}, {_norm('direction')}, {_norm('destination')})) AS q WHERE rn = 1)"""
+_BEST_ROUTES = f"""(SELECT * FROM (SELECT *, {_norm('route_number')} AS num, row_number() OVER (PARTITION BY {_norm('route_number')} ORDER BY retrieval_date DESC, CAST({_USE('operator')} AS INT) + CAST({_USE('origin')} AS INT) + CAST({_USE('destination')} AS INT) + CAST({_USE('context')} AS INT) DESC, route_id) AS rn
+ FROM routes WHERE status = 'verified') AS q WHERE rn = 1 AND num IN (SELECT num FROM {_BEST_LINKS} AS l))"""
+_STATED = lambda c: f"(SELECT num, string_agg(v, ' / ' ORDER BY o) AS v FROM (SELECT num, {_norm(c)} AS n, min(came) AS o, arg_min(trim({c}), came) AS v FROM {_BEST_LINKS} AS l WHERE {_USE(c)} GROUP BY 1, 2) AS d GROUP BY num)"
+
+
+def _published(t):
+    from ..functions.text import normal_ascii
+    from ..operators import publication
+
+    empty = lambda *names: [F.lit("").alias(n) for n in names]
+    plain = F.create_map().cast("map<string,string>").alias("qualifications")
+    links = t.publishable.select("*", *empty("saturday", "tph", "saturday_tph", "sunday_tph", "pattern", "journey", "paragraph"), plain)
+    routes = t.routes.select(F.col("route_id").alias("seq"), F.col("route_number").alias("number"), "operator", "origin", "destination", "context", F.array().cast("array<string>").alias("principal"), "weekday", *empty("saturday"), "sunday", "pattern", plain, F.col("retrieval_date").alias("date"), "status")
+    stops = t.stops.select("seq", F.concat(F.lit("naptan:"), F.col("stop_id").cast("string")).alias("stop_key"), F.col("stop_name").alias("name"), *empty("locality"), "direction", *empty("indicator"), F.array().cast("array<string>").alias("served"), *empty("date"), "status")
+    sources = t.routes.select(F.col("route_id").alias("seq"), F.lit(0).cast("long").alias("at"), "url", "title", "publisher", F.col("retrieval_date").alias("retrieved"))
+    none = sources.limit(0)
+    return publication.publication(links, routes, stops, none, sources, none, stops.select("stop_key"), t.routes.select(F.col("route_number").alias("number")).filter(~F.col("number").endswith("A")).distinct(), normal_ascii)
+
+
+@query("m18_published_routes", f"""SELECT r.route_id AS seq, r.route_number AS number, CASE WHEN {_USE('context')} THEN context ELSE 'Service corridor between ' || origin || ' and ' || destination || ' via ' || array_to_string(list_filter([origin, destination], lambda e: e <> ''), ', ') || '.' END AS context,
+ coalesce(w.v, r.weekday) AS weekday, coalesce(s.v, r.sunday) AS sunday, greatest(r.retrieval_date, d.v) AS date FROM {_BEST_ROUTES} AS r LEFT JOIN {_STATED('weekday')} AS w ON w.num = r.num LEFT JOIN {_STATED('sunday')} AS s ON s.num = r.num LEFT JOIN (SELECT num, max(date) AS v FROM {_BEST_LINKS} AS l GROUP BY num) AS d ON d.num = r.num""")
+def m18_routes(t):
+    """Routes as published: the best verified record of each number with a verified link, with what its links state."""
+    return _published(t).routes.select("seq", "number", "context", "weekday", "sunday", "date")
+
+
+_CORRIDOR = f"CASE WHEN {_USE('context')} THEN context ELSE 'Service corridor between ' || origin || ' and ' || r.destination || ' via ' || array_to_string(list_filter([origin, r.destination], lambda e: e <> ''), ', ') || '.' END"
+
+
+@query("m18_published_links", f"SELECT l.seq, l.stop_key, concat_ws('|', {_norm('r.route_number')}, {_norm('r.operator')}, {_norm('r.origin')}, {_norm('r.destination')}, {_norm('(' + _CORRIDOR + ')')}) AS route_key FROM {_BEST_LINKS} AS l JOIN {_BEST_ROUTES} AS r ON r.num = l.num")
+def m18_links(t):
+    """Links as published, with the key of their route."""
+    return _published(t).links.select("seq", "stop_key", "route_key")
+
+
 @query("n03_partial_import", """SELECT key, array_to_string(list(field ORDER BY field) FILTER (fault <> ''), ',') AS failing, CASE WHEN bool_or(fault = 'metadata') THEN 'rejected' WHEN bool_or(fault <> '') THEN 'correction-required' ELSE 'imported' END AS state, count(*) FILTER (fault = '') AS merged
 FROM (SELECT key, field, CASE WHEN record_id % 19 = 0 AND field = 1 THEN 'metadata' WHEN value = '' THEN 'value' WHEN status = 'verified' AND (source = '' OR retrieval_date = '') THEN 'evidence' ELSE '' END AS fault FROM rail_fields) AS q GROUP BY key""")
 def n03(t):
