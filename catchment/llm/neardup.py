@@ -31,8 +31,8 @@ from .store import scratch, slices, stored, tidied
 K, BITS = 64, 16
 #: Members and shingles of one block when components of a family are compared.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 1 << 20
-#: Tasks to which the rows of one bucket or family are dealt where they meet its centre or its size.
-SPREAD = 8
+#: A bucket or family with more than one SPREAD-th of all rows is dealt to several tasks where it meets its centre or its size, one for each such part; there are fewer of these than SPREAD.
+SPREAD = 256
 
 
 def distance_threshold(percent: int, k: int = K) -> int:
@@ -115,17 +115,26 @@ def shingle_sets(docs: DataFrame, reps: DataFrame, width: int = 5) -> DataFrame:
     return wanted.mapInArrow(tidied(run), "rep long, items array<long>")
 
 
-def spread_join(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
-    """many(key, rep, ...) joined with one(key, ...), which has a row for each key. A key's rows are dealt to SPREAD tasks by rep, each with a copy of the key's row."""
-    copies = one.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
-    return many.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SPREAD))).join(copies, [key, "salt"]).drop("salt")
+def hot_keys(sizes: DataFrame, key: str) -> DataFrame:
+    """(key, tasks) of the keys in sizes(key, m) that hold more than one SPREAD-th of all rows: at most SPREAD keys, whatever the number of rows."""
+    part = -(-(sizes.agg(F.sum("m")).first()[0] or 0) // SPREAD)
+    return stored(sizes.filter(F.col("m") > max(1, part)).select(key, F.ceil(F.col("m") / max(1, part)).alias("tasks")), "hot-keys")
 
 
-def _blocks(members: DataFrame) -> DataFrame:
+def spread_join(many: DataFrame, one: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """many(key, rep, ...) joined with one(key, ...), which has a row for each key. The rows of a hot key are dealt to its tasks by rep, each with a copy of the key's row."""
+    few = F.broadcast(hot)  # fewer than SPREAD rows
+    tasks = F.coalesce("tasks", F.lit(1).cast("long"))
+    copies = one.join(few, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), tasks - 1))).drop("tasks")
+    dealt = many.join(few, key, "left").withColumn("salt", F.pmod(F.xxhash64("rep"), tasks)).drop("tasks")
+    return dealt.join(copies, [key, "salt"]).drop("salt")
+
+
+def _blocks(members: DataFrame, hot: DataFrame) -> DataFrame:
     """members(family, rep, label, n_shingles, ...) dealt to pairs of blocks (lo, hi) of bounded size; side is the member's own block."""
     size = members.groupBy("family").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("s"))
     size = size.select("family", F.greatest(F.ceil(F.col("m") / BLOCK_MEMBERS), F.ceil(F.col("s") / BLOCK_SHINGLES), F.lit(1)).alias("blocks"))
-    dealt = spread_join(members, size, "family").withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    dealt = spread_join(members, size, "family", hot).withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     return dealt.withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other")).drop("other", "blocks")
 
@@ -195,22 +204,24 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     # a bucket of two is known by its least and greatest member; only larger ones meet their keys again
     sizes = stored(keys.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("m > 1"), "bucket-sizes")
     twos = sizes.filter("m = 2").select("key", F.explode(F.array("lo", "hi")).alias("rep"), "m")
-    larger = keys.join(sizes.filter("m > 2").select("key", "m"), "key").select("key", "rep", "m")
+    hot_buckets = hot_keys(sizes.select("key", "m"), "key")
+    larger = spread_join(keys, sizes.filter("m > 2").select("key", "m"), "key", hot_buckets).select("key", "rep", "m")
     shared = stored(twos.union(larger), "buckets")
     company = shared.groupBy("rep").agg(F.sum("m").alias("company"))
     central = shared.join(company, "rep").groupBy("key").agg(F.max(F.struct("company", (-F.col("rep")).alias("minus"))).alias("c")).select("key", (-F.col("c.minus")).alias("family"))
-    families = stored(shared.join(central, "key").select("family", "rep").distinct(), "families")
+    families = stored(spread_join(shared, central, "key", hot_buckets).select("family", "rep").distinct(), "families")
+    hot = hot_keys(families.groupBy("family").agg(F.count("*").alias("m")), "family")
 
     # each member against its centre: sizes, signature distance, then full sets
     pairs = families.filter("family <> rep").join(nodes, "rep")
     centre = nodes.select(F.col("rep").alias("family"), F.col("n_shingles").alias("c_n"), F.col("sig").alias("c_sig")).join(families.select("family").distinct(), "family", "left_semi")
-    pairs = spread_join(pairs, centre, "family").filter(F.least("n_shingles", "c_n") * 100 >= F.greatest("n_shingles", "c_n") * percent)
+    pairs = spread_join(pairs, centre, "family", hot).filter(F.least("n_shingles", "c_n") * 100 >= F.greatest("n_shingles", "c_n") * percent)
     apart = F.size(F.filter(F.zip_with("sig", "c_sig", lambda x, y: x != y), lambda x: x))
     pairs = stored(pairs.filter(apart <= threshold).select("family", "rep").distinct(), "pairs")
     wanted = stored(pairs.select("rep").union(pairs.select("family")).distinct(), "wanted")
     sets = stored(shingle_sets(docs, wanted, width), "sets")
     c_sets = sets.select(F.col("rep").alias("family"), F.col("items").alias("c_items")).join(pairs.select("family").distinct(), "family", "left_semi")
-    held = pairs.join(sets, "rep").join(c_sets, "family")
+    held = spread_join(pairs.join(sets, "rep"), c_sets, "family", hot)
     common = F.size(F.array_intersect("items", "c_items"))
     links = held.filter(common * 100 >= (F.size("items") + F.size("c_items") - common) * percent).select(F.col("family").alias("a"), F.col("rep").alias("b"))
 
@@ -225,11 +236,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     known = families.union(families.select("family", F.col("family").alias("rep"))).distinct().join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     known = known.withColumn("label", F.coalesce("label", "rep"))
     open_ = known.groupBy("family").agg(F.count("*").alias("m"), (F.min("label") != F.max("label")).alias("several")).filter("several and m > 2").select("family")
-    members = stored(spread_join(known, open_, "family").join(nodes, "rep").select("family", "rep", "label", "n_shingles", "sig"), "open-members")
-    near = _blocks(members).groupBy("family", "lo", "hi").applyInPandas(_near_signatures(threshold), "family long, rep long, label long, n_shingles long")
+    members = stored(spread_join(known, open_, "family", hot).join(nodes, "rep").select("family", "rep", "label", "n_shingles", "sig"), "open-members")
+    near = _blocks(members, hot).groupBy("family", "lo", "hi").applyInPandas(_near_signatures(threshold), "family long, rep long, label long, n_shingles long")
     near = stored(near.distinct(), "near-members")
     more = stored(shingle_sets(docs, near.select("rep").distinct(), width), "more-sets")
-    across = _blocks(near).join(more, "rep").groupBy("family", "lo", "hi").applyInPandas(_near_sets(percent), "a long, b long")
+    across = _blocks(near, hot).join(more, "rep").groupBy("family", "lo", "hi").applyInPandas(_near_sets(percent), "a long, b long")
     across = stored(across.distinct(), "across")
     merged = connected_components(across).select(F.col("node").alias("label"), F.col("label").alias("final"))
     of_rep = labels.join(merged, "label", "left").select(F.col("node").alias("rep"), F.coalesce("final", "label").alias("component"))
