@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import evidence, geo, keys
 from ..functions import text as x
+from ..operators import nested
 from ..registry import query
 
 _A = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
@@ -227,6 +228,18 @@ def f09(t):
     return t.documents.filter(evidence.is_lazy(_planted())).select("doc_id")
 
 
+#: The pattern of texts that bar a record, for SQL. Fixed value.
+_LAZY = r"(?i)\b(see|check|refer to)\s+(the\s+)?(station |operator )?website\b|\bcheck\s+(national rail|tfl|operator)\b|\brefer to timetable\b|\b(details|information)\s+(available\s+)?online\b|\bverify manually\b|\bnot researched\b"
+
+
+@query("f09_nested_placeholders", f"""SELECT doc_id, 'parts[' || CAST(i AS VARCHAR) || '].body' AS path FROM (SELECT doc_id, unnest(range(CAST(len(string_split(t, chr(10))) AS BIGINT))) AS i, unnest(string_split(t, chr(10))) AS line FROM (SELECT doc_id, {_PHRASE} || coalesce(text, '') AS t FROM documents) AS d) AS l WHERE regexp_matches(line, '{_LAZY}')""")
+def f09_nested(t):
+    """Paths of the texts that bar each document, as a record of its lines: a phrase planted in the first one counts, the same phrase among the record's sources doesn't."""
+    lines = F.transform(F.split(_planted(), "\n"), lambda x: F.struct(x.alias("body"), F.expr(_PHRASE).alias("sourceTitle")))
+    record = F.to_json(F.struct(F.col("lang").alias("title"), F.array(F.expr(_PHRASE)).alias("sources"), lines.alias("parts")))
+    return nested.placeholder_paths(t.documents.select("doc_id", record.alias("record")), "doc_id", "record")
+
+
 _SPECIFIC = lambda c: f"({_is_url(c)} AND regexp_matches({c}, '(?i)^https?:') AND regexp_matches({_path(c)}, '[^/]'))"
 
 
