@@ -34,6 +34,36 @@ def c12(t):
     return q.analyse_records(checked(t))
 
 
+_STATIONS = f"SELECT k.key, k.batch, k.record, r.n_issues, r.quality, NOT (r.quality = '{q.COMPLETE}' AND r.n_issues = 0) AS bad FROM (SELECT DISTINCT key, record_id % 12 AS batch, 'Station ' || CAST(record_id % 500 AS VARCHAR) AS record FROM rail_fields) AS k JOIN {_RECORDS} AS r ON r.key = k.key WHERE batch NOT IN (5, 7)"
+_ISSUES = f"SELECT s.batch, s.record, CAST(f.field AS VARCHAR) AS field, unnest(f.issues) AS reason, r.source AS url FROM {_FIELDS} AS f JOIN ({_STATIONS}) AS s ON s.key = f.key JOIN rail_fields AS r ON r.key = f.key AND r.field = f.field WHERE s.bad AND f.value <> ''"
+_FAILURES = f"SELECT * FROM ({_ISSUES}) AS i UNION ALL SELECT batch, record, NULL, quality, '' FROM ({_STATIONS}) AS s WHERE bad AND n_issues = 0"
+
+
+def _imported(t):
+    from ..operators import imports
+
+    fields = t.rail_fields.select((F.col("record_id") % 12).alias("batch"), F.concat(F.lit("Station "), (F.col("record_id") % 500).cast("string")).alias("record"), "key", "field", "value", "status", "source", "source_title", "publisher", "retrieval_date")
+    came = fields.select("batch").distinct().withColumns({"request_group": F.lit("g1"), "sequence": F.col("batch") + 1, "total": F.when(F.col("batch") == 5, 11).otherwise(12)})
+    plan = came.filter("batch <> 7").withColumn("total", F.lit(12))
+    master = t.rail_fields.select("key", "field", F.lit("Earlier value").alias("value"), F.lit("verified").alias("status"), F.lit("2026-05-01").alias("date"))
+    return imports.rail_import(plan, came, fields, master)
+
+
+@query("n03_import_states", f"""SELECT b.batch, CASE WHEN b.batch IN (5, 7) THEN 'rejected' WHEN coalesce(c.failed, 0) > 0 THEN 'correction-required' ELSE 'imported' END AS state, CASE b.batch WHEN 5 THEN 'total does not match the plan' WHEN 7 THEN 'batch was not planned' ELSE '' END AS problems,
+ coalesce(c.passed, 0) AS passed, coalesce(c.failed, 0) AS failed, coalesce(f.n, 0) AS failures FROM (SELECT DISTINCT record_id % 12 AS batch FROM rail_fields) AS b
+ LEFT JOIN (SELECT s.batch, count(*) FILTER (x.record IS NULL) AS passed, count(*) FILTER (x.record IS NOT NULL) AS failed FROM ({_STATIONS}) AS s LEFT JOIN (SELECT DISTINCT batch, record FROM ({_STATIONS}) AS y WHERE bad) AS x ON x.batch = s.batch AND x.record = s.record GROUP BY s.batch) AS c ON c.batch = b.batch
+ LEFT JOIN (SELECT batch, count(*) AS n FROM ({_FAILURES}) AS z GROUP BY batch) AS f ON f.batch = b.batch""")
+def n03_states(t):
+    """How each returned batch of rail research ends: rejected by its metadata, for correction, or imported."""
+    return _imported(t).states
+
+
+@query("n03_import_failures", _FAILURES)
+def n03_failures(t):
+    """Every reason for which a station of a sound batch goes back."""
+    return _imported(t).failures
+
+
 @query("a06_quality_roll_up", f"SELECT count(*) FILTER (quality = '{q.COMPLETE}' AND n_issues = 0) AS accepted, count(*) FILTER (quality = '{q.REVIEW}') AS for_review, count(*) FILTER (quality = '{q.POOR}') AS poor, count(*) FILTER (n_issues > 0) AS rejected, CAST(sum(n_issues) AS BIGINT) AS to_correct FROM {_RECORDS} AS r")
 def a06(t):
     return q.roll_up(q.analyse_records(checked(t)))

@@ -256,6 +256,37 @@ def a18(t):
     return t.routes.filter("origin <> ''").groupBy(canonical.alias("canonical")).agg(F.count("*").alias("merged"), F.min("route_id").alias("keeper"))
 
 
+_MIGRATING = "SELECT route_id, 'route:' || route_number || ':' || origin AS ck FROM routes"
+_FIRSTS = f"SELECT ck, min(route_id) AS first FROM ({_MIGRATING}) AS m GROUP BY ck"
+_LINEAGE = f"""SELECT k, arg_max(ck, first) AS ck FROM (SELECT 'legacy ' || CAST(route_id AS VARCHAR) AS k, ck, first FROM ({_MIGRATING}) AS m JOIN ({_FIRSTS}) AS f USING (ck) UNION ALL SELECT 'old ' || CAST(route_id % 500 AS VARCHAR), ck, first FROM ({_MIGRATING}) AS n JOIN ({_FIRSTS}) AS g USING (ck)
+ UNION ALL SELECT {_norm('ck')}, ck, first FROM ({_FIRSTS}) AS h) AS names GROUP BY k"""
+
+
+def _migrated(t):
+    from ..operators import migration
+
+    routes = t.routes.select(F.col("route_id").alias("seq"), F.concat(F.lit("legacy:"), F.col("route_id").cast("string")).alias("legacy_key"), F.concat(F.lit("route:"), "route_number", F.lit(":"), "origin").alias("canonical_key"), F.col("route_number").alias("number"))
+    aliases = t.routes.select(F.col("route_id").alias("seq"), F.lit(0).cast("long").alias("at"), F.concat(F.lit("old:"), (F.col("route_id") % 500).cast("string")).alias("alias"))
+    sources = t.routes.select(F.col("route_id").alias("seq"), F.lit(0).cast("long").alias("at"), "url", "title", "publisher", F.col("retrieval_date").alias("retrieved"))
+    revisions = t.routes.select(F.col("route_id").alias("seq"), F.lit(0).cast("long").alias("at"), F.col("variant").alias("revision")).filter("revision <> ''")
+    known = F.when(F.col("route_id") % 3 == 0, F.concat(F.lit("old:"), (F.col("route_id") % 500).cast("string"))).otherwise(F.concat(F.lit("legacy:"), F.col("route_id").cast("string")))
+    links = t.stop_routes.select("stop_id", "route_id", known.alias("route_key"))
+    return migration.canonical_migration(routes, aliases, sources, revisions, links, normal_ascii)
+
+
+@query("a18_migrated_links", f"""SELECT stop_id, route_id, coalesce(ck, was) AS route_key, CASE WHEN ck IS NOT NULL THEN was END AS legacy_route_key FROM (SELECT stop_id, route_id, CASE WHEN route_id % 3 = 0 THEN 'old:' || CAST(route_id % 500 AS VARCHAR) ELSE 'legacy:' || CAST(route_id AS VARCHAR) END AS was FROM stop_routes) AS l LEFT JOIN ({_LINEAGE}) AS g ON g.k = {_norm('was')}""")
+def a18_links(t):
+    """Links rewritten through the lineage of their routes' keys."""
+    return _migrated(t).links
+
+
+@query("a18_migration_report", f"""SELECT (SELECT count(*) FROM routes) AS routes_before, (SELECT count(*) FROM ({_FIRSTS}) AS f) AS routes_after, (SELECT count(*) FROM (SELECT ck FROM ({_MIGRATING}) AS m GROUP BY ck HAVING count(*) > 1) AS c) AS merged_candidates, (SELECT count(*) FROM routes) - (SELECT count(*) FROM ({_FIRSTS}) AS h) AS records_merged,
+ (SELECT count(*) FROM stop_routes) AS links, (SELECT count(*) FROM stop_routes AS l JOIN routes AS r ON r.route_id = l.route_id) AS references_updated, (SELECT count(*) FROM (SELECT {_norm('route_number')} AS n FROM routes GROUP BY 1 HAVING count(DISTINCT origin) > 1) AS a) AS numbers_apart""")
+def a18_report(t):
+    """Counts before and after the migration."""
+    return _migrated(t).report
+
+
 @query("a19_numbers_kept_apart", "SELECT route_number, count(DISTINCT origin) AS n FROM routes GROUP BY route_number HAVING count(DISTINCT origin) > 1")
 def a19(t):
     return t.routes.groupBy("route_number").agg(F.countDistinct("origin").alias("n")).filter("n > 1")
