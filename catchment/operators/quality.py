@@ -74,6 +74,27 @@ def missing_route_fields(required=ROUTE_REQUIRED) -> Column:
     return array_of(*[(~e.useful(c), c) for c in required], (~cited, "direct route-specific evidence"), (~e.is_verified("status"), "eligible verification status"))
 
 
+#: Required fields of a stop's link to a route, by the columns that hold them. A code may be a fallback identity.
+LINK_REQUIRED = ("naptan", "route_number", "operator", "origin", "destination", "context", "direction", "stop_destination", "weekday", "saturday", "sunday", "weekday_tph", "saturday_tph", "sunday_tph", "pattern", "journey")
+
+
+def missing_link_fields(fresh: Column, required=LINK_REQUIRED, key: str = "route_key") -> Column:
+    """Names of a link's required columns without a useful value, then what key, evidence, status and freshness lack."""
+    cited = e.cited_source("url", "title", "publisher", "retrieval_date")
+    return array_of(*[(~e.useful(c), c) for c in required], (text(key) == "", key), (~cited, "direct stop-specific evidence"), (~e.is_verified("status"), "eligible verification status"), (~fresh, "retrieval_date"))
+
+
+def missing_stop_fields(fresh: Column, served: Column, identity: str = "naptan") -> Column:
+    """What a stop's record lacks, each named once: name, locality, direction, coordinates (both finite), routes served, a source, a date, a status; then identity, a verified status, direct evidence and freshness. A paired group may be absent."""
+    finite = lambda c: F.coalesce(~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf")), F.lit(False))
+    cited = e.cited_source("url", "title", "publisher", "retrieval_date")
+    lacking = array_of(
+        *[(~e.useful(c), c) for c in ("stop_name", "locality", "direction")], (~(finite("lat") & finite("lon")), "coordinates"), (F.coalesce(served, F.lit(0)) == 0, "routes_served"), (text("url") == "", "sources"), (~e.useful("retrieval_date"), "retrieval_date"), (~e.useful("status"), "status"),
+        (text(identity) == "", "stop identity"), (~e.is_verified("status"), "status"), (~cited, "direct stop-specific evidence"), (~fresh, "retrieval_date"),
+    )
+    return F.array_distinct(lacking)
+
+
 def import_state_route() -> Column:
     """struct(state, reason) of a route record on import: quarantined, review or accepted."""
     identity = array_of(*[(text(c) == "", c) for c in ("route_number", "operator", "origin", "destination")])

@@ -103,6 +103,32 @@ def c13(t):
     return t.routes.withColumn("all", missing).select("route_id", F.concat(head, stale).alias("missing"))
 
 
+_DAYS_OLD = "date_diff('day', CAST(retrieval_date AS DATE), DATE '2027-04-01') > 400"
+_STOP_LACKS = f"""list_distinct(list_filter([CASE WHEN stop_name = '' THEN 'stop_name' END, CASE WHEN pair = '' THEN 'locality' END, CASE WHEN direction = '' THEN 'direction' END, CASE WHEN served IS NULL THEN 'routes_served' END, CASE WHEN url = '' THEN 'sources' END, CASE WHEN status = '' THEN 'status' END,
+ CASE WHEN naptan = '' THEN 'stop identity' END, CASE WHEN NOT status ILIKE 'verified%' THEN 'status' END, CASE WHEN NOT {_cited} THEN 'direct stop-specific evidence' END, CASE WHEN {_DAYS_OLD} THEN 'retrieval_date' END], lambda i: i IS NOT NULL))"""
+
+
+@query("c13_stop_missing", f"""SELECT stop_id, field FROM (SELECT stop_id, unnest({_STOP_LACKS}) AS field FROM (SELECT s.stop_id, s.stop_name, s.pair, s.direction, s.status, s.naptan, r.url, r.title, r.publisher, r.retrieval_date, n.served FROM stops AS s JOIN routes AS r ON r.route_id = s.stop_id LEFT JOIN (SELECT stop_id, count(*) AS served FROM stop_routes GROUP BY stop_id) AS n ON n.stop_id = s.stop_id) AS j) AS q""")
+def c13_stops(t):
+    """What each stop's record lacks, a row for each; a stop's source is that of the route of its number, its locality the pair's."""
+    cited = t.routes.select(F.col("route_id").alias("stop_id"), "url", "title", "publisher", "retrieval_date")
+    served = t.stop_routes.groupBy("stop_id").agg(F.count("*").alias("served"))
+    s = t.stops.withColumn("locality", F.col("pair")).join(cited, "stop_id").join(served, "stop_id", "left")
+    return s.select("stop_id", F.explode(q.missing_stop_fields(ev.is_fresh(ev.day("retrieval_date"), "2027-04-01"), F.col("served"))).alias("field"))
+
+
+_USE_ = lambda c: f"(trim({c}) <> '' AND NOT lower({c}) LIKE '%research required%')"
+_LINK_LACKS = f"""list_filter([{', '.join(f"CASE WHEN NOT {_USE_(c)} THEN '{c}' END" for c in ('naptan', 'operator', 'origin', 'context', 'direction', 'weekday', 'sunday', 'variant'))}, CASE WHEN NOT {_cited} THEN 'direct stop-specific evidence' END, CASE WHEN status <> 'verified' THEN 'eligible verification status' END, CASE WHEN {_DAYS_OLD} THEN 'retrieval_date' END], lambda i: i IS NOT NULL)"""
+
+
+@query("c13_link_missing", f"SELECT stop_id, route_id, array_to_string({_LINK_LACKS}, ', ') AS missing FROM (SELECT l.stop_id, r.*, s.naptan, s.direction FROM stop_routes AS l JOIN routes AS r ON r.route_id = l.route_id JOIN stops AS s ON s.stop_id = l.stop_id) AS j")
+def c13_links(t):
+    """What each link of a stop and a route lacks: the required fields that the tables have, evidence, status and freshness."""
+    rows = t.stop_routes.select("stop_id", "route_id").join(t.routes, "route_id").join(t.stops.select("stop_id", "naptan", "direction"), "stop_id").withColumn("route_key", F.col("route_id").cast("string"))
+    missing = q.missing_link_fields(ev.is_fresh(ev.day("retrieval_date"), "2027-04-01"), ("naptan", "operator", "origin", "context", "direction", "weekday", "sunday", "variant"))
+    return rows.select("stop_id", "route_id", F.array_join(missing, ", ").alias("missing"))
+
+
 @query("c14_assessment_status", """SELECT route_id, CASE WHEN coalesce(n, 0) = 0 THEN 'Research not started' WHEN open > 0 THEN 'Stop discovery required' WHEN url = '' OR status = 'missing' THEN 'Route/service research required' WHEN origin = '' THEN 'Research incomplete'
  WHEN weekday IN ('', 'research required') OR sunday = '' THEN 'Import requires review' WHEN title <> '' AND publisher <> '' THEN 'Published and confirmed' WHEN publisher <> '' THEN 'Ready for Shared Library publication' ELSE 'Research complete and ready for output' END AS state
 FROM routes LEFT JOIN (SELECT l.route_id, count(*) AS n, count(*) FILTER (s.status = 'missing') AS open FROM stop_routes AS l JOIN stops AS s ON s.stop_id = l.stop_id WHERE s.naptan <> '' AND s.site_id = l.route_id % 25 GROUP BY l.route_id) AS p USING (route_id)""")
