@@ -117,8 +117,9 @@ def shingle_sets(docs: DataFrame, reps: DataFrame, width: int = 5) -> DataFrame:
 
 def hot_keys(sizes: DataFrame, key: str) -> DataFrame:
     """(key, tasks) of the keys in sizes(key, m) that hold more than one SPREAD-th of all rows: at most SPREAD keys, whatever the number of rows."""
-    part = -(-(sizes.agg(F.sum("m")).first()[0] or 0) // SPREAD)
-    return stored(sizes.filter(F.col("m") > max(1, part)).select(key, F.ceil(F.col("m") / max(1, part)).alias("tasks")), "hot-keys")
+    part = max(1, -(-(sizes.agg(F.sum("m")).first()[0] or 0) // SPREAD))
+    found = sizes.filter(F.col("m") > part).select(F.col(key).cast("long"), F.ceil(F.col("m") / part).cast("long")).collect()  # fewer than SPREAD
+    return sizes.sparkSession.createDataFrame(found, f"{key} long, tasks long")
 
 
 def spread_join(many: DataFrame, one: DataFrame, key: str, hot: DataFrame) -> DataFrame:
