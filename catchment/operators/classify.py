@@ -169,6 +169,7 @@ def is_current_cycle_route(t: Tags) -> Column:
     return ~F.exists(states, lambda s: s.rlike(LAPSED)) & building.isin("", "no") & ~gone
 
 
+#: Amenities that a drawing shows as community buildings. Fixed values.
 COMMUNITY_AMENITY = ("school", "college", "university", "hospital", "clinic", "library", "community_centre", "place_of_worship", "police")
 
 
