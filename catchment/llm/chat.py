@@ -68,6 +68,7 @@ def format_pairs(turns: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formatted turns of each conversation against the next of its block, which is the rejected one: prompt, or masked completion. Blocks and rows with nulls are as in `pairs_by_opening` and `turns_of`; no conversations, no rows."""
     turns = stored(turns_of(spark.read.parquet(f"{sf_dir}/conversations.parquet")), "turns")
     pairs = stored(pairs_by_opening(turns), "pairs")
     return pairs.select("pair_id", "rejected").join(format_pairs(turns, pairs), "pair_id")

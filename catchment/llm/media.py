@@ -352,7 +352,7 @@ def payload_of(text: str) -> bytes:
 
 
 def store_texts(docs: DataFrame, path: str) -> DataFrame:
-    """Write a media table of docs(doc_id, text) to path: doc_id, n_bytes, declared (the type that the source states) and media, each text as a sound file. Read back."""
+    """Write a media table of docs(doc_id, text) to path: doc_id, n_bytes, declared (the type that the source states) and media, each text as a sound file. Read back. A null text is an empty one; equal rows have rows of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -381,7 +381,7 @@ def sample_features(payload: bytes) -> str:
 
 
 def decoded(media: DataFrame) -> DataFrame:
-    """media with payload and feature read from the stored bytes of its audio/wav rows (others: null)."""
+    """media with payload and feature read from the stored bytes of its audio/wav rows (others, and null values: null). A row each, equal ones alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -394,7 +394,7 @@ def decoded(media: DataFrame) -> DataFrame:
 
 
 def op6_digest(docs: DataFrame, path: str) -> DataFrame:
-    """Digests and features of docs(doc_id, text), stored at path as a media table and read back."""
+    """Digests and features of docs(doc_id, text), stored at path as a media table and read back: a row each, with equal values for equal texts. A null text is an empty one; no rows give none."""
     media = media_column(store_texts(docs, path), "media", "declared").drop("type_corrected")
     out = decoded(media.withColumn("n_embedded", F.size("embedded")).drop("embedded", "declared"))
     return out.select(
