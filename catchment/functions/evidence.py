@@ -94,6 +94,16 @@ def source_score(url, title, publisher, date) -> Column:
     return reduce(lambda a, b: a + b, [F.when(c, n).otherwise(0) for c, n in points])
 
 
+#: Paths of pages that are about one service. Fixed value.
+SERVICE_PAGE = "(?i)/(?:services?|routes?|timetables?)/[^/?#]+"
+
+
+def family_score(urls: Column) -> Column:
+    """Sum over sources: eight for a services, routes or timetables page of its own, two for any other URL. Null or empty ones count nothing."""
+    one = lambda u: F.when(F.trim(text(u)) == "", 0).when(text(u).rlike(SERVICE_PAGE), 8).otherwise(2)
+    return F.aggregate(F.coalesce(urls, F.array().cast("array<string>")), F.lit(0), lambda total, u: total + one(u))
+
+
 def is_verified(status) -> Column:
     return normal_quality_ascii(status).startswith("verified")
 

@@ -16,8 +16,7 @@ from ..sources import masters
 from ..sources.scratch import shared_folder
 from ..sources.sinks import publish
 from .geometry import _RING_METRES, _hav, rings
-from .matching import _MISSING
-from .scalars import _generic, _is_url, _norm, _path
+from .scalars import _norm
 from .search import within_sql
 
 
@@ -92,24 +91,25 @@ def j10(t):
     return s.groupBy("polygon_id").agg(F.round(F.min(spatial.segment_distance(lat, lon)), 1).alias("metres"))
 
 
-_SCORE = f"(CASE WHEN {_is_url('url')} AND regexp_matches({_path('url')}, '[^/]') AND NOT {_generic('url', 'false')} THEN 8 WHEN url <> '' THEN 2 ELSE 0 END - {_MISSING})"
+_PAGE = "(?i)/(?:services?|routes?|timetables?)/[^/?#]+"
+_SCORE = f"CASE WHEN trim(url) = '' THEN 0 WHEN regexp_matches(url, '{_PAGE}') THEN 8 ELSE 2 END"
+_FILLED = " + ".join(f"CAST(trim({c}) <> '' AS INT)" for c in ("operator", "origin", "destination", "context", "retrieval_date", "status"))
 
 
-@query("w08_preferred_route", f"SELECT route_number, route_id FROM (SELECT *, row_number() OVER (PARTITION BY route_number ORDER BY {_SCORE} DESC, retrieval_date DESC, route_id) AS rn FROM routes) AS q WHERE rn = 1")
+@query("w08_preferred_route", f"SELECT route_number, route_id FROM (SELECT *, row_number() OVER (PARTITION BY route_number ORDER BY CASE WHEN status ILIKE 'verified%' THEN 40 ELSE 0 END + 10 * ({_SCORE}) + {_FILLED} DESC, retrieval_date DESC, route_id) AS rn FROM routes) AS q WHERE rn = 1")
 def w08(t):
-    """The route of a family with the best evidence and completeness, then the newest."""
-    missing = sum(((~ev.useful(c)).cast("int") for c in ("weekday", "sunday", "title")), (~ev.useful("origin")).cast("int"))
-    return select.ranked(t.routes, "route_number", [(_family_score() - missing).desc(), F.col("retrieval_date").desc(), F.col("route_id")]).select("route_number", "route_id")
+    """The route by which each number is known: by verified status, evidence and filled fields, then the newest, then the first."""
+    from .networks import preference
 
+    routes = t.routes.withColumn("authority", F.lit(""))
+    return select.ranked(routes, "route_number", [preference().desc(), F.col("retrieval_date").desc(), F.col("route_id")]).select("route_number", "route_id")
 
-def _family_score():
-    return F.when(ev.is_specific_url("url") & ~ev.is_generic_url("url"), 8).when(F.col("url") != "", 2).otherwise(0)
 
-
-@query("n19_family_score", f"SELECT route_id, CAST(CASE WHEN {_is_url('url')} AND regexp_matches({_path('url')}, '[^/]') AND NOT {_generic('url', 'false')} THEN 8 WHEN url <> '' THEN 2 ELSE 0 END AS INTEGER) AS score, regexp_extract('route:' || lower(operator) || ':x', '^route:([^:]+):', 1) AS authority FROM routes")
+@query("n19_family_score", f"SELECT route_id, CAST({_SCORE} AS INTEGER) AS score, regexp_extract('route:' || lower(operator) || ':x', '^route:([^:]+):', 1) AS authority FROM routes")
 def n19(t):
+    """Evidence of a route: eight for each source on a services, routes or timetables page of its own, two for any other."""
     key = F.concat(F.lit("route:"), F.lower("operator"), F.lit(":x"))
-    return t.routes.select("route_id", _family_score().alias("score"), F.regexp_extract(key, "^route:([^:]+):", 1).alias("authority"))
+    return t.routes.select("route_id", ev.family_score(F.array("url")).alias("score"), F.regexp_extract(key, "^route:([^:]+):", 1).alias("authority"))
 
 
 @query("o01_distance_order", f"SELECT site_id, osm_id, CAST(row_number() OVER (PARTITION BY site_id ORDER BY round(straight, 3), seq) AS INTEGER) AS place FROM ({within_sql(2000)}) AS r")

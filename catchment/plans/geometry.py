@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import nearest, scans, select, spatial
+from ..operators import nearest, scans, spatial
 from ..operators import rings as rings_
 from ..registry import query
 
