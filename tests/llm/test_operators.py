@@ -1,6 +1,7 @@
 """Each operator on small tables with awkward rows: nulls, empty and very long texts, ties, repeated rows, no rows, extra columns."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -543,6 +544,41 @@ def test_keys_that_only_share_a_hash_are_spared(spark):
     assert lines._spared_keys(marked.filter("doc_id >= 3").withColumn("hot", F.array(F.lit(h[0]))), 9) is None
 
 
+def test_line_dedup_stores_no_copy_of_whole_texts(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, "\n".join([rng.choice(["Often", " often", "seldom" if i < 9 else "own"]), *(f"{rng.getrandbits(256):x}" for _ in range(300))])) for i in range(100)]
+    sizes = {}
+
+    def kept(df, name, keep=0, store=lines.stored):
+        out = store(df, name, keep)
+        sizes[name] = sum(os.path.getsize(f.removeprefix("file://")) for f in out.inputFiles())
+        return out
+
+    monkeypatch.setattr(lines, "stored", kept)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = lines.dedup_lines(docs, threshold=10)
+    assert sorted((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept"]) for r in got.collect()) == dropped(rows, 10)
+    assert sum(sizes.values()) < sum(len(t) for _, t in rows) / 20, sizes
+
+
+def test_sieve_lets_all_frequent_lines_pass(spark):
+    rng = random.Random(9)
+    rows = [(i, None if i == 3 else "\n".join(rng.choice(["Alpha ", "beta", "", "δέλτα", f"own {i}", f"n{i % 40}"]) for _ in range(rng.randint(0, 8)))) for i in range(400)]
+    h = dict(zip(["alpha", "δέλτα", "n7"], kernels.line_keys(pa.array(["alpha", "δέλτα", "n7"]))[3].view(np.int64).tolist()))
+    frequent = spark.createDataFrame([(x,) for x in h.values()], "line_hash long")
+    bits = lines._sieve(frequent)
+    assert len(bits) * 8 == lines.SIEVE and sorted(np.flatnonzero(np.unpackbits(bits, bitorder="little")).tolist()) == sorted(x % lines.SIEVE for x in h.values())
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["k_doc"]: (r["text"].split("\n"), r["hot"]) for r in lines._sieved(df, bits).collect()}
+    want = {i: [x for x in (t or "").split("\n") if lines.key_of(x) in h] for i, t in rows}
+    assert got == {i: (x, [h[lines.key_of(y)] for y in x]) for i, x in want.items() if x}
+    everything = lines._sieved(df, np.full(lines.SIEVE // 8, 255, np.uint8))
+    assert lines._spared_keys(everything, 2, frequent) is None
+    some = {"n7": h["n7"]}
+    spared = lines._spared_keys(everything, 1000, spark.createDataFrame([(x,) for x in some.values()], "line_hash long")).collect()
+    assert {r["k_doc"]: r["spared"] for r in spared} == {i: ["n7"] for i, t in rows if "n7" in (t or "").split("\n")}
+
+
 def test_rows_that_share_a_doc_id_are_one_node(spark):
     rows = [(1, "first text here"), (5, "first text here"), (5, "another text"), (9, "another text"), (10, "hello world"), (11, "")]
     got = {(r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
