@@ -119,7 +119,8 @@ def hot_keys(sizes: DataFrame, key: str) -> DataFrame:
     """(key, tasks) of the keys in sizes(key, m) that hold more than one SPREAD-th of all rows: at most SPREAD keys, whatever the number of rows."""
     part = max(1, -(-(sizes.agg(F.sum("m")).first()[0] or 0) // SPREAD))
     found = sizes.filter(F.col("m") > part).select(F.col(key).cast("long"), F.ceil(F.col("m") / part).cast("long")).collect()  # fewer than SPREAD
-    return sizes.sparkSession.createDataFrame(found, f"{key} long, tasks long")
+    # an Arrow table becomes a local relation; a list of rows would be an RDD of Python's, for which each executor keeps a daemon and workers of its own
+    return sizes.sparkSession.createDataFrame(pa.table([pa.array([r[i] for r in found], pa.int64()) for i in (0, 1)], names=[key, "tasks"]))
 
 
 def spread_join(many: DataFrame, one: DataFrame, key: str, hot: DataFrame) -> DataFrame:

@@ -579,6 +579,29 @@ def test_sieve_lets_all_frequent_lines_pass(spark):
     assert {r["k_doc"]: r["spared"] for r in spared} == {i: ["n7"] for i, t in rows if "n7" in (t or "").split("\n")}
 
 
+def test_line_dedup_feeds_no_python_function_from_another(spark, monkeypatch):
+    frame, met = type(spark.range(0)), []
+
+    def seen(self, *args, call=frame.mapInArrow, **more):
+        below = re.findall(r"Exchange|MapInArrow", self._jdf.queryExecution().executedPlan().toString())
+        met.append(below[:1] == ["MapInArrow"])
+        return call(self, *args, **more)
+
+    monkeypatch.setattr(frame, "mapInArrow", seen)
+    rows = [(i, f"Same line\nown {i}\n same LINE \n\nrare {i % 50}") for i in range(60)] + [(None, "same line"), (99, None), (99, "")]
+    out = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert met and not any(met)
+    assert sorted((str(r["doc_id"]), r["kept"], r["n_dropped"]) for r in out) == sorted([(str(i), f"own {i}\n\nrare {i % 50}", 2) for i in range(60)] + [("None", "", 1), ("99", "", 0), ("99", "", 0)])
+
+
+@pytest.mark.parametrize("sizes", [[], [(1, 1000), (2, 1), (3, 10)], [(i, 2) for i in range(600)]])
+def test_hot_keys_need_no_python_worker(spark, sizes):
+    hot = neardup.hot_keys(spark.createDataFrame(sizes, "family long, m long"), "family")
+    part = max(1, -(-sum(m for _, m in sizes) // neardup.SPREAD))
+    assert hot.columns == ["family", "tasks"] and sorted(tuple(r) for r in hot.collect()) == sorted((k, -(-m // part)) for k, m in sizes if m > part)
+    assert "ExistingRDD" not in hot._jdf.queryExecution().executedPlan().toString()
+
+
 def test_rows_that_share_a_doc_id_are_one_node(spark):
     rows = [(1, "first text here"), (5, "first text here"), (5, "another text"), (9, "another text"), (10, "hello world"), (11, "")]
     got = {(r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
