@@ -7,7 +7,7 @@ import random
 import pytest
 
 from catchment import registry
-from catchment.operators import spatial
+from catchment.operators import nearest, spatial
 
 LINE = "route_id long, seq long, lon double, lat double"
 
@@ -55,3 +55,24 @@ def test_places_on_lines_equal_all_pairs(spark, monkeypatch, whole):
         near += best is not None
         assert found[p[:2]] == (pytest.approx(best, abs=1e-5) if best else (None, None))
     assert near > 20
+
+
+def test_crowded_cells_are_filed_anew(spark, monkeypatch):
+    """Long lines over one another, seen from within, from afar and across the 180th meridian: the same distances, from a small share of all pairs."""
+    rng = random.Random(11)
+    lines = [(i, x, y, x + rng.uniform(-0.02, 0.02), y + rng.uniform(-0.02, 0.02)) for i in range(1500) for x, y in [(-0.1 + rng.uniform(0, 0.02), 51.5 + rng.uniform(0, 0.02))]]
+    lines += [(2000, 179.99, 10.0, -179.9, 10.3), (2001, -0.09, 51.51, -0.09, 51.51), (2002, -0.12, 51.5, -0.05, 51.5)]
+    spots = [(i, 51.5 + rng.uniform(-0.3, 0.3), -0.1 + rng.uniform(-0.3, 0.3)) for i in range(60)] + [(100 + i, 51.5 + rng.uniform(0, 0.02), -0.1 + rng.uniform(0, 0.02)) for i in range(40)] + [(200, 10.1, 179.999), (201, 51.51, -0.09)]
+    points = spots + [(1000 + i, lat, lon) for i, lat, lon in spots]  # places that come twice are one
+    compared = []
+    kept = nearest.stored
+    monkeypatch.setattr(nearest, "stored", lambda df, name: compared.append((name, kept(df, name))) or compared[-1][1])
+    segs = spark.createDataFrame(lines, "line long, lon double, lat double, lon2 double, lat2 double")
+    got = {r["id"]: r for r in nearest.nearest(spark.createDataFrame(points, "id long, p_lat double, p_lon double"), segs, "id", name="line").collect()}
+    assert len(got) == len(points)
+    for i, lat, lon in points:
+        wrap = lambda x: x - 360 * round((x - lon) / 360)  # noqa: B023, E731
+        best = min(to_segment((0, 0, lon, lat), (0, 0, wrap(x), y), (0, 0, wrap(x) + (x2 - x - 360 * round((x2 - x) / 360)), y2))[0] for _, x, y, x2, y2 in lines)
+        assert got[i]["nearest"] == pytest.approx(best, abs=1e-6)
+    front, pieces = ([df for name, df in compared if name == n][-1] for n in ("front", "pieces"))
+    assert front.join(pieces, ["_x", "_y"]).count() < len(spots) * len(lines) / 10
