@@ -77,7 +77,9 @@ def line_positions(coordinates: str = "coordinates"):
 
 
 def gazetteer_lookup(names: DataFrame, gazetteer: DataFrame, most: int = 5) -> DataFrame:
-    """Up to `most` places for each query text (query, query_key) by normal name: an equi-join where a service was asked before."""
+    """Up to `most` places for each query text (query, query_key) by normal name: an equi-join where a service was asked before. A name's best places are chosen once, before the texts meet them."""
     from ..operators.select import ranked
 
-    return ranked(names.join(gazetteer, F.col("query_key") == F.col("place_key")), "query", [F.col("rank"), F.col("place_id")], most)
+    order = [F.col("rank"), F.col("place_id")]
+    best = ranked(gazetteer, "place_key", order, most)
+    return ranked(names.join(best, F.col("query_key") == F.col("place_key")), "query", order, most)

@@ -79,3 +79,15 @@ def test_stream_counts_equal_table_counts(spark, data, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(spark.table("calls").collect()) == sorted(pacing.calls_by_window(events).collect())
+
+
+def test_places_are_chosen_before_names_meet_them(spark):
+    """A common name's places aren't paired with each of its texts: two rankings, one on either side of the join."""
+    names = spark.createDataFrame([(i, f"k{i % 2}") for i in range(400)], "query long, query_key string")
+    places = spark.createDataFrame([(f"k{i % 3}", i % 7, i) for i in range(900)], "place_key string, rank long, place_id long")
+    found = masters.gazetteer_lookup(names, places, 4)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    join = plan.index("Join ")
+    assert "row_number()" in plan[:join] and "row_number()" in plan[join:]
+    want = [(q, p) for q in range(400) for _, p in sorted((i % 7, i) for i in range(900) if i % 3 == q % 2)[:4]]
+    assert sorted((r["query"], r["place_id"]) for r in found.collect()) == want
