@@ -7,7 +7,7 @@ import random
 import pytest
 
 from catchment import registry
-from catchment.operators import nearest, spatial
+from catchment.operators import graph, nearest, spatial
 
 LINE = "route_id long, seq long, lon double, lat double"
 
@@ -76,3 +76,31 @@ def test_crowded_cells_are_filed_anew(spark, monkeypatch):
         assert got[i]["nearest"] == pytest.approx(best, abs=1e-6)
     front, pieces = ([df for name, df in compared if name == n][-1] for n in ("front", "pieces"))
     assert front.join(pieces, ["_x", "_y"]).count() < len(spots) * len(lines) / 10
+
+
+def test_links_of_lines_in_blocks(spark, monkeypatch):
+    """150 lines in three blocks, all of which run along many others: the shares of all pairs, and their groups from few links."""
+    monkeypatch.setattr(spatial, "BLOCK_LINES", 64)
+    rng = random.Random(5)
+    rows = []
+    for i in range(150):
+        band = i * 7 % 4
+        rows += [(i * 3, n, -0.1 + 0.0004 * n + rng.uniform(0, 1e-4), 51.5 + 0.003 * band + rng.uniform(0, 2e-4)) for n in range(rng.choice([5, 6, 40]))]
+    rows += [(1000, 0, 0.3, 51.5), (1000, 1, 0.31, 51.5), (1001, 0, 0.3, 51.5)]
+    traces = spark.createDataFrame(rows, LINE).repartition(4)
+    shares = {(r["a"], r["b"]): (r["forth"], r["back"]) for r in spatial.corridor_shares(traces, "route_id", "seq").collect()}
+    lines = {k: [r for r in rows if r[0] == k] for k in {r[0] for r in rows}}
+    sampled = lambda v: v if len(v) <= 36 else [v[i] for i in sorted({math.floor(j * (len(v) - 1) / 35 + 0.5) for j in range(36)})]
+    for a, b in rng.sample(sorted(shares), 40):
+        share = [sum(any(to_segment(p, *s)[0] <= 28 for s in zip(lines[y], lines[y][1:])) for p in sampled(lines[x])) / len(sampled(lines[x])) for x, y in ((a, b), (b, a))]
+        assert shares[a, b] == pytest.approx(tuple(share))
+    along = {k for k, (forth, back) in shares.items() if (forth + back) / 2 >= 0.66 and min(forth, back) >= 0.42}
+    links = [tuple(r) for r in spatial.corridor_links(traces, "route_id", "seq", graph.adjacent_arrays).collect()]
+    assert len(links) < 6 * 128 < len(along)
+    label = {k: k for pair in along for k in pair}
+    for _ in label:
+        for a, b in along:
+            label[a] = label[b] = min(label[a], label[b])
+        if all(label[a] == label[b] for a, b in along):
+            break
+    assert {r["node"]: r["label"] for r in graph.families(spark.createDataFrame(links, "a long, b long")).collect()} == label
