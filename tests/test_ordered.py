@@ -364,3 +364,11 @@ def test_tree_equals_one_made_by_hand(spark):
     assert got == want
     empty = digests.tree(df.limit(0), "key", ["v"]).collect()
     assert [(r["level"], r["path"], r["digest"], r["keys"]) for r in empty] == [(0, "", hashlib.sha256(b"").hexdigest(), 0)]
+
+
+def test_chunks_broadcast_no_rows(spark):
+    """Stored places compress to a few bytes a row, so their files' size says little of what a broadcast would hold."""
+    df = spark.range(20_000).select((F.col("id") % 300).alias("route_id"), F.col("id").alias("seq"), (F.col("id") % 5 < 2).alias("own"))
+    runs = scans.overlapping_chunks(df, 40, original="own")
+    assert "Broadcast" not in runs._jdf.queryExecution().executedPlan().toString()
+    assert runs.groupBy("route_id").count().count() == 300
