@@ -97,3 +97,12 @@ def test_pack_results(spark):
     assert {(r["task"], r["reason"]) for r in out.collect()} == {(1, ""), (2, v.NOT_ASSIGNED), (3, v.OTHER_IDENTITY), (9, v.NOT_ASSIGNED), (4, "weak"), (6, v.OTHER_IDENTITY), (5, "requires professional review"), (2, v.ABSENT)}
     assert v.pack_summary(out).first().asDict() == {"rail": 1, "bus_stops": 0, "bus_routes": 0, "relationships": 0, "for_review": 7, "complete": False}
     assert v.pack_summary(v.pack_results(assigned.limit(0), results.limit(0), unresolved)).first()["complete"]
+
+
+def test_lines_of_packs_are_joined_once(spark, data):
+    """What the cascade's rules look at is stored, not derived from the driver's tables again for each of them."""
+    from catchment import registry
+
+    for name in ("m16_network_limits", "m16_network_accepted"):
+        plan = registry.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+        assert "lineitem.parquet" not in plan and "BroadcastHashJoin" not in plan
